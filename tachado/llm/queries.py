@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokencount, urlfilter
+from . import ann, mixing, packing, quality, simhash, tokencount, urlfilter, warc
 from .bpe import public_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,40 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.scores(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out().alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_path(VOCABULARY))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+#: The mixture's tree and target weights (others count 1); the domain is the source's number modulo 3.
+LEVELS = ["domain", "lang", "source"]
+WEIGHTS = {"domain": {"domain0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("domain", F.concat(F.lit("domain"), F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int) % 3"), F.lit(0)).cast("string")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    out = mixing.mix(docs, LEVELS, WEIGHTS)
+    return out.select("doc_id", "domain", "lang", "source", mixing.token_count().alias("n_tokens"), "epoch")
+
+
 #: The rules that op10 is to judge by.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -65,7 +99,9 @@ FROM judged
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_simhash_near_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op4_simhash_near_dedup, op5_quality_classifier, op6_packing, op7_warc, op8_nearest_neighbours, op9_mixing, op10_url_filters,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
