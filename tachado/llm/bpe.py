@@ -11,11 +11,13 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 
 import regex
 
 #: Characters of the quick path; others go through the library's own normaliser.
+_CLOSING = frozenset(".,;:!?")
 _UNUSUAL = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
@@ -43,6 +45,16 @@ class WordText:
         self._special = re.compile("|".join(names)) if names else None
         self._path, self._library = path, None
 
+        self.letters = _byte_letters()
+        self._byte = {c: b for b, c in enumerate(self.letters)}
+        self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+    def pieces(self, word: str) -> list[bytes]:
+        """A word's pieces in UTF-8; for unusual characters the library's own tables decide what is a letter."""
+        if _UNUSUAL.search(word):
+            return [bytes(map(self._byte.__getitem__, piece)) for piece, _ in self.library().pre_tokenizer.pre_tokenize_str(word)]
+        return [p.encode() for p in self._pieces.findall(word)]
+
     def library(self):
         if self._library is None:
             from tokenizers import Tokenizer
@@ -73,14 +85,24 @@ class WordText:
 
 
 class Kept(dict):
-    """A dict that computes missing words and starts anew once it holds `most` of them."""
+    """What `piece` gives for each word's pieces, added up; starts anew once it holds `most` words.
+
+    Most words are letters, or letters and one closing mark, which are two pieces; both parts are looked up.
+    """
 
-    def __init__(self, make, most: int):
+    def __init__(self, text: WordText, piece, most: int, nothing):
         super().__init__()
-        self._make, self._most = make, most
+        self._text, self._piece, self._most, self._nothing = text, piece, most, nothing
 
     def __missing__(self, word):
-        value = self._make(word)
+        if word.isascii() and word.isalpha():
+            value = self._piece(word.encode())
+        elif word[-1:] in _CLOSING and word[:-1].isalpha() and not _UNUSUAL.search(word) and len(word) > 1:
+            value = self[word[:-1]] + self._piece(word[-1].encode())
+        else:
+            value = self._nothing
+            for raw in self._text.pieces(word):
+                value += self._piece(raw)
         if len(self) >= self._most:
             self.clear()
         if len(word) <= 64:
@@ -96,26 +118,17 @@ class TokenCounter:
     less the merges. O(n log n) for a piece of n bytes.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.text = WordText(path)
         model = self.text.spec["model"]
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
-        letters = _byte_letters()
-        self._byte = {c: b for b, c in enumerate(letters)}
-        self._inner = [vocab[c] for c in letters]
-        self._last = [vocab[c + end] for c in letters]
+        self._inner = [vocab[c] for c in self.text.letters]
+        self._last = [vocab[c + end] for c in self.text.letters]
         self._merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.kept = Kept(self.count_word, most)
-
-    def count_word(self, word: str) -> int:
-        if _UNUSUAL.search(word):  # the library's own Unicode tables decide what is a letter
-            pieces = self.text.library().pre_tokenizer.pre_tokenize_str(word)
-            return sum(self.count_piece(bytes(self._byte[c] for c in piece)) for piece, _ in pieces)
-        return sum(self.count_piece(piece.encode()) for piece in self._pieces.findall(word))
+        self.kept = Kept(self.text, self.count_piece, most, 0)
 
     def count_piece(self, raw: bytes) -> int:
         n = len(raw)
@@ -147,31 +160,23 @@ class TokenCounter:
 
 
 class TokenBytes:
-    """Identifiers of a text as little-endian 32-bit bytes, by the library, kept word by word."""
+    """Identifiers of a text as little-endian 32-bit bytes, by the library's model, kept word by word."""
 
-    def __init__(self, path: str, most: int = 500_000):
-        self.text, self._most, self._kept = WordText(path), most, {}
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.text = WordText(path)
+        self._tokenize = self.text.library().model.tokenize
+        self.kept = Kept(self.text, self._ids, most, b"")
 
-    def _learn(self, words: list[str]) -> None:
-        encoded = self.text.library().encode_batch(words, add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            self._kept[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+    def _ids(self, raw: bytes) -> bytes:
+        piece = raw.decode() if raw.isalnum() else "".join(map(self.text.letters.__getitem__, raw))
+        ids = [t.id for t in self._tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
-        out, kept = [], self._kept
+        out = []
         for kind, part in self.text.segments(text):
             if kind == "special":
                 out.append(part.to_bytes(4, "little"))
-                continue
-            try:
-                out.append(b"".join(map(kept.__getitem__, part)))
-                continue
-            except KeyError:
-                pass
-            missing = list({w for w in part if w not in kept})
-            if len(kept) + len(missing) > self._most:
-                kept.clear()
-                missing = list(set(part))
-            self._learn(missing)
-            out.extend(map(kept.__getitem__, part))
+            else:
+                out.extend(map(self.kept.__getitem__, part))
         return b"".join(out)

@@ -81,7 +81,7 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         count += max(1, count // 400)
 
 
-def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 2, group: int = 1536) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 2, group: int = 1024) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches):
