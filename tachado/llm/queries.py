@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, mixing, packing, quality, simhash, tokencount, urlfilter, warc
+from . import ann, fingerprints, mixing, packing, quality, simhash, subdedup, tokencount, urlfilter, warc
 from .bpe import public_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_path(VOCABULARY))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subdedup.classes(subdedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(table(spark, sf_dir, "documents"))
 
@@ -104,7 +108,7 @@ FROM judged
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_token_counts, op3_document_fingerprints, op4_simhash_near_dedup, op5_quality_classifier, op6_packing, op7_warc, op8_nearest_neighbours, op9_mixing, op10_url_filters,
+        op1_token_counts, op2_substring_dedup, op3_document_fingerprints, op4_simhash_near_dedup, op5_quality_classifier, op6_packing, op7_warc, op8_nearest_neighbours, op9_mixing, op10_url_filters,
     )}
 
 
