@@ -66,3 +66,10 @@ def maybe_in(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     joined = df.withColumn("_slot", s).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(bits), "_word", "left")
     hit = F.expr("coalesce(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1, 0) = 1")
     return joined.withColumn("_hit", hit & F.col(column).isNotNull()).drop("_slot", "_word", "_bits")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df's rows whose key is not in ids (key). Only rows that pass the id filter are joined; others do not move."""
+    columns = df.columns
+    marked = maybe_in(df, key, id_filter(ids, key))
+    return marked.where(~F.col("_hit")).select(*columns).unionByName(marked.where("_hit").join(ids, key, "left_anti").select(*columns))
