@@ -18,6 +18,7 @@ their text; with one document the next is itself; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,20 +42,24 @@ def _bits(h: Column, at: int, width: int) -> Column:
 def ranks(terms: DataFrame, keys: list[str], weights: list[str], samples: int = SAMPLES, share: int = SHARE, group: int = GROUP) -> DataFrame:
     """terms (keys, term long, weights) -> keys, g (group), and for weight j and sample i of the group a_j_i: the least rank."""
     wide = terms.select(*keys, "term", *(F.when(F.col(w) > 0, F.ln(w)).alias(w) for w in weights), F.explode(F.sequence(F.lit(0), F.lit(samples // group - 1))).alias("g"))
-    sets = range(group // share)
-    hashed = wide.select(*keys, "g", "term", *weights, *(F.xxhash64("term", -1 - F.col("g") * len(sets) - s).alias(f"h{s}") for s in sets))
+    sets, first, others = range(group // share), weights[0], weights[1:]
+    salt = lambda i: F.lit(int.from_bytes(hashlib.sha256(b"sample %d" % i).digest()[:7], "little"))
+    base = F.col("term").bitwiseXOR(F.shiftleft(F.col("g").cast("long"), 56))
+    hashed = wide.select(*keys, "g", base.alias("base"), *weights)
+    hashed = hashed.select(*keys, "g", "base", *weights, *(F.xxhash64(F.col("base").bitwiseXOR(salt(group + s))).alias(f"h{s}") for s in sets))
     drawn = hashed.select(
-        *keys, "g", "term", *weights, *(_bits(F.col(f"h{s}"), 42, 22).alias(f"b{s}") for s in sets),
+        *keys, "g", "base", *weights, *(_bits(F.col(f"h{s}"), 42, 22).alias(f"b{s}") for s in sets),
         *((-F.ln(_bits(F.col(f"h{s}"), 0, 21) * _bits(F.col(f"h{s}"), 21, 21))).alias(f"r{s}") for s in sets),
     )
     r, b = (lambda s: F.col(f"r{s}")), (lambda s: F.col(f"b{s}"))
-    level = lambda w, s: F.floor(F.col(w) / r(s) + b(s))
+    scale = lambda w, s: F.exp(-r(s) * (F.floor(F.col(w) / r(s) + b(s)) - b(s) + 1))
     scaled = drawn.select(
-        *keys, "g", *(F.exp(-r(s) * (level(w, s) - b(s) + 1)).alias(f"{w}{s}") for w in weights for s in sets),
-        *(F.xxhash64("term", F.col("g") * group + i).alias(f"h{i}") for i in range(group)),
+        *keys, "g", *weights, *(x for s in sets for x in (r(s), b(s))), *(scale(first, s).alias(f"{first}{s}") for s in sets),
+        *(F.xxhash64(F.col("base").bitwiseXOR(salt(i))).alias(f"h{i}") for i in range(group)),
     )
     ready = scaled.select(
-        *keys, "g", *(f"{w}{s}" for w in weights for s in sets),
+        *keys, "g", *(f"{first}{s}" for s in sets),
+        *(F.when(F.col(w) == F.col(first), F.col(f"{first}{s}")).otherwise(scale(w, s)).alias(f"{w}{s}") for w in others for s in sets),
         *((-F.ln(_bits(F.col(f"h{i}"), 0, 32) * _bits(F.col(f"h{i}"), 32, 32))).alias(f"c{i}") for i in range(group)),
     )
     return ready.groupBy(*keys, "g").agg(*(F.min(F.col(f"{w}{i // share}") * F.col(f"c{i}")).alias(f"a_{j}_{i}") for j, w in enumerate(weights) for i in range(group)))
@@ -97,23 +102,34 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     many (or all) of the next document's.
     """
     order = W.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("k"), "h")
-    rows = in_ranges(df, key, text).repartition("bucket")
     n, half = F.length("t"), F.expr("length(t) div 2")
-    seen = rows.select(
-        "bucket", "extra", "k", "t", F.row_number().over(order).alias("row"), F.lead("t", 1, "").over(order).alias("u"),
+    seen = in_ranges(df, key, text).select("bucket", "extra", "k", "t", F.row_number().over(order).alias("row"), F.lead("t", 1, "").over(order).alias("u"))
+    edited = F.when(F.col("extra") == 1, F.lit("")).otherwise(F.concat(F.substring("t", F.lit(1), n - half), F.substring("u", F.lit(1), half)))
+    seen = seen.select("bucket", "row", "extra", "k", "t", edited.alias("e"))
+    # What is known of a document goes along as one more word, told by its leading space, so that texts move once.
+    facts = F.concat_ws(" ", F.lit(""), F.col("extra").cast("string"), n.cast("string"), F.sha2("e", 256), F.col("k").cast("string"))
+    words = seen.select("bucket", "row", F.split("t", SPACE).alias("a"), F.split("e", SPACE).alias("b"), F.array(facts).alias("c"))
+    words = words.select("bucket", "row", F.size("a").alias("n"), F.posexplode(F.concat("a", "b", "c")).alias("at", "word"))
+    fact = F.substring("word", 1, 1) == " "
+    terms = words.select(
+        "bucket", "row", F.when(~fact & (F.col("word") != ""), F.xxhash64("word")).alias("term"), F.when(fact, F.col("word")).alias("fact"),
+        (F.col("at") < F.col("n")).cast("int").alias("own"),
     )
-    seen = seen.select("bucket", "extra", "k", "row", "t", F.when(F.col("extra") == 1, F.lit("")).otherwise(F.concat(F.substring("t", F.lit(1), n - half), F.substring("u", F.lit(1), half))).alias("e"))
-    words = seen.select("bucket", "row", F.split("t", SPACE).alias("a"), F.split("e", SPACE).alias("b"))
-    words = words.select("bucket", "row", F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("at", "word"))
-    terms = words.select("bucket", "row", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), (F.col("at") < F.col("n")).cast("int").alias("own"))
-    terms = terms.groupBy("bucket", "row", "term").agg(F.sum("own").alias("w"), F.count("*").alias("all"))
-    terms = terms.select("bucket", "row", "term", F.when(F.col("term").isNotNull(), F.col("w")).alias("w"), F.when(F.col("term").isNotNull(), F.col("all") - F.col("w")).alias("v"))
-    least = ranks(terms, ["bucket", "row"], ["w", "v"])
-    coded = least.select("bucket", "row", "g", *(F.concat(*(_code(f"a_{j}_{i}") for i in range(GROUP))).alias(n) for j, n in enumerate(("f", "e"))))
-    marks = coded.groupBy("bucket", "row").agg(F.sort_array(F.collect_list(F.struct("g", "f", "e"))).alias("s"))
-    marks = marks.select("bucket", "row", F.array_join("s.f", "").alias("fingerprint"), F.array_join("s.e", "").alias("edited_fingerprint"))
-    facts = seen.select("bucket", "row", "extra", "k", n.cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"))
-    out = facts.join(marks, ["bucket", "row"])
+    terms = terms.groupBy("bucket", "row", "term", "fact").agg(F.sum("own").alias("w"), F.count("*").alias("all"))
+    known = F.col("term").isNotNull()
+    terms = terms.select("bucket", "row", "fact", "term", F.when(known, F.col("w")).alias("w"), F.when(known, F.col("all") - F.col("w")).alias("v"))
+    least = ranks(terms, ["bucket", "row", "fact"], ["w", "v"])
+    coded = least.select("bucket", "row", "fact", "g", *(F.concat(*(_code(f"a_{j}_{i}") for i in range(GROUP))).alias(c) for j, c in enumerate(("f", "e"))))
+    marks = coded.groupBy("bucket", "row").agg(
+        F.max("fact").alias("fact"), F.sort_array(F.collect_list(F.when(F.col("fact").isNull(), F.struct("g", "f", "e")))).alias("s")
+    )
+    part = F.split("fact", " ", -1)
+    none = F.lit("0" * 8 * SAMPLES)
+    out = marks.select(
+        "bucket", "row", part[1].cast("int").alias("extra"), part[2].cast("long").alias("n_chars"), part[3].alias("edited_sha256"),
+        F.when(F.size(part) > 4, part[4].cast("long")).alias("k"),
+        F.when(F.size("s") > 0, F.array_join("s.f", "")).otherwise(none).alias("fingerprint"), F.when(F.size("s") > 0, F.array_join("s.e", "")).otherwise(none).alias("edited_fingerprint"),
+    )
     out = out.withColumn("_next", F.lead("fingerprint").over(W.partitionBy("bucket").orderBy("row"))).where("extra = 0")
     return out.select(
         F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
