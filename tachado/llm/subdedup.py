@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import id_filter, materialise, maybe_in, text_of
@@ -265,17 +266,22 @@ def _surroundings(docs: DataFrame, first: DataFrame) -> DataFrame:
 def cut_out(text: str, key: int, found: list[dict], least: int) -> tuple[str, int, int, list[int]]:
     """The text without its removed stretches; stretches, words and first documents of what went.
 
-    found: paragraphs (at, n, line, cls, first, left, right) of this document.
+    found: paragraphs (at, n, line, cls, first, follows, left, right) of this document.
     """
     words = text.split()
     gone = bytearray(len(words))
     firsts: dict[int, list] = {}
     seen = set()
-    for p in sorted(found, key=lambda p: (p["at"], not p["line"])):
+    end = None  # of the passage before, if it goes
+    for p in sorted(found, key=lambda p: (p["at"], not p["line"], p["cls"])):
         if p["first"] == key and (p["line"], p["cls"]) not in seen:
             seen.add((p["line"], p["cls"]))
+            end = end if p["line"] else None
             continue
         a, b = p["at"], p["at"] + p["n"]
+        if p["follows"] and end is not None:
+            a = min(a, end)
+        end = end if p["line"] else b
         if not p["line"]:
             left, right = (p["left"] or "").split(), (p["right"] or "").split()
             i = 0
@@ -308,10 +314,23 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     classes = materialise(_classes(lines, passages, reached), "paragraph-classes")
     units = lines.select("rid", "k", "at", "n", "u", F.lit(True).alias("line")).unionByName(passages.select("rid", "k", "at", F.lit(WINDOW).alias("n"), "u", F.lit(False).alias("line")))
     found = materialise(units.join(classes, ["u", "line"]).select("rid", "k", "at", "n", "line", "cls", "first").distinct(), "paragraph-copies")
-    first = found.where("not line and k = first").groupBy("cls").agg(F.min(F.struct("k", "rid", "at")).alias("p")).select("cls", "p.rid", "p.at")
-    about = _surroundings(docs, first)
-    full = found.join(about.withColumn("line", F.lit(False)), ["cls", "line"], "left")
-    asks = materialise(full.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "line", "cls", "first", "left", "right")).alias("_found")), "paragraph-removals")
+    first = found.where("not line and k = first").groupBy("cls").agg(F.min(F.struct("k", "rid", "at")).alias("p"))
+    first = materialise(first.select("cls", F.col("p.rid").alias("first_rid"), F.col("p.at").alias("first_at")), "paragraph-firsts")
+    # A passage that follows its neighbour just as their first occurrences follow each other needs no words about it.
+    along = W.partitionBy("rid").orderBy("at", "cls")
+    placed = found.where("not line").join(first, "cls")
+    follows = (F.col("first_rid") == F.lag("first_rid").over(along)) & (F.col("at") - F.lag("at").over(along) == F.col("first_at") - F.lag("first_at").over(along))
+    placed = placed.withColumn("follows", F.coalesce(follows & (F.col("at") - F.lag("at").over(along) <= WINDOW + CONTEXT), F.lit(False)))
+    placed = placed.withColumn("edge", ~F.col("follows") | ~F.coalesce(F.lead("follows").over(along), F.lit(False)))
+    placed = materialise(placed, "paragraph-places")
+    cited = first.join(placed.where("edge").select("cls").distinct(), "cls").select("cls", F.col("first_rid").alias("rid"), F.col("first_at").alias("at"))
+    about = _surroundings(docs, cited)
+    facts = ["at", "n", "line", "cls", "first", "follows", "left", "right"]
+    ends = placed.where("edge").join(about, "cls", "left").select("rid", *facts)
+    inner = placed.where("not edge").select("rid", "at", "n", "line", "cls", "first", "follows", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
+    whole = found.where("line").select("rid", "at", "n", "line", "cls", "first", F.lit(False).alias("follows"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
+    asks = ends.unionByName(inner).unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct(*facts)).alias("_found"))
+    asks = materialise(asks, "paragraph-removals")
     marked = maybe_in(df.withColumn("rid", rid), "rid", id_filter(asks, "rid"))
     none = [F.lit(0).alias("_stretches"), F.lit(0).alias("_words"), F.array().cast("array<bigint>").alias("_firsts")]
     still = marked.where(~F.col("_hit")).select(*df.columns, *none)
