@@ -50,19 +50,20 @@ def detections(found: DataFrame, key: str = "doc_id", mode: str = "cat") -> Data
 def drop_contained(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Leaves out persons contained in a longer kept person; manual ones stay. Shorter than 4: only whole words.
 
-    For names of at least 4 characters containment is transitive, so an anti join with all longer names is the
-    same as with the kept ones; the few shorter names are then tested against the names kept by the join.
+    For names of at least 4 characters containment is transitive, so testing against all longer names is the same as
+    against the kept ones; the few shorter names are then tested against the kept. A document's detections (bounded by
+    its own text) meet in one array, so there is one shuffle by document and no join.
     """
-    low = F.lower(trim_white(F.col("original")))
-    people = found.where("cat = 'PERSONA'").select(key, "id", low.alias("low"), "user_added")
-    long = people.where("length(low) >= 4 and not user_added").alias("a")
-    gone = long.join(people.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.length("a.low") < F.length("b.low")) & F.contains("b.low", F.col("a.low")), "left_semi")
-    kept = people.join(gone.select(key, "id"), [key, "id"], "left_anti")
-    tiny = kept.where("length(low) < 4 and not user_added").alias("a")
+    low = F.when(F.col("cat") == "PERSONA", F.lower(trim_white(F.col("original")))).otherwise(F.lit(None)).alias("low")
+    rows = found.groupBy(key).agg(F.collect_list(F.struct(low, F.struct(*found.columns).alias("row"))).alias("all"))
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    short = tiny.join(kept.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.length("a.low") < F.length("b.low")) & F.contains(pad(F.col("b.low")), pad(F.col("a.low"))), "left_semi")
-    out = gone.select(key, "id").unionByName(short.select(key, "id"))
-    return found.join(out, [key, "id"], "left_anti")
+    stays = lambda x: x["low"].isNull() | x["row"]["user_added"]
+    longer = lambda x, y: F.length(y["low"]) > F.length(x["low"])
+    some = lambda array, x, test: F.exists(array, lambda y: F.coalesce(longer(x, y) & test(y["low"], x["low"]), F.lit(False)))
+    whole = lambda big, part: F.contains(pad(big), pad(part))
+    kept = rows.withColumn("kept", F.filter("all", lambda x: stays(x) | (F.length(x["low"]) < 4) | ~some(F.col("all"), x, F.contains)))
+    kept = kept.withColumn("kept", F.filter("kept", lambda x: stays(x) | (F.length(x["low"]) >= 4) | ~some(F.col("kept"), x, whole)))
+    return kept.select(F.explode("kept.row").alias("row")).select("row.*")
 
 
 def prune(found: DataFrame, lex: Lexicon, key: str = "doc_id") -> DataFrame:

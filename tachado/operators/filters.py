@@ -5,6 +5,8 @@ Null surfaces are never valid; null surroundings count as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,37 +56,55 @@ def _last(x: Column, n: int) -> Column:
     return F.right(x, F.lit(n))
 
 
-def narrative(s: Column, lex: Lexicon) -> Column:
-    low, parts = F.lower(s), words(s)
-    dull = F.size(F.filter(F.transform(parts, normalize_text), lambda w: w.isin(*lex.formulas, *STOP)))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def view(surface: Column, left: Column, right: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a struct: the trimmed surface s, low, norm, parts (words), flat (normalised words), left, right."""
+    empty = F.lit("")
+    first = F.struct(trim_white(surface).alias("s"), F.coalesce(left, empty).alias("left"), F.coalesce(right, empty).alias("right"))
+    second = lambda p: F.struct(p["s"].alias("s"), p["left"].alias("left"), p["right"].alias("right"), F.lower(p["s"]).alias("low"), normalize_text(p["s"]).alias("norm"), words(p["s"]).alias("parts"))
+    third = lambda p: F.struct(*(p[c].alias(c) for c in ("s", "left", "right", "low", "norm", "parts")), F.transform(p["parts"], normalize_text).alias("flat"))
+    return let(first, lambda a: let(second(a), lambda b: let(third(b), body)))
+
+
+def narrative(p: Column, lex: Lexicon) -> Column:
+    s, low, parts = p["s"], p["low"], p["parts"]
+    dull = F.size(F.filter(p["flat"], lambda w: w.isin(*lex.formulas, *STOP)))
     return (
         (F.length(s) > 40) | _has(low, PHRASES) | ((F.size(parts) >= 4) & s.rlike(JI + VERBS)) | (F.size(parts) >= 8)
         | (dull >= F.greatest(F.lit(1), F.floor(F.size(parts) / 2))) | F.contains(low, F.lit(" que ")) | F.startswith(low, F.lit("que "))
     )
 
 
-def person(s: Column, lex: Lexicon) -> Column:
-    low, parts = normalize_text(s), F.filter(words(s), lambda w: F.length(w) > 1)
-    flat = F.transform(parts, normalize_text)
+def person(p: Column, told: Column, lex: Lexicon) -> Column:
+    """told: whether the surface is narrative."""
+    return let(F.filter(p["parts"], lambda w: F.length(w) > 1), lambda parts: let(F.transform(parts, normalize_text), lambda flat: _person(p, told, parts, flat, lex)))
+
+
+def _person(p: Column, told: Column, parts: Column, flat: Column, lex: Lexicon) -> Column:
+    s, low = p["s"], p["norm"]
     given, known = F.exists(flat, lambda w: w.isin(*lex.given)), F.exists(flat, lambda w: w.isin(*lex.names))
     surname, admin = F.exists(flat, lambda w: w.isin(*lex.surnames)), F.exists(flat, lambda w: w.isin(*ADMIN))
     bad = (
-        (F.length(s) < 3) | narrative(s, lex) | s.rlike(JI + CITATION) | low.isin(*lex.formulas, *STOP, *NOT_NAME) | _has(low, NOT_PERSON) | (F.size(parts) == 0)
+        (F.length(s) < 3) | told | s.rlike(JI + CITATION) | low.isin(*lex.formulas, *STOP, *NOT_NAME) | _has(low, NOT_PERSON) | (F.size(parts) == 0)
         | (admin & ~given) | F.forall(flat, lambda w: w.isin(*ADMIN))
     )
     rest = F.when(s.rlike(J + r"[A-ZÁÉÍÓÚÑ]\."), known).when(F.size(parts) == 1, known).otherwise((F.size(parts) <= 5) & (surname | (given & (F.size(parts) >= 2))))
     return ~bad & rest
 
 
-def docket(s: Column, lex: Lexicon) -> Column:
-    low, digit = F.lower(s), s.rlike(r"(?U)\d")
+def docket(p: Column, lex: Lexicon) -> Column:
+    s, low, digit = p["s"], p["low"], p["s"].rlike(r"(?U)\d")
     fine = digit | F.contains(s, F.lit("/")) | F.contains(s, F.lit("-"))
     bad = low.rlike(J + r"^no\w+") & ~digit | low.rlike(J + r"^exp(?!ediente|te|\.?\s+\d|\.?\s+j-)") | ~s.rlike(JI + DOCKET) & ~digit
     return ~low.isin(*lex.formulas) & (s.rlike(JI + STRONG) | ~bad & fine)
 
 
-def address(s: Column, left: Column, right: Column, lex: Lexicon) -> Column:
-    low, flat = F.lower(s), normalize_text(s)
+def address(p: Column, lex: Lexicon) -> Column:
+    s, left, right, low, flat = (p[c] for c in ("s", "left", "right", "low", "norm"))
     street, digit, comma = s.rlike(JI + STREETS), s.rlike(r"(?U)\d"), F.contains(s, F.lit(","))
     near = F.concat(left, F.substring(right, 1, 30)).rlike(JI + STREETS)
     year = s.rlike(r"^(?:19\d\d|20\d\d|2100)$")
@@ -97,21 +117,25 @@ def address(s: Column, left: Column, right: Column, lex: Lexicon) -> Column:
 
 
 def phone(s: Column) -> Column:
-    d = digits(s)
+    return let(digits(s), lambda d: _phone(s, d))
+
+
+def _phone(s: Column, d: Column) -> Column:
     bad = (F.length(d) == 8) & ~F.startswith(s, F.lit("+")) | (F.length(d) >= 8) & F.startswith(d, F.lit("0205"))
     return ~bad & F.length(d).between(10, 13) & s.rlike(r"[+\- ]")
 
 
-def identity_number(s: Column, left: Column, right: Column) -> Column:
+def identity_number(p: Column) -> Column:
+    s, left, right = p["s"], p["left"], p["right"]
     labelled = _last(left, 24).rlike(JI + ID_LABEL)
     around = F.concat(_last(left, 80), F.lit(" "), F.substring(right, F.lit(1), F.length(s) + 40))
     money = around.rlike(JI + MONEY) | F.endswith(trim_white(_last(left, 3)), F.lit("$"))
     return F.length(digits(s)).between(7, 8) & (labelled | ~money)
 
 
-def court(s: Column) -> Column:
-    low = F.lower(s)
-    good = (F.length(s).between(8, 55)) & (F.size(words(s)) <= 6) & low.rlike(J + COURT)
+def court(p: Column) -> Column:
+    s, low = p["s"], p["low"]
+    good = (F.length(s).between(8, 55)) & (F.size(p["parts"]) <= 6) & low.rlike(J + COURT)
     return good & ~_has(low, NO_COURT) & ~s.rlike(JI + COURT_TALK) & ~s.rlike(JI + CUT_OFF)
 
 
@@ -120,32 +144,39 @@ def plate(s: Column) -> Column:
     return ~head.isin(*LEGAL) & F.regexp_replace(s, r"(?U)[\s\-]", "").rlike(JI + rf"^(?:{PLATE})$")
 
 
-def other(s: Column, left: Column) -> Column:
-    born, low = s.rlike(JI + rf"^\d{{1,2}}\s+de\s+{MONTHS}\s+de\s+\d{{4}}$"), F.lower(left)
+def other(p: Column) -> Column:
+    s = p["s"]
+    born, low = s.rlike(JI + rf"^\d{{1,2}}\s+de\s+{MONTHS}\s+de\s+\d{{4}}$"), F.lower(p["left"])
     code = s.rlike(JI + r"^[A-Z0-9][\w\-]{5,16}$") & s.rlike(r"(?U)\d") & _has(_last(low, 50), IDENTITY)
     return F.when(born, _has(_last(low, 40), ["nacid", "nacimiento"])).otherwise(code)
 
 
-def caption(left: Column, right: Column) -> Column:
-    around = F.concat(_last(left, 90), F.substring(right, 1, 140))
+def caption(p: Column) -> Column:
+    around = F.concat(_last(p["left"], 90), F.substring(p["right"], 1, 140))
     return around.rlike(JI + r"\bc\s*\.?/|\bcontra\b") & around.rlike(JI + r"\bs\s*\.?/|\bsobre\b")
 
 
 def valid(cat: Column, surface: Column, left: Column, right: Column, lex: Lexicon) -> Column:
     """Whether a span may stand, by its category; EMPRESA, EMAIL and CUIT always may."""
-    s, left, right = trim_white(surface), F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-    party = F.size(words(s)).between(2, 6) | (s.rlike(J + r"\p{Lu}") & (F.upper(s) == s))
+    return F.coalesce(view(surface, left, right, lambda p: _valid(cat, p, lex)), F.lit(False))
+
+
+def _valid(cat: Column, p: Column, lex: Lexicon) -> Column:
+    s = p["s"]
+    party = F.size(p["parts"]).between(2, 6) | (s.rlike(J + r"\p{Lu}") & (F.upper(s) == s))
     by_cat = (
-        F.when(cat == "PERSONA", F.when(caption(left, right) & ~narrative(s, lex), party).otherwise(person(s, lex)))
-        .when(cat == "EXPEDIENTE", docket(s, lex)).when(cat == "DOMICILIO", address(s, left, right, lex)).when(cat == "TELEFONO", phone(s))
-        .when(cat == "DNI", identity_number(s, left, right)).when(cat == "ORGANISMO", court(s)).when(cat == "PATENTE", plate(s))
-        .when(cat == "OTRO", other(s, left)).otherwise(True)
+        F.when(cat == "PERSONA", let(narrative(p, lex), lambda told: F.when(caption(p) & ~told, party).otherwise(person(p, told, lex))))
+        .when(cat == "EXPEDIENTE", docket(p, lex)).when(cat == "DOMICILIO", address(p, lex)).when(cat == "TELEFONO", phone(s))
+        .when(cat == "DNI", identity_number(p)).when(cat == "ORGANISMO", court(p)).when(cat == "PATENTE", plate(s)).when(cat == "OTRO", other(p)).otherwise(True)
     )
-    return F.coalesce((F.length(s) >= 2) & by_cat, F.lit(False))
+    return (F.length(s) >= 2) & by_cat
 
 
 def valid_manual(cat: Column, surface: Column, left: Column, right: Column, lex: Lexicon) -> Column:
     """The relaxed test of a hand-made selection: persons need only not be narrative, citation or institution."""
-    s = trim_white(surface)
-    relaxed = ~narrative(s, lex) & ~s.rlike(JI + CITATION) & ~_has(F.lower(s), ["juzgado", "fiscal", "tribunal", "dispuso", "de parte"])
-    return F.coalesce((F.length(s) >= 2) & F.when(cat == "PERSONA", relaxed).otherwise(valid(cat, surface, left, right, lex)), F.lit(False))
+
+    def test(p):
+        relaxed = ~narrative(p, lex) & ~p["s"].rlike(JI + CITATION) & ~_has(p["low"], ["juzgado", "fiscal", "tribunal", "dispuso", "de parte"])
+        return (F.length(p["s"]) >= 2) & F.when(cat == "PERSONA", relaxed).otherwise(_valid(cat, p, lex))
+
+    return F.coalesce(view(surface, left, right, test), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.lexicon import Lexicon, load
 from ..operators import anonymize, detect, detections, resolve
+from .work import settle
 
 
 @dataclass
@@ -21,10 +22,10 @@ class Analysis:
 
 
 def analyze(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat", categories: list[str] | None = None, lexicon: Lexicon | None = None, catalog: str | None = None) -> Analysis:
-    """Lazy tables of everything an analysis yields; nothing runs until one is used."""
+    """Tables of everything an analysis yields. Mentions and detections are written once; the rest is lazy."""
     lex = lexicon or load()
     scanned = detect.scan(docs, lex, key, text, catalog, keep_text=False)
-    found = detections.mentions(scanned, lex, key, categories)
-    table = detections.prune(detections.detections(found, key, mode), lex, key)
+    found = settle(detections.mentions(scanned, lex, key, categories), "mentions")
+    table = settle(detections.prune(detections.detections(found, key, mode), lex, key), "detections")
     links = resolve.edges(found, lex, key)
     return Analysis(found, table, links, resolve.clusters(found, links, key), detections.statistics(table, key), anonymize.anonymize(docs, table, key, text))
