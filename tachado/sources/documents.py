@@ -81,14 +81,14 @@ def docx_text(data: bytes) -> str:
 
 
 def read_uploads(spark: SparkSession, path: str, pdf_pages=None) -> DataFrame:
-    """Files under path -> doc_name, text, status. The size limit is pushed to the scan's file listing.
+    """Files under path -> doc_name, text, status. The size limit is pushed to the scan's file listing, which leaves out empty files.
 
     pdf_pages: a function bytes -> list of page texts; without one, PDFs get the status "no_reader".
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    fine = files.where(f"length > 0 and length <= {UPLOAD_BYTES}").select(name.alias("file"), "content")
-    refused = files.where(f"length = 0 or length > {UPLOAD_BYTES}").select(name.alias("file"), F.when(F.col("length") == 0, "empty").otherwise("too_large").alias("status"))
+    fine = files.where(f"length <= {UPLOAD_BYTES}").select(name.alias("file"), "content")
+    refused = files.where(f"length > {UPLOAD_BYTES}").select(name.alias("file"), F.lit("too_large").alias("status"))
 
     def extract(batches):
         import pyarrow as pa
