@@ -91,6 +91,7 @@ def _linked(key, fp, node, bits: int, block: int = 2048):
     """Links between rows of equal key (sorted) whose fingerprints differ in at most `bits` bits."""
     import numpy as np
 
+    fp = fp.view(np.uint64)  # counts of a signed number's bits are those of its magnitude
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     a, b = [], []
@@ -133,7 +134,7 @@ def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
 
         kept = None
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3)]
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             kept = [x[cut:] for x in rows]

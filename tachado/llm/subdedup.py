@@ -331,7 +331,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     whole = found.where("line").select("rid", "at", "n", "line", "cls", "first", F.lit(False).alias("follows"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
     asks = ends.unionByName(inner).unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct(*facts)).alias("_found"))
     asks = materialise(asks, "paragraph-removals")
-    marked = maybe_in(df.withColumn("rid", rid), "rid", id_filter(asks, "rid"))
+    asks = asks.withColumnRenamed("rid", "_rid")
+    marked = maybe_in(df.withColumn("_rid", rid), "_rid", id_filter(asks, "_rid"))
     none = [F.lit(0).alias("_stretches"), F.lit(0).alias("_words"), F.array().cast("array<bigint>").alias("_firsts")]
     still = marked.where(~F.col("_hit")).select(*df.columns, *none)
     names, at, kinds = df.columns, df.columns.index(text), dict(df.dtypes)
@@ -352,7 +353,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
             yield pa.RecordBatch.from_arrays([*columns, pa.array(extra[0], pa.int32()), pa.array(extra[1], pa.int32()), pa.array(extra[2], pa.list_(pa.int64()))], names=[*names, "_stretches", "_words", "_firsts"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _stretches int, _words int, _firsts array<bigint>"
-    changed = marked.where("_hit").join(asks, "rid", "left").select(*names, "_found").mapInArrow(rewrite, schema)
+    changed = marked.where("_hit").join(asks, "_rid", "left").select(*names, "_found").mapInArrow(rewrite, schema)
     return still.unionByName(changed)
 
 

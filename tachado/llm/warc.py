@@ -48,7 +48,8 @@ def _plain(value: str) -> str:
 
 def record(kind: str, key: str | None, url: str | None, digest: str, block: bytes, refers: str | None = None) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(key)}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [f"WARC-Target-URI: {_plain(url)}"] * (url is not None)
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_plain(url)}")
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers)}"]
