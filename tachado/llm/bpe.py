@@ -21,6 +21,16 @@ _CLOSING = frozenset(".,;:!?")
 _UNUSUAL = re.compile("[\x1c-\x1fɐ-\U0010ffff]")
 
 
+def _latin(text: str) -> bool:
+    """Whether a text is Latin-1 (so composed already) and without the separators that only Python takes for space."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
@@ -63,7 +73,7 @@ class WordText:
         return self._library
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() and not _UNUSUAL.search(text):
+        if _latin(text):
             return text.lower().split()
         if not _UNUSUAL.search(text):
             return unicodedata.normalize("NFC", text).lower().split()
@@ -98,7 +108,7 @@ class Kept(dict):
         if word.isascii() and word.isalpha():
             value = self._piece(word.encode())
         elif word[-1:] in _CLOSING and word[:-1].isalpha() and not _UNUSUAL.search(word) and len(word) > 1:
-            value = self[word[:-1]] + self._piece(word[-1].encode())
+            value = self[word[:-1]] + self[word[-1]]
         else:
             value = self._nothing
             for raw in self._text.pieces(word):

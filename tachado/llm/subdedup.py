@@ -81,31 +81,39 @@ def anchors(h):
 
 
 def paragraphs(text: str, least: int):
-    """Lines: (starts, lengths, hashes, bands); passages: (starts, hashes)."""
+    """Lines: (starts, lengths, shingles of all, one after the other); passages: (starts, hashes)."""
     import numpy as np
 
     lines = [line.split() for line in text.split("\n")]
-    words = [w for line in lines for w in line]
-    h = _hashes(words)
-    sizes = np.array([len(x) for x in lines], np.int64)
+    h = _hashes([w for line in lines for w in line])
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.r_[0, sizes.cumsum()[:-1]]
     big = sizes >= max(least, SHINGLE)
     starts, sizes = starts[big], sizes[big]
-    bands = np.zeros((len(starts), BANDS), np.uint64)
-    whole = np.zeros(len(starts), np.uint64)
-    if len(starts):
-        grams = _rolled(h, SHINGLE)
-        inside = np.concatenate([grams[s : s + n - SHINGLE + 1] for s, n in zip(starts, sizes, strict=True)])
-        cuts = np.r_[0, (sizes - SHINGLE + 1).cumsum()[:-1]]
-        whole = _mix(np.add.reduceat(_mix(np.arange(len(inside), dtype=np.uint64) - np.repeat(cuts, sizes - SHINGLE + 1).astype(np.uint64) + inside * np.uint64(31)), cuts) + sizes.astype(np.uint64))
-        for b in range(BANDS):
-            key = np.full(len(starts), b + 1, np.uint64)
-            for r in range(ROWS):
-                seed = np.uint64(((b * ROWS + r + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-                key = _mix(key * np.uint64(31) + np.minimum.reduceat(_mix(inside ^ seed), cuts))
-            bands[:, b] = key
+    grams = _rolled(h, SHINGLE)
+    inside = [grams[s : s + n - SHINGLE + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     at = anchors(h)
-    return (starts, sizes, whole, bands), (at, _rolled(h, WINDOW)[at] if len(at) else np.zeros(0, np.uint64))
+    return (starts, sizes, np.concatenate(inside) if inside else grams[:0]), (at, _rolled(h, WINDOW)[at] if len(at) else grams[:0])
+
+
+def banded(inside, sizes):
+    """Hashes and bands of lines, given their shingles one after the other and their lengths in words."""
+    import numpy as np
+
+    bands = np.zeros((BANDS, len(sizes)), np.uint64)
+    if not len(sizes):
+        return np.zeros(0, np.uint64), bands
+    each = sizes - SHINGLE + 1
+    cuts = np.r_[0, each.cumsum()[:-1]]
+    place = (np.arange(len(inside)) - np.repeat(cuts, each)).astype(np.uint64)
+    whole = _mix(np.add.reduceat(_mix(place + inside * np.uint64(31)), cuts) + sizes.astype(np.uint64))
+    for b in range(BANDS):
+        key = np.full(len(sizes), b + 1, np.uint64)
+        for r in range(ROWS):
+            seed = np.uint64(((b * ROWS + r + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+            key = _mix(key * np.uint64(31) + np.minimum.reduceat(_mix(inside ^ seed), cuts))
+        bands[b] = key
+    return whole, bands
 
 
 def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -116,27 +124,32 @@ def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         import numpy as np
         import pyarrow as pa
 
-        for whole in batches:
-            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                out = {n: [] for n in names}
-                for rid, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    (s, n, u, bands), (at, v) = paragraphs(text, least)
-                    m, w = len(s), len(at)
-                    out["rid"].append(np.full(m + w, rid, np.int64))
-                    out["k"].append(np.full(m + w, k, np.int64))
-                    out["at"].append(np.r_[s, at])
-                    out["n"].append(np.r_[n, np.zeros(w, np.int64)])
-                    out["u"].append(np.r_[u, v].view(np.int64))
-                    for i in range(BANDS):
-                        out[f"b{i}"].append(np.r_[bands[:, i].view(np.int64), np.zeros(w, np.int64)])
-                flat = {n: np.concatenate(v) for n, v in out.items()}
-                passage = pa.array(flat["n"] == 0)
-                columns = [pa.array(flat[n].astype(np.int32)) if n in ("at", "n") else pa.array(flat[n]) for n in names]
-                none = pa.nulls(len(passage), pa.int64())
-                import pyarrow.compute as pc
-
-                columns[5:] = [pc.if_else(passage, none, c) for c in columns[5:]]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        def rows(held):
+            """One batch of lines and passages; held: (rid, k, lines, passages) of some documents."""
+            own = [np.array(x, np.int64) for x in zip(*(h[:2] for h in held), strict=True)]
+            lines, cuts = [h[2] for h in held], [h[3] for h in held]
+            sizes = np.concatenate([x[1] for x in lines])
+            whole, bands = banded(np.concatenate([x[2] for x in lines]), sizes)
+            many, some = [len(x[0]) for x in lines], [len(x[0]) for x in cuts]
+            n = sum(some)
+            flat = [np.r_[np.repeat(x, many), np.repeat(x, some)] for x in own]
+            flat.append(np.concatenate([x[0] for x in lines] + [x[0] for x in cuts]).astype(np.int32))
+            flat.append(np.r_[sizes, np.zeros(n, np.int64)].astype(np.int32))
+            flat.append(np.r_[whole, np.concatenate([x[1] for x in cuts])].view(np.int64))
+            none = pa.nulls(n, pa.int64())
+            keys = [pa.concat_arrays([pa.array(x.view(np.int64)), none]) for x in bands]
+            return pa.RecordBatch.from_arrays([*map(pa.array, flat), *keys], names=names)
+
+        held, size = [], 0
+        for b in batches:
+            for rid, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append((rid, k, *paragraphs(text, least)))
+                size += len(text)
+                if size >= 1 << 20:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
     kinds = ["bigint", "bigint", "int", "int", "bigint"] + ["bigint"] * BANDS
     units = materialise(docs.select("rid", "k", "t").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))), "paragraphs")
