@@ -29,3 +29,8 @@ def analyze(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str
     table = settle(detections.prune(detections.detections(found, key, mode), lex, key), "detections")
     links = resolve.edges(found, lex, key)
     return Analysis(found, table, links, resolve.clusters(found, links, key), detections.statistics(table, key), anonymize.anonymize(docs, table, key, text))
+
+
+def cancel(spark, tag: str) -> None:
+    """Interrupts the jobs started under a tag (see spark.addTag)."""
+    spark.interruptTag(tag)
