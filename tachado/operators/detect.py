@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import STOP, Lexicon
 from ..functions.text import CHECK
 from . import catalog as catalogs
-from .rules import ADDRESSES, ENTITIES, PLATE, RULES, STREET_WORD
+from .rules import ADDRESSES, CAPTION_END, CAPTION_LENGTH, ENTITIES, LONG_SPACE, PLATE, RULES, STREET_WORD
 
 #: Characters kept to the left and right of a span's start, for the validity rules.
 LEFT, RIGHT = 120, 180
@@ -91,6 +91,8 @@ class Scanner:
         flags = {"": 0, "i": re.I, "is": re.I | re.S}
         self.lexicon = lexicon
         self.rules = [(r, re.compile(r.pattern, re.I if r.fold else 0) if r.pattern else None) for r in RULES]
+        self.guards = {r.guard: re.compile(r.guard, re.I) for r in RULES if r.guard}
+        self.caption_end, self.long_space = re.compile(CAPTION_END, re.I), re.compile(LONG_SPACE)
         self.addresses = [(re.compile(p, flags[f]), g, check) for p, g, check, f in ADDRESSES]
         self.catalog = [(ENTITIES[e], e == "RGX_CARATULA", re.compile(p)) for e, _, p in catalog]
 
@@ -132,6 +134,8 @@ class Scanner:
         if rule.check == "addresses":
             yield from ((text[a:b].strip(), a, b) for a, b in self._address_spans(text))
             return
+        if rule.guard and not self.guards[rule.guard].search(text):
+            return
         for m in pattern.finditer(text):
             if rule.check == "parties":
                 for part in "ab":
@@ -167,7 +171,7 @@ class Scanner:
     def _catalog_hits(self, text: str):
         seen = set()
         for cat, caption, pattern in self.catalog:
-            for m in pattern.finditer(text):
+            for m in self._captions(pattern, text) if caption else pattern.finditer(text):
                 g = next((i for i in range(1, (m.lastindex or 0) + 1) if m[i] and m[i].strip()), 0)
                 found = [(m[g].strip(), m.start(g), m.end(g))]
                 if caption:
@@ -177,6 +181,21 @@ class Scanner:
                         seen.add((a, b, cat))
                         yield cat, s, a, b
 
+    def _captions(self, pattern: re.Pattern, text: str):
+        """All matches of the caption pattern, sought only where one of its ends is near enough."""
+        if self.long_space.search(text):
+            yield from pattern.finditer(text)
+            return
+        regions: list[list[int]] = []
+        for m in self.caption_end.finditer(text):
+            a, b = max(0, m.start() - CAPTION_LENGTH), m.end() + 1
+            if regions and a <= regions[-1][1]:
+                regions[-1][1] = b
+            else:
+                regions.append([a, b])
+        for a, b in regions:
+            yield from pattern.finditer(text, a, b)
+
     @staticmethod
     def _parties(full: str, base: int, _end: int):
         cut = VERSUS.search(full)

@@ -19,6 +19,7 @@ class Rule:
     layer: str = "regex"
     strip: bool = False
     exact: bool = field(default=False)  # the span is the group's first equal text inside the match
+    guard: str = ""  # a part that every match holds: texts without it are not scanned
 
 
 # The formats that the detection must find, as patterns.
@@ -78,7 +79,7 @@ RULES = [
     Rule("DNI", r"\b(\d{1,2}\.\d{3}\.\d{3})\b", "dni", fold=False),
     Rule("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", fold=False),
     Rule("TELEFONO", r"(?:\+54\s?(?:9\s?)?\d{2,4}[-.\s]?\d{3,4}[-.\s]?\d{3,4}|(?:15|11)[-.\s]?\d{3,4}[-.\s]?\d{3,4})\b", "phone", fold=False),
-    Rule("EMPRESA", rf"\b((?:{UP}[\wÁÉÍÓÚÑáéíóúñ&\-\.]*\s+){{1,6}}{COMPANY})\b", "longer4"),
+    Rule("EMPRESA", rf"\b((?:{UP}[\wÁÉÍÓÚÑáéíóúñ&\-\.]*\s+){{1,6}}{COMPANY})\b", "longer4", guard=rf"\s{COMPANY}\b"),
     Rule("DOMICILIO", "", "addresses"),
     Rule("EXPEDIENTE", r"\b(?:expediente|expte\.?|causa|autos)\s+(?:n[°º]\.?\s*)?[:#]?\s*([A-Z0-9][A-Z0-9\-\/\.]{3,28})\b", "digit"),
     Rule("EXPEDIENTE", r"\b(?:expediente|expte\.?|causa)\s+n[°º]\.?\s*(\d[\d\-\/\.]{2,20})\b"),
@@ -91,7 +92,7 @@ RULES = [
         "longer8",
         strip=True,
     ),
-    Rule("PERSONA", rf"(?P<a>{PARTY})\s+(?:C\s*\.?/|CONTRA)\s+(?P<b>{PARTY})(?=\s+(?:S\s*\.?/|SOBRE\b)|[.;,\n]|$)", "parties", layer="ruler"),
+    Rule("PERSONA", rf"(?P<a>{PARTY})\s+(?:C\s*\.?/|CONTRA)\s+(?P<b>{PARTY})(?=\s+(?:S\s*\.?/|SOBRE\b)|[.;,\n]|$)", "parties", layer="ruler", guard=r"\s(?:C\s*\.?/|CONTRA)\s"),
     Rule(
         "PERSONA",
         rf"\b(?:Sr\.?|Sra\.?|Srta\.?|Dr\.?|Dra\.?|Lic\.?|Ing\.?|señor|señora|señorita|don|doña)[ \t]+({UP}{LOW}+{JOIN}(?:[ \t]+{UP}{LOW}+){{1,5}})",
@@ -128,6 +129,9 @@ RULES = [
     Rule("EMPRESA", rf"\b(?:Hotel|Automotores|Local|Comercio|TOTOS)\s+({UP}[\wÁÉÍÓÚÑáéíóúñ\s&\-\.]{{2,40}}?)\b", "shop"),
 ]
 
+#: The caption pattern of the catalog ends before one of these, and is at most so long where spaces run short.
+CAPTION_END, CAPTION_LENGTH, LONG_SPACE = r"s\\?/|sobre\b", 400, r"\s{40}"
+
 # Categories of the catalog's entities, and marks in descriptions of entries that stay out.
 ENTITIES = {
     "RGX_CARATULA": "PERSONA", "RGX_PERSONA_ROL": "PERSONA", "RGX_LUGAR": "EMPRESA", "RGX_DOMICILIO": "DOMICILIO", "RGX_EXPEDIENTE": "EXPEDIENTE",

@@ -136,3 +136,17 @@ def test_surnames_meet_in_both_orders(spark):
     df = spark.createDataFrame([("castro alicia carina", "alicia carina castro")], "a string, b string")
     r = df.select(*(T.surnames(T.name_tokens(F.col(c))).alias(c) for c in "ab")).first()
     assert set(r.a) & set(r.b)
+
+
+def test_captions_are_the_same_as_by_a_full_scan():
+    import random
+
+    from tachado.operators import catalog
+
+    s = detect.Scanner(LEX, catalog.load())
+    pattern = next(p for _, caption, p in s.catalog if caption)
+    rng, words = random.Random(1), ["Pérez", "Juan", "c/", "contra", "s/", "sobre", "S.A.", "c. ", "daños", "\n", "xsobre", "C/", "Gómez,", " " * 45]
+    texts = [" ".join(rng.choice(words[: 14 - (i % 2)]) for _ in range(rng.randint(5, 120))) for i in range(150)]
+    assert sum(len(list(pattern.finditer(t))) for t in texts) > 100
+    for t in texts:
+        assert [m.span() for m in s._captions(pattern, t)] == [m.span() for m in pattern.finditer(t)]
