@@ -253,6 +253,12 @@ class Scanner:
         return sorted(out, key=lambda h: h["start"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least two partitions a core: a small table is often one file that Spark can't split; a large one is left."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def scan(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", catalog: str | None = None, keep_text: bool = True) -> DataFrame:
     """key, text and `hits`: each document's packed spans of the rule layer, in order of start."""
     entries = catalogs.load(catalog)
@@ -267,5 +273,5 @@ def scan(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.struct(fields)))], names=["k", "text", "hits"])
 
     own = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    out = own.mapInArrow(run, f"k {dict(own.dtypes)['k']}, text string, hits array<{SPAN}>").withColumnRenamed("k", key)
+    out = spread(own).mapInArrow(run, f"k {dict(own.dtypes)['k']}, text string, hits array<{SPAN}>").withColumnRenamed("k", key)
     return out if keep_text else out.drop("text")
