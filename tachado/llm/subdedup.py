@@ -80,8 +80,21 @@ def anchors(h):
     return at[at + WINDOW <= len(h)]
 
 
+def _gaps(h, at):
+    """For each anchor a hash of the words from the one before up to it; none (0) if their passages meet."""
+    import numpy as np
+
+    out = np.zeros(len(at), np.uint64)
+    if len(at) > 1:
+        each = np.diff(at)
+        place = (np.arange(at[0], at[-1]) - np.repeat(at[:-1], each)).astype(np.uint64)
+        whole = _mix(np.add.reduceat(_mix(place + h[at[0] : at[-1]] * np.uint64(31)), at[:-1] - at[0]) + each.astype(np.uint64))
+        out[1:] = np.where(each > WINDOW, whole | np.uint64(1), np.uint64(0))
+    return out
+
+
 def paragraphs(text: str, least: int):
-    """Lines: (starts, lengths, shingles of all, one after the other); passages: (starts, hashes)."""
+    """Lines: (starts, lengths, shingles of all, one after the other); passages: (starts, hashes, gaps before)."""
     import numpy as np
 
     lines = [line.split() for line in text.split("\n")]
@@ -93,7 +106,7 @@ def paragraphs(text: str, least: int):
     grams = _rolled(h, SHINGLE)
     inside = [grams[s : s + n - SHINGLE + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     at = anchors(h)
-    return (starts, sizes, np.concatenate(inside) if inside else grams[:0]), (at, _rolled(h, WINDOW)[at] if len(at) else grams[:0])
+    return (starts, sizes, np.concatenate(inside) if inside else grams[:0]), (at, _rolled(h, WINDOW)[at] if len(at) else grams[:0], _gaps(h, at))
 
 
 def banded(inside, sizes):
@@ -117,8 +130,8 @@ def banded(inside, sizes):
 
 
 def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables of lines (rid, k, at, n, u, b0..) and passages (rid, k, at, u)."""
-    names = ["rid", "k", "at", "n", "u", *(f"b{i}" for i in range(BANDS))]
+    """Written tables of lines (rid, k, at, n, u, b0..) and passages (rid, k, at, u, gap)."""
+    names = ["rid", "k", "at", "n", "u", "gap", *(f"b{i}" for i in range(BANDS))]
 
     def run(batches):
         import numpy as np
@@ -136,9 +149,11 @@ def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             flat.append(np.concatenate([x[0] for x in lines] + [x[0] for x in cuts]).astype(np.int32))
             flat.append(np.r_[sizes, np.zeros(n, np.int64)].astype(np.int32))
             flat.append(np.r_[whole, np.concatenate([x[1] for x in cuts])].view(np.int64))
+            gaps = np.concatenate([x[2] for x in cuts]).view(np.int64)
+            gap = pa.concat_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(gaps, mask=gaps == 0)])
             none = pa.nulls(n, pa.int64())
             keys = [pa.concat_arrays([pa.array(x.view(np.int64)), none]) for x in bands]
-            return pa.RecordBatch.from_arrays([*map(pa.array, flat), *keys], names=names)
+            return pa.RecordBatch.from_arrays([*map(pa.array, flat), gap, *keys], names=names)
 
         held, size = [], 0
         for b in batches:
@@ -151,9 +166,9 @@ def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield rows(held)
 
-    kinds = ["bigint", "bigint", "int", "int", "bigint"] + ["bigint"] * BANDS
+    kinds = ["bigint", "bigint", "int", "int", "bigint", "bigint"] + ["bigint"] * BANDS
     units = materialise(docs.select("rid", "k", "t").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))), "paragraphs")
-    return units.where("n > 0"), units.where("n = 0").select("rid", "k", "at", "u")
+    return units.where("n > 0"), units.where("n = 0").select("rid", "k", "at", "u", "gap")
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,13 +307,14 @@ def cut_out(text: str, key: int, found: list[dict], least: int) -> tuple[str, in
             end = end if p["line"] else None
             continue
         a, b = p["at"], p["at"] + p["n"]
-        if p["follows"] and end is not None:
+        joined = p["follows"] and end is not None
+        if joined:
             a = min(a, end)
         end = end if p["line"] else b
         if not p["line"]:
             left, right = (p["left"] or "").split(), (p["right"] or "").split()
             i = 0
-            while i < len(left) and a > 0 and words[a - 1] == left[-1 - i]:
+            while not joined and i < len(left) and a > 0 and words[a - 1] == left[-1 - i]:
                 a, i = a - 1, i + 1
             i = 0
             while i < len(right) and b < len(words) and words[b] == right[i]:
@@ -325,15 +341,18 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     lines, passages = _cut(docs, least)
     reached = components(_near_links(docs, lines, similarity))
     classes = materialise(_classes(lines, passages, reached), "paragraph-classes")
-    units = lines.select("rid", "k", "at", "n", "u", F.lit(True).alias("line")).unionByName(passages.select("rid", "k", "at", F.lit(WINDOW).alias("n"), "u", F.lit(False).alias("line")))
-    found = materialise(units.join(classes, ["u", "line"]).select("rid", "k", "at", "n", "line", "cls", "first").distinct(), "paragraph-copies")
-    first = found.where("not line and k = first").groupBy("cls").agg(F.min(F.struct("k", "rid", "at")).alias("p"))
-    first = materialise(first.select("cls", F.col("p.rid").alias("first_rid"), F.col("p.at").alias("first_at")), "paragraph-firsts")
-    # A passage that follows its neighbour just as their first occurrences follow each other needs no words about it.
+    units = lines.select("rid", "k", "at", "n", "u", F.lit(True).alias("line"), F.lit(None).cast("long").alias("gap"))
+    units = units.unionByName(passages.select("rid", "k", "at", F.lit(WINDOW).alias("n"), "u", F.lit(False).alias("line"), "gap"))
+    found = materialise(units.join(classes, ["u", "line"]).select("rid", "k", "at", "n", "line", "gap", "cls", "first").distinct(), "paragraph-copies")
+    first = found.where("not line and k = first").groupBy("cls").agg(F.min(F.struct("k", "rid", "at", "gap")).alias("p"))
+    first = materialise(first.select("cls", F.col("p.rid").alias("first_rid"), F.col("p.at").alias("first_at"), F.col("p.gap").alias("first_gap")), "paragraph-firsts")
+    # A passage that follows its neighbour just as their first occurrences follow each other, with the same words
+    # between, needs no words about it. An equal gap begins with an equal passage, so that one is the row before.
     along = W.partitionBy("rid").orderBy("at", "cls")
     placed = found.where("not line").join(first, "cls")
     follows = (F.col("first_rid") == F.lag("first_rid").over(along)) & (F.col("at") - F.lag("at").over(along) == F.col("first_at") - F.lag("first_at").over(along))
-    placed = placed.withColumn("follows", F.coalesce(follows & (F.col("at") - F.lag("at").over(along) <= WINDOW + CONTEXT), F.lit(False)))
+    same = (F.col("at") - F.lag("at").over(along) <= WINDOW) | (F.col("gap") == F.col("first_gap"))
+    placed = placed.withColumn("follows", F.coalesce(follows & same, F.lit(False))).drop("gap", "first_gap")
     placed = placed.withColumn("edge", ~F.col("follows") | ~F.coalesce(F.lead("follows").over(along), F.lit(False)))
     placed = materialise(placed, "paragraph-places")
     cited = first.join(placed.where("edge").select("cls").distinct(), "cls").select("cls", F.col("first_rid").alias("rid"), F.col("first_at").alias("at"))
