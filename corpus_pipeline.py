@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tachado.llm import mixing, packing, quality, simhash, subdedup
 from tachado.llm.bpe import public_path
-from tachado.llm.common import materialise, without
+from tachado.llm.common import materialise, text_of, without
 from tachado.llm.queries import LEVELS, VOCABULARY, WEIGHTS, with_domain
 
 #: Share of the tokens at hand that the mixture budgets; a document is taken once at most.
@@ -29,11 +29,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of SimHash links the document of the smallest doc_id; documents without an id stay.
 
-    Rows that repeat the smallest doc_id all stay.
+    Rows that repeat the smallest doc_id all stay. Rows are judged one by one: of different texts under one doc_id
+    each stays or goes by its own component.
     """
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return without(docs, "doc_id", gone)
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), text_of("text")))
+    marked = docs.withColumn("_row", row)
+    groups = simhash.near_duplicates(marked, carry=["_row"])
+    gone = groups.where("component_id <> doc_id").select("_row").distinct()
+    return without(marked, "_row", gone).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

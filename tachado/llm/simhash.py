@@ -53,8 +53,9 @@ def _fingerprints(texts: list[str], shingle: int) -> list[int]:
     return out
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """key, fp: the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry, fp: the fingerprint as a signed 64-bit number."""
+    names = ["k", *carry, "fp"]
 
     def compute(batches):
         import numpy as np
@@ -62,10 +63,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
         for b in batches:
             fps = np.array(_fingerprints(b.column(1).to_pylist(), shingle), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps, pa.int64())], names=names)
 
-    own = df.select(F.col(key).alias("k"), text_of(text).alias("t"))
-    return own.mapInArrow(compute, f"k {dict(own.dtypes)['k']}, fp bigint").withColumnRenamed("k", key)
+    own = df.select(F.col(key).alias("k"), text_of(text).alias("t"), *carry)
+    kinds = {**dict(own.dtypes), "fp": "bigint"}
+    return own.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in names)).withColumnRenamed("k", key)
 
 
 def _forest(a, b):
@@ -146,10 +148,10 @@ def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
     return variants.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
-    """key, fp, component_id: the smallest key reachable by links of at most `bits` differing bits."""
-    marked = materialise(fingerprints(df, key, text), "simhash")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to carry, fp, component_id: the smallest key reachable by links of at most `bits` differing bits."""
+    marked = materialise(fingerprints(df, key, text, carry=carry), "simhash")
     nodes = marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node")).where("node is not null")
     reached = components(links(nodes, bits))
     by_fp = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(by_fp, "fp", "left").select(key, "fp", "component_id")
+    return marked.join(by_fp, "fp", "left").select(key, *carry, "fp", "component_id")

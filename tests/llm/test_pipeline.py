@@ -53,3 +53,10 @@ def test_odd_rows_pass_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DIR) if "text" in empty.columns else empty
         assert empty.count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two"))
+    docs = spark.createDataFrame([(1, a), (7, a), (7, b), (9, b)], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, DIR)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, a), (7, b)]
