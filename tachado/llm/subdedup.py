@@ -1,6 +1,6 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, components, removal of all but the first.
 
-Paragraphs are cut two ways. Lines of at least `least` words are paragraphs; equal ones are one node, and
+Paragraphs are cut two ways. Lines of at least SHINGLE words are paragraphs; equal ones are one node, and
 distinct ones that collide in a MinHash band (9 bands of 3: 99.8 % recall at similarity 0.8) are verified by
 the exact Jaccard similarity of their five-word shingles and joined into components. A line cannot show a
 passage that stands inside longer lines, so each text is also cut into passages of WINDOW words that begin at
@@ -93,7 +93,7 @@ def _gaps(h, at):
     return out
 
 
-def paragraphs(text: str, least: int):
+def paragraphs(text: str):
     """Lines: (starts, lengths, shingles of all, one after the other); passages: (starts, hashes, gaps before)."""
     import numpy as np
 
@@ -101,7 +101,7 @@ def paragraphs(text: str, least: int):
     h = _hashes([w for line in lines for w in line])
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.r_[0, sizes.cumsum()[:-1]]
-    big = sizes >= max(least, SHINGLE)
+    big = sizes >= SHINGLE
     starts, sizes = starts[big], sizes[big]
     grams = _rolled(h, SHINGLE)
     inside = [grams[s : s + n - SHINGLE + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
@@ -129,7 +129,7 @@ def banded(inside, sizes):
     return whole, bands
 
 
-def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables of lines (rid, k, at, n, u, b0..) and passages (rid, k, at, u, gap)."""
     names = ["rid", "k", "at", "n", "u", "gap", *(f"b{i}" for i in range(BANDS))]
 
@@ -158,7 +158,7 @@ def _cut(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         held, size = [], 0
         for b in batches:
             for rid, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append((rid, k, *paragraphs(text, least)))
+                held.append((rid, k, *paragraphs(text)))
                 size += len(text)
                 if size >= 1 << 20:
                     yield rows(held)
@@ -338,7 +338,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     """df's rows, text rewritten, with _stretches and _words removed and _firsts, the documents that keep them."""
     rid = F.xxhash64(F.col(key).cast("long"), text_of(text))
     docs = df.select(rid.alias("rid"), F.col(key).cast("long").alias("k"), text_of(text).alias("t")).where("k is not null")
-    lines, passages = _cut(docs, least)
+    lines, passages = _cut(docs)
     reached = components(_near_links(docs, lines, similarity))
     classes = materialise(_classes(lines, passages, reached), "paragraph-classes")
     units = lines.select("rid", "k", "at", "n", "u", F.lit(True).alias("line"), F.lit(None).cast("long").alias("gap"))

@@ -43,3 +43,12 @@ def test_equal_passages_and_the_words_between_them_go(spark):
     first, second = inside(shared), inside(shared)
     got = kept(spark, first, second)
     assert got[1] == first and got[2].split() == second.split()[:300] + second.split()[-300:]
+
+
+def test_runs_of_short_near_equal_lines_go(spark):
+    lines = [new_words(20) for _ in range(4)]
+    near = [line[:-1] + new_words(1) for line in lines]
+    head, alone = new_words(300), [new_words(300), near[0], new_words(300)]
+    join = lambda rows: "\n".join(map(" ".join, rows))
+    got = kept(spark, join(lines), join([head, *near]), join(alone))
+    assert got[1] == join(lines) and got[2].split() == head and got[3] == join(alone)
