@@ -4,7 +4,8 @@ Paragraphs are cut two ways. Lines of at least SHINGLE words are paragraphs; equ
 distinct ones that collide in a MinHash band (9 bands of 3: 99.8 % recall at similarity 0.8) are verified by
 the exact Jaccard similarity of their five-word shingles and joined into components. A line cannot show a
 passage that stands inside longer lines, so each text is also cut into passages of WINDOW words that begin at
-content-defined anchors (a word pair whose hash is the least within REACH words to either side); equal
+content-defined anchors (a word pair whose hash is the least within REACH words to either side; in a cycle of at most REACH words one
+such pair every WINDOW words or a little more); equal
 passages have similarity 1 and fall into one class without banding, and each removed one is widened, word by
 word, as far as its surroundings equal those of the class's first occurrence. Adjoining removed passages
 merge; a merged stretch goes if it has at least `least` words. Of each class the occurrence in the smallest
@@ -64,7 +65,10 @@ def _rolled(h, n: int):
 
 
 def anchors(h):
-    """Positions whose word pair has the strictly least hash within REACH before and the least within REACH after."""
+    """Positions whose word pair has the strictly least hash within REACH before and the least within REACH after.
+
+    Pairs that recur within REACH words tie; of tied ones those count that lie WINDOW or more after the anchor before.
+    """
     import numpy as np
 
     pair = _rolled(h, 2)
@@ -73,10 +77,19 @@ def anchors(h):
         return np.zeros(0, np.int64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     p = np.concatenate([np.full(REACH, top), pair, np.full(REACH, top)])
-    keep = np.ones(n, bool)
+    keep, tied = np.ones(n, bool), np.ones(n, bool)
     for d in range(1, REACH + 1):
-        keep &= (pair < p[REACH - d : REACH - d + n]) & (pair <= p[REACH + d : REACH + d + n])
-    at = np.flatnonzero(keep)
+        before, after = p[REACH - d : REACH - d + n], pair <= p[REACH + d : REACH + d + n]
+        keep &= (pair < before) & after
+        tied &= (pair <= before) & after
+    at, some = np.flatnonzero(keep), np.flatnonzero(tied)
+    if len(some) > len(at):
+        out, last = [], -WINDOW
+        for x, strict in zip(some.tolist(), keep[some].tolist(), strict=True):
+            if strict or x - last >= WINDOW:
+                out.append(x)
+                last = x
+        at = np.array(out, np.int64)
     return at[at + WINDOW <= len(h)]
 
 

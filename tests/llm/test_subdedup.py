@@ -52,3 +52,18 @@ def test_runs_of_short_near_equal_lines_go(spark):
     join = lambda rows: "\n".join(map(" ".join, rows))
     got = kept(spark, join(lines), join([head, *near]), join(alone))
     assert got[1] == join(lines) and got[2].split() == head and got[3] == join(alone)
+
+
+def test_cycles_have_anchors_throughout():
+    for period in range(1, 7):
+        at = anchors(_hashes(new_words(period) * 60)).tolist()
+        assert at[0] < period + 7 and max(b - a for a, b in zip(at, [*at[1:], period * 60 - WINDOW], strict=True)) < WINDOW + period + 7
+
+
+def test_shared_cycles_go(spark):
+    cycle = new_words(3) * 40
+    first, second = inside(cycle), inside(cycle)
+    got = kept(spark, first, second)
+    own = got[1].split()
+    assert own[:300] == first.split()[:300] and own[-300:] == first.split()[-300:] and set(own[300:-300]) == set(cycle)
+    assert got[2].split() == second.split()[:300] + second.split()[-300:]
