@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Tables
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -38,11 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node are absent. Nulls never link; self-loops and repeats change
     nothing. Empty edges give an empty table.
     """
-    e = materialise(_canonical(edges.where("a is not null and b is not null")), "edges")
+    now = Tables(edges.sparkSession)
+    e = now(_canonical(edges.where("a is not null and b is not null")), "edges")
     state = _state(e)
     while state[0]:
-        e = materialise(_canonical(_small_star(_canonical(_large_star(e)))), "edges")
+        last, now = now, Tables(edges.sparkSession)
+        e = now(_canonical(_small_star(_canonical(_large_star(e)))), "edges")
         before, state = state, _state(e)
+        last.drop()
         if before == state:
             break
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select(F.col("lo"), F.col("lo")).distinct())

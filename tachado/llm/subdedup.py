@@ -1,24 +1,32 @@
-"""Substring dedup: paragraph MinHash banding, exact Jaccard, components, removal of all but the first.
-
-Paragraphs are cut two ways. Lines of at least SHINGLE words are paragraphs; equal ones are one node, and
-distinct ones that collide in a MinHash band (9 bands of 3: 99.8 % recall at similarity 0.8) are verified by
-the exact Jaccard similarity of their five-word shingles and joined into components. A line cannot show a
-passage that stands inside longer lines, so each text is also cut into passages of WINDOW words that begin at
-content-defined anchors (a word pair whose hash is the least within REACH words to either side; in a cycle of at most REACH words one
-such pair every WINDOW words or a little more); equal
-passages have similarity 1 and fall into one class without banding, and each removed one is widened, word by
-word, as far as its surroundings equal those of the class's first occurrence. Adjoining removed passages
-merge; a merged stretch goes if it has at least `least` words. Of each class the occurrence in the smallest
-document (the first in it) stays.
-
-Only narrow rows are shuffled: texts move only for the documents whose paragraphs are verified, cited or
-rewritten, which a fixed-size bit filter picks out. A band's group is compared through an inverted index in
-one task and gives a spanning forest of its links, never all pairs; equal paragraphs are collapsed before.
+"""Substring dedup: paragraph MinHash banding, exact verification, components, removal of all but the first.
+
+Paragraphs are cut two ways, and both go through bands.
+
+* Lines of at least SHINGLE words. Equal ones are one node; distinct ones that collide in a MinHash band (BANDS
+  bands of ROWS: 99.8 % recall at similarity 0.8) are verified by the exact Jaccard similarity of their five-word
+  shingles and joined into components. Of a component the line of the smallest document (there the first) stays.
+* Passages: every run of `least` words, wherever lines break. A passage's one band is the least hash of its
+  RUN-word shingles. Neighbouring passages mostly share that shingle, so a stretch of passages with one band is one
+  row (its first passage and how many follow), about two rows for every nineteen words. Equal passages have equal
+  bands, so none is lost, periodic text included (of equal hashes the leftmost counts). Stretches that collide are
+  verified: equal stretches by a hash of all their words; of bands with several distinct stretches, one of each is
+  cut into its passages, which are compared by a hash of their words (similarity 1). What colliding stretches
+  have in common is thereby found to the word, without a limit to its length. Of equal passages the one in the
+  smallest document (key, then hash of the text, then place) stays.
+
+What goes is the union of the copies' words; inside one document a copy loses only words that no first occurrence
+there covers. Adjoining removed paragraphs merge; a merged stretch goes if it has at least `least` words.
+
+Only narrow rows are shuffled: texts move only for documents whose paragraphs are verified or rewritten, which a
+fixed-size bit filter picks out. Equal paragraphs are collapsed before they are compared. A band's group of more
+than CHUNK lines is not one task's: each line is first compared with the group's head; those that are not like it
+meet all others chunk by chunk, so no link is lost and no task holds more than two chunks.
 
 Defined cases: null and empty texts have no paragraphs and stay; rows with a null key take no part and stay;
-rows that repeat key and text are one document (each keeps the same text); of different texts under one key
-each is rewritten by its own paragraphs, and none of them is a copy of another; a document whose words all go
-keeps an empty text; an empty table gives an empty one.
+rows that repeat key and text are one document (each keeps the same text); different texts under one key are
+documents of their own; a document whose words all go keeps an empty text; ties go to the smaller key, then to
+the smaller hash of the text, then to the earlier place; columns of the caller may have any names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,16 +34,19 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_filter, materialise, maybe_in, text_of
+from .common import Tables, fresh, id_filter, materialise, maybe_in, text_of
 from .components import components
 from .simhash import _forest
 
 SHINGLE, BANDS, ROWS = 5, 9, 3
-WINDOW, REACH, CONTEXT = 13, 6, 32
+#: Words of the shingles whose least hash is a passage's band; a passage has at least twice as many.
+RUN = 8
+#: Most lines of a band's group that one task compares with each other.
+CHUNK = 1024
 WORD = re.compile(r"\S+")
+BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x):
@@ -52,126 +63,129 @@ def _hashes(words: list[str]):
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _rolled(h, n: int):
-    """A hash of each run of n words, in order."""
-    import numpy as np
+class Words:
+    """Hashes of a run of words, and of any stretch of them, whatever stands around it."""
 
-    m = len(h) - n + 1
-    out = np.zeros(max(0, m), np.uint64)
-    for j in range(n):
-        if m > 0:
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + m]
-    return _mix(out)
+    def __init__(self, words: list[str]):
+        import numpy as np
 
+        self.h, n = _hashes(words), len(words)
+        power = np.full(n + 1, BASE, np.uint64)
+        back = np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
+        power[:1] = back[:1] = 1
+        self.back = back.cumprod(dtype=np.uint64)
+        self.sums = np.r_[np.zeros(1, np.uint64), (_mix(self.h) * power.cumprod(dtype=np.uint64)[:n]).cumsum(dtype=np.uint64)]
 
-def anchors(h):
-    """Positions whose word pair has the strictly least hash within REACH before and the least within REACH after.
+    def of(self, start, size):
+        """Hashes of the stretches that begin at `start` (array) and have `size` words (array or number)."""
+        import numpy as np
+
+        return _mix((self.sums[start + size] - self.sums[start]) * self.back[start] + np.asarray(size).astype(np.uint64))
+
+    def all_of(self, n: int):
+        """A hash of each run of n words, in order."""
+        import numpy as np
+
+        return self.of(np.arange(max(0, len(self.h) - n + 1)), n)
 
-    Pairs that recur within REACH words tie; of tied ones those count that lie WINDOW or more after the anchor before.
-    """
-    import numpy as np
 
-    pair = _rolled(h, 2)
-    n = len(pair)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    p = np.concatenate([np.full(REACH, top), pair, np.full(REACH, top)])
-    keep, tied = np.ones(n, bool), np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        before, after = p[REACH - d : REACH - d + n], pair <= p[REACH + d : REACH + d + n]
-        keep &= (pair < before) & after
-        tied &= (pair <= before) & after
-    at, some = np.flatnonzero(keep), np.flatnonzero(tied)
-    if len(some) > len(at):
-        out, last = [], -WINDOW
-        for x, strict in zip(some.tolist(), keep[some].tolist(), strict=True):
-            if strict or x - last >= WINDOW:
-                out.append(x)
-                last = x
-        at = np.array(out, np.int64)
-    return at[at + WINDOW <= len(h)]
-
-
-def _gaps(h, at):
-    """For each anchor a hash of the words from the one before up to it; none (0) if their passages meet."""
+def _least(x, n: int):
+    """The least of each n neighbours."""
     import numpy as np
 
-    out = np.zeros(len(at), np.uint64)
-    if len(at) > 1:
-        each = np.diff(at)
-        place = (np.arange(at[0], at[-1]) - np.repeat(at[:-1], each)).astype(np.uint64)
-        whole = _mix(np.add.reduceat(_mix(place + h[at[0] : at[-1]] * np.uint64(31)), at[:-1] - at[0]) + each.astype(np.uint64))
-        out[1:] = np.where(each > WINDOW, whole | np.uint64(1), np.uint64(0))
-    return out
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
+        size += step
+    return x
 
 
-def paragraphs(text: str):
-    """Lines: (starts, lengths, shingles of all, one after the other); passages: (starts, hashes, gaps before)."""
+def stretches(words: Words, sizes, least: int):
+    """Of documents one after the other, of so many words: (starts, counts, bands) of stretches of passages with one band.
+
+    A stretch of n passages begins at `start` and covers n + least - 1 words.
+    """
     import numpy as np
 
-    lines = [line.split() for line in text.split("\n")]
-    h = _hashes([w for line in lines for w in line])
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.r_[0, sizes.cumsum()[:-1]]
-    big = sizes >= SHINGLE
-    starts, sizes = starts[big], sizes[big]
-    grams = _rolled(h, SHINGLE)
-    inside = [grams[s : s + n - SHINGLE + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    at = anchors(h)
-    return (starts, sizes, np.concatenate(inside) if inside else grams[:0]), (at, _rolled(h, WINDOW)[at] if len(at) else grams[:0], _gaps(h, at))
+    run = max(1, min(RUN, least // 2))
+    none = np.zeros(0, np.int64)
+    if len(words.h) < least:
+        return none, none, none.view(np.uint64)
+    low = np.uint64((1 << 24) - 1)
+    grams = words.all_of(run)
+    packed = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)  # ties: the leftmost
+    band = _least(packed, least - run + 1)
+    at = np.flatnonzero(np.arange(len(band)) + least <= np.repeat(sizes.cumsum(), sizes)[: len(band)])
+    if not len(at):
+        return none, none, none.view(np.uint64)
+    new = np.flatnonzero(np.r_[True, (band[at[1:]] != band[at[:-1]]) | (np.diff(at) > 1)])
+    start = at[new]
+    place = start + ((band[start] - start.astype(np.uint64)) & low).astype(np.int64)
+    return start, np.diff(np.r_[new, len(at)]), grams[place]
+
+
+def _flat(starts, counts):
+    """The numbers from each start on, as many as counted, one after the other."""
+    import numpy as np
 
+    return np.arange(counts.sum()) + np.repeat(starts - (counts.cumsum() - counts), counts)
 
-def banded(inside, sizes):
-    """Hashes and bands of lines, given their shingles one after the other and their lengths in words."""
+
+def banded(words: Words, starts, sizes):
+    """Hashes and bands of lines, given their places."""
     import numpy as np
 
     bands = np.zeros((BANDS, len(sizes)), np.uint64)
     if not len(sizes):
         return np.zeros(0, np.uint64), bands
     each = sizes - SHINGLE + 1
-    cuts = np.r_[0, each.cumsum()[:-1]]
-    place = (np.arange(len(inside)) - np.repeat(cuts, each)).astype(np.uint64)
-    whole = _mix(np.add.reduceat(_mix(place + inside * np.uint64(31)), cuts) + sizes.astype(np.uint64))
+    cuts, inside = each.cumsum() - each, words.all_of(SHINGLE)[_flat(starts, each)]
     for b in range(BANDS):
         key = np.full(len(sizes), b + 1, np.uint64)
         for r in range(ROWS):
-            seed = np.uint64(((b * ROWS + r + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+            seed = np.uint64(((b * ROWS + r + 1) * BASE) & 0xFFFFFFFFFFFFFFFF)
             key = _mix(key * np.uint64(31) + np.minimum.reduceat(_mix(inside ^ seed), cuts))
         bands[b] = key
-    return whole, bands
+    return words.of(starts, sizes), bands
 
 
-def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables of lines (rid, k, at, n, u, b0..) and passages (rid, k, at, u, gap)."""
-    names = ["rid", "k", "at", "n", "u", "gap", *(f"b{i}" for i in range(BANDS))]
+def _cut(docs: DataFrame, least: int, put: Tables) -> tuple[DataFrame, DataFrame]:
+    """Views of a written table of paragraphs: lines (rid, k, at, n, u, b0..) and stretches (rid, k, at, n, u, g, again)."""
+    names = ["rid", "k", "at", "n", "u", "g", "again", *(f"b{i}" for i in range(BANDS))]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def rows(held):
-            """One batch of lines and passages; held: (rid, k, lines, passages) of some documents."""
-            own = [np.array(x, np.int64) for x in zip(*(h[:2] for h in held), strict=True)]
-            lines, cuts = [h[2] for h in held], [h[3] for h in held]
-            sizes = np.concatenate([x[1] for x in lines])
-            whole, bands = banded(np.concatenate([x[2] for x in lines]), sizes)
-            many, some = [len(x[0]) for x in lines], [len(x[0]) for x in cuts]
-            n = sum(some)
-            flat = [np.r_[np.repeat(x, many), np.repeat(x, some)] for x in own]
-            flat.append(np.concatenate([x[0] for x in lines] + [x[0] for x in cuts]).astype(np.int32))
-            flat.append(np.r_[sizes, np.zeros(n, np.int64)].astype(np.int32))
-            flat.append(np.r_[whole, np.concatenate([x[1] for x in cuts])].view(np.int64))
-            gaps = np.concatenate([x[2] for x in cuts]).view(np.int64)
-            gap = pa.concat_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(gaps, mask=gaps == 0)])
-            none = pa.nulls(n, pa.int64())
+            """Paragraphs of some documents, given as (rid, k, lines of words)."""
+            words = Words([w for _, _, lines in held for line in lines for w in line])
+            owner = np.repeat(np.arange(len(held)), [len(lines) for _, _, lines in held])
+            size = np.fromiter((len(line) for _, _, lines in held for line in lines), np.int64, len(owner))
+            whole = np.bincount(owner, size, len(held)).astype(np.int64)
+            base = whole.cumsum() - whole
+            big = size >= SHINGLE
+            first, size, owner = (size.cumsum() - size)[big], size[big], owner[big]
+            u, bands = banded(words, first, size)
+            start, count, band = stretches(words, whole, least)
+            whose = np.searchsorted(whole.cumsum(), start, side="right")
+            of = np.r_[owner, whose]
+            rid, k = (np.array(x, np.int64)[of] for x in list(zip(*held, strict=True))[:2])
+            at = np.r_[first, start] - base[of]
+            spans = words.of(start, count + (least - 1))
+            columns = [rid, k, at.astype(np.int32), np.r_[size, count].astype(np.int32), np.r_[u, band].view(np.int64)]
+            none = pa.nulls(len(start), pa.int64())
+            g = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(spans.view(np.int64))])
+            again = np.ones(len(of), bool)  # the same stretch stands before in the document
+            again[len(u) + np.unique(_mix(spans + whose.astype(np.uint64) * np.uint64(BASE)), return_index=True)[1]] = False
             keys = [pa.concat_arrays([pa.array(x.view(np.int64)), none]) for x in bands]
-            return pa.RecordBatch.from_arrays([*map(pa.array, flat), gap, *keys], names=names)
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), g, pa.array(again), *keys], names=names)
 
         held, size = [], 0
         for b in batches:
             for rid, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append((rid, k, *paragraphs(text)))
+                held.append((rid, k, [line.split() for line in text.split("\n")]))
                 size += len(text)
                 if size >= 1 << 20:
                     yield rows(held)
@@ -179,39 +193,71 @@ def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield rows(held)
 
-    kinds = ["bigint", "bigint", "int", "int", "bigint", "bigint"] + ["bigint"] * BANDS
-    units = materialise(docs.select("rid", "k", "t").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))), "paragraphs")
-    return units.where("n > 0"), units.where("n = 0").select("rid", "k", "at", "u", "gap")
+    kinds = ["bigint", "bigint", "int", "int", "bigint", "bigint", "boolean"] + ["bigint"] * BANDS
+    units = put(docs.select("rid", "k", "t").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, kinds, strict=True))), "paragraphs")
+    return units.where("g is null").drop("g", "again"), units.where("g is not null").select("rid", "k", "at", "n", "u", "g", "again")
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (rid, asks) joined with the documents' texts, a row a document; others' texts do not move."""
-    near = maybe_in(docs, "rid", id_filter(wanted, "rid")).where("_hit").select("rid", "t")
-    return near.join(wanted, "rid").dropDuplicates(["rid"])
+def _of_hit(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """df's rows whose column is in wanted (column): a bit filter first, so that few others move."""
+    near = maybe_in(df, column, id_filter(wanted, column)).where("_hit").select(*df.columns)
+    return near.join(wanted, column, "left_semi")
 
 
-def _shingles(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """lines (u, rid, at, n) -> (u, s): the distinct shingles' hashes."""
+def _collisions(passages: DataFrame, put: Tables) -> tuple[DataFrame, DataFrame]:
+    """Written tables: stretches whose band has others (rid, k, at, n, u, g, again), and one of each kind of stretch.
+
+    The latter (u, g, k, rid, at, n, c, mixed): first place, how many are equal, and whether the band has other kinds.
+    """
+    shared = passages.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+    met = put(_of_hit(passages, shared, "u"), "passage-collisions")
+    kinds = met.groupBy("u", "g").agg(F.min(F.struct("k", "rid", "at", "n")).alias("p"), F.count("*").alias("c"))
+    kinds = put(kinds.select("u", "g", "p.*", "c"), "passage-kinds")
+    mixed = kinds.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u", F.lit(True).alias("mixed"))
+    return met, kinds.join(mixed, "u", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+
+
+def _details(docs: DataFrame, places: DataFrame, met: DataFrame, kinds: DataFrame, least: int, put: Tables) -> DataFrame:
+    """A written table of shingle sets (u, s) of the lines at `places`, and of passages (u, w, rid, k, at) of mixed bands.
+
+    Of those one stretch of each kind is cut up, and what a document repeats itself. Texts move once, and only of
+    documents that hold one of them.
+    """
+    names = ["u", "s", "w", "rid", "k", "at"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        kind = pa.list_(pa.int64())
         for b in batches:
-            us, sets = [], []
-            for text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = _hashes(text.split())
-                for a in asks:
-                    us.append(a["u"])
-                    sets.append(np.unique(_rolled(h[a["at"] : a["at"] + a["n"]], SHINGLE).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["u", "s"])
-
-    wanted = lines.groupBy("rid").agg(F.collect_list(F.struct("u", "at", "n")).alias("asks"))
-    return _with_texts(docs, wanted).select("t", "asks").mapInArrow(run, "u bigint, s array<bigint>")
-
-
-def _alike(sets: list, similarity: float):
-    """Pairs (i, j) of sets with at least this Jaccard similarity, through an inverted index."""
+            for rid, k, text, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = Words(text.split())
+                lines, others = [a for a in asks if a["line"]], [a for a in asks if not a["line"]]
+                if lines:
+                    grams = words.all_of(SHINGLE).view(np.int64)
+                    sets = pa.array([np.unique(grams[a["at"] : a["at"] + a["n"] - SHINGLE + 1]) for a in lines], kind)
+                    none = pa.nulls(len(lines), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([a["u"] for a in lines], pa.int64()), sets, none, none, none, pa.nulls(len(lines), pa.int32())], names=names)
+                for part in (others[i : i + 4096] for i in range(0, len(others), 4096)):
+                    counts = np.array([a["n"] for a in part], np.int64)
+                    at = _flat(np.array([a["at"] for a in part], np.int64), counts)
+                    u = np.repeat(np.array([a["u"] for a in part], np.int64), counts)
+                    both = [np.full(len(at), x, np.int64) for x in (rid, k)]
+                    columns = [pa.array(u), pa.nulls(len(at), kind), pa.array(words.of(at, least).view(np.int64)), *map(pa.array, both), pa.array(at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    ask = lambda df, line: df.select("rid", F.struct("u", "at", "n", F.lit(line).alias("line")).alias("a"))
+    mixed = kinds.where("mixed").select("u").distinct()
+    own = ask(met.where("again").join(mixed, "u", "left_semi"), False)
+    wanted = ask(places, True).unionByName(ask(kinds.where("mixed"), False)).unionByName(own).distinct().groupBy("rid").agg(F.collect_list("a").alias("asks"))
+    near = maybe_in(docs, "rid", id_filter(wanted, "rid")).where("_hit").select("rid", "k", "t")
+    held = near.join(wanted, "rid").dropDuplicates(["rid"]).select("rid", "k", "t", "asks")
+    return put(held.mapInArrow(run, "u bigint, s array<bigint>, w bigint, rid bigint, k bigint, at int"), "paragraph-details")
+
+
+def _alike(sets: list, asked, similarity: float):
+    """Pairs (i, j) of sets with at least this Jaccard similarity, i asked, through an inverted index; each pair once."""
     import numpy as np
 
     sizes = np.array([len(s) for s in sets])
@@ -224,191 +270,198 @@ def _alike(sets: list, similarity: float):
     rows, cut = owner[order], np.r_[0, np.bincount(code).cumsum()]
     start = np.r_[0, sizes.cumsum()]
     a, b = [], []
-    for i in range(len(sets) - 1):
+    for i in np.flatnonzero(asked).tolist():
         own = code[start[i] : start[i + 1]]
-        both = np.bincount(np.concatenate([rows[cut[c] : cut[c + 1]] for c in own]), minlength=len(sets))[i + 1 :]
-        j = np.flatnonzero(both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) + i + 1
+        both = np.bincount(np.concatenate([rows[cut[c] : cut[c + 1]] for c in own]), minlength=len(sets))
+        j = np.flatnonzero(both >= similarity * (sizes[i] + sizes - both) - 1e-9)
+        j = j[(j > i) | ~asked[j]]
         a.append(np.full(len(j), i))
         b.append(j)
     return np.concatenate(a), np.concatenate(b)
 
 
-def _near_links(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between distinct lines' hashes: enough to connect all of at least this similarity."""
-    one = lines.groupBy("u").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
-    keyed = one.select("u", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi")
-    members = materialise(keyed.join(shared, "key", "left_semi"), "band-members")
-    who = members.select("u").distinct()
-    places = lines.join(who, "u", "left_semi").groupBy("u").agg(F.min(F.struct("rid", "at", "n")).alias("p")).select("u", "p.*")
-    sets = materialise(_shingles(docs, places), "shingles")
+def _compared(cells: DataFrame, similarity: float) -> DataFrame:
+    """cells (cell, u, s, asked) -> links (a, b) of lines of one cell, of which one at least is asked."""
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        def links(keys, us, sets):
-            a, b, i = [], [], 0
+        def links(keys, us, asked, sets):
+            a, b = [], []
             bounds = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
             for i, j in zip(bounds, bounds[1:], strict=False):
-                if j - i > 1:
-                    x, y = _alike(sets[i:j], similarity)
+                if j - i > 1 and asked[i:j].any():
+                    x, y = _alike(sets[i:j], asked[i:j], similarity)
                     a.append(us[i:j][x])
                     b.append(us[i:j][y])
             pair = _forest(np.concatenate(a), np.concatenate(b)) if sum(map(len, a)) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], names=["a", "b"])
 
-        keys, us, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        kept = None  # the last cell's rows so far: keys, us, asked, and sets by batch
         for batch in batches:
-            keys, us = np.r_[keys, batch.column(0).to_numpy()], np.r_[us, batch.column(1).to_numpy()]
-            flat, ends = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy().cumsum()
-            sets = sets + np.split(flat, ends[:-1])
-            at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            sets = np.split(batch.column(3).flatten().to_numpy(), batch.column(3).value_lengths().to_numpy().cumsum()[:-1])
+            if kept is not None:
+                now, sets = [np.concatenate(x) for x in zip(kept[0], now, strict=True)], kept[1] + sets
+            at = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             if at:
-                yield links(keys[:at], us[:at], sets[:at])
-                keys, us, sets = keys[at:], us[at:], sets[at:]
-        if len(keys):
-            yield links(keys, us, sets)
+                yield links(*(x[:at] for x in now), sets[:at])
+                now, sets = [x[at:] for x in now], sets[at:]
+            kept = (now, sets)
+        if kept is not None and len(kept[0][0]):
+            yield links(*kept[0], kept[1])
 
-    groups = members.join(sets, "u").select("key", "u", "s").repartition("key").sortWithinPartitions("key")
-    return groups.mapInArrow(compare, "a bigint, b bigint").distinct()
+    dealt = cells.select("cell", "u", "asked", "s").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _classes(lines: DataFrame, passages: DataFrame, reached: DataFrame) -> DataFrame:
-    """(u, n0, cls, first): paragraphs of classes with more than one occurrence; first is the smallest document."""
-    own = lines.groupBy("u").agg(F.count("*").alias("c"), F.min("k").alias("first")).join(reached.withColumnRenamed("node", "u"), "u", "left")
-    own = own.select("u", "c", "first", F.coalesce("component", "u").alias("cls"))
-    all_of = own.groupBy("cls").agg(F.sum("c").alias("c"), F.min("first").alias("first")).where("c > 1")
-    line = own.select("u", "cls").join(all_of.select("cls", "first"), "cls").select("u", F.lit(True).alias("line"), "cls", "first")
-    passage = passages.groupBy("u").agg(F.count("*").alias("c"), F.min("k").alias("first")).where("c > 1").select("u", F.lit(False).alias("line"), F.col("u").alias("cls"), "first")
-    return line.unionByName(passage)
+def _colliding(lines: DataFrame, put: Tables) -> tuple[DataFrame, DataFrame]:
+    """A written table of lines that share a band (key, u, c: the band's lines), and a place (u, rid, at, n) of each."""
+    one = lines.groupBy("u").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
+    keyed = one.select("u", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = put(keyed.join(shared, "key"), "band-members")
+    return members, _of_hit(lines.select("u", "rid", "at", "n"), members.select("u").distinct(), "u").groupBy("u").agg(F.min(F.struct("rid", "at", "n")).alias("p")).select("u", "p.*")
 
 
-def _surroundings(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """first (cls, rid, at) -> (cls, left, right): the words about each class's first passage."""
+def _near_links(members: DataFrame, sets: DataFrame, similarity: float, put: Tables) -> DataFrame:
+    """Links (a, b) between distinct lines' hashes: enough to connect all of at least this similarity.
 
-    def run(batches):
-        import pyarrow as pa
+    A group of at most CHUNK lines is one cell. In a larger one each line is compared with the group's least (in the
+    JVM, so a hot group is split like any skewed join); lines like it are linked and done with each other; each
+    other line meets the whole group, chunk against chunk.
+    """
+    few = members.where(f"c <= {CHUNK}").join(sets, "u").select(F.col("key").alias("cell"), "u", "s", F.lit(True).alias("asked"))
+    hot = members.where(f"c > {CHUNK}").join(sets, "u")
+    head = members.where(f"c > {CHUNK}").groupBy("key").agg(F.min("u").alias("h")).join(sets.select(F.col("u").alias("h"), F.col("s").alias("hs")), "h")
+    both = F.size(F.array_intersect("s", "hs"))
+    near = both >= F.lit(similarity) * (F.size("s") + F.size("hs") - both) - F.lit(1e-9)
+    told = put(hot.join(head, "key").select("key", "u", "h", "s", "c", near.alias("near")), "band-hot")
+    star = told.where("near and u <> h").select(F.col("u").alias("a"), F.col("h").alias("b"))
+    left = told.groupBy("key").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("r")).where("r > 0")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("u"), chunks(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    spread = told.join(left, "key")
+    asking = spread.where("not near").select("key", "u", "s", own("r").alias("i"), all_of("c").alias("j"), F.lit(True).alias("asked"))
+    others = spread.select("key", "u", "s", all_of("r").alias("i"), own("c").alias("j"), F.lit(False).alias("asked"))
+    crowd = asking.unionByName(others).select(F.xxhash64("key", "i", "j").alias("cell"), "u", "s", "asked")
+    found = _compared(few.unionByName(crowd), similarity).where("a <> b").unionByName(star)
+    return put(found.distinct(), "line-links")
+
+
+def _line_copies(lines: DataFrame, reached: DataFrame, put: Tables) -> DataFrame:
+    """Lines (rid, at, n, cls, first) of classes with more than one occurrence; first is the smallest document."""
+    own = lines.groupBy("u").agg(F.count("*").alias("c"), F.min("k").alias("first")).join(reached.withColumnRenamed("node", "u"), "u", "left")
+    own = own.select("u", "c", "first", F.coalesce("component", "u").alias("cls"))
+    all_of = own.groupBy("cls").agg(F.sum("c").alias("c"), F.min("first").alias("first")).where("c > 1").select("cls", "first")
+    known = put(own.select("u", "cls").join(all_of, "cls"), "line-classes")
+    near = maybe_in(lines.select("rid", "at", "n", "u"), "u", id_filter(known, "u")).where("_hit").select("rid", "at", "n", "u")
+    return near.join(known, "u").select("rid", "at", "n", F.lit(None).cast("int").alias("own"), "cls", "first")
 
-        for b in batches:
-            out = {"cls": [], "left": [], "right": []}
-            for text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.split()
-                for a in asks:
-                    out["cls"].append(a["cls"])
-                    out["left"].append(" ".join(words[max(0, a["at"] - CONTEXT) : a["at"]]))
-                    out["right"].append(" ".join(words[a["at"] + WINDOW : a["at"] + WINDOW + CONTEXT]))
-            yield pa.RecordBatch.from_arrays([pa.array(out["cls"], pa.int64()), pa.array(out["left"], pa.string()), pa.array(out["right"], pa.string())], names=list(out))
 
-    wanted = first.groupBy("rid").agg(F.collect_list(F.struct("cls", "at")).alias("asks"))
-    return _with_texts(docs, wanted).select("t", "asks").mapInArrow(run, "cls bigint, left string, right string")
+def _passage_copies(met: DataFrame, kinds: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """Stretches of copied passages (rid, at, n words, own, cls null, first). own: where the first one begins, if in the same document."""
+    there = [F.col(c).alias(f"f_{c}") for c in ("k", "rid", "at")]
+    away = "not (rid = f_rid and at = f_at)"
+    own = F.when(F.col("rid") == F.col("f_rid"), F.col("f_at")).alias("own")
+    told = lambda df, n: df.where(away).select("rid", "at", n, own, F.lit(None).cast("bigint").alias("cls"), F.col("f_k").alias("first"))
+    whole = met.join(kinds.where("c > 1").select("u", "g", "mixed", *there), ["u", "g"]).where("not (mixed and rid = f_rid)")
+    firsts = parts.groupBy("u", "w").agg(F.min(F.struct("k", "rid", "at")).alias("p"), F.count("*").alias("c")).where("c > 1").select("u", "w", "p.*").select("u", "w", *there)
+    single = parts.join(firsts, ["u", "w"])
+    return told(whole, (F.col("n") + F.lit(least - 1)).cast("int").alias("n")).unionByName(told(single, F.lit(least).alias("n")))
 
 
-def cut_out(text: str, key: int, found: list[dict], least: int) -> tuple[str, int, int, list[int]]:
+def cut_out(text: str, at, size, own, cls, line, first, key: int, least: int) -> tuple[str, int, int, list[int]]:
     """The text without its removed stretches; stretches, words and first documents of what went.
 
-    found: paragraphs (at, n, line, cls, first, follows, left, right) of this document.
+    Arrays, a row a paragraph: place, words, place of the first one if here (else -1), class if a line, first document.
     """
-    words = text.split()
-    gone = bytearray(len(words))
-    firsts: dict[int, list] = {}
-    seen = set()
-    end = None  # of the passage before, if it goes
-    for p in sorted(found, key=lambda p: (p["at"], not p["line"], p["cls"])):
-        if p["first"] == key and (p["line"], p["cls"]) not in seen:
-            seen.add((p["line"], p["cls"]))
-            end = end if p["line"] else None
-            continue
-        a, b = p["at"], p["at"] + p["n"]
-        joined = p["follows"] and end is not None
-        if joined:
-            a = min(a, end)
-        end = end if p["line"] else b
-        if not p["line"]:
-            left, right = (p["left"] or "").split(), (p["right"] or "").split()
-            i = 0
-            while not joined and i < len(left) and a > 0 and words[a - 1] == left[-1 - i]:
-                a, i = a - 1, i + 1
-            i = 0
-            while i < len(right) and b < len(words) and words[b] == right[i]:
-                b, i = b + 1, i + 1
-        gone[a:b] = b"\x01" * (b - a)
-        firsts.setdefault(p["first"], []).append((a, b))
-    stretches = [m.span() for m in re.finditer(rb"\x01{%d,}" % least, gone)]
-    if not stretches:
+    import numpy as np
+
+    words = [m.span() for m in WORD.finditer(text)]
+    n = len(words)
+
+    def cover(some, begin):
+        return (np.bincount(begin[some], minlength=n + 1) - np.bincount(begin[some] + size[some], minlength=n + 1)).cumsum()[:n] > 0
+
+    goes, seen, order = np.ones(len(at), bool), set(), np.argsort(at, kind="stable")
+    for i in order[line[order]].tolist():  # of a class whose first document is this one, the first line stays
+        if first[i] == key and cls[i] not in seen:
+            seen.add(cls[i])
+            goes[i] = False
+    here = ~line & (own >= 0)
+    gone = cover(goes & ~here, at) | cover(here, at) & ~cover(here, own)
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+    runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= least]
+    if not runs:
         return text, 0, 0, []
-    spans = [m.span() for m in WORD.finditer(text)]
-    out, at = [], 0
-    for a, b in stretches:
-        out.append(text[at : spans[a][0]])
-        at = spans[b][0] if b < len(spans) else len(text)
-    out.append(text[at:])
-    hit = sorted(k for k, where in firsts.items() if any(a < y and x < b for x, y in where for a, b in stretches))
-    return "".join(out), len(stretches), sum(b - a for a, b in stretches), hit
+    out, begin, kept = [], 0, np.zeros(n + 1, np.int64)
+    for a, b in runs:
+        out.append(text[begin : words[a][0]])
+        begin = words[b][0] if b < n else len(text)
+        kept[a + 1 : b + 1] = 1
+    out.append(text[begin:])
+    kept = kept.cumsum()
+    hit = goes & (kept[at + size] > kept[at])
+    return "".join(out), len(runs), sum(b - a for a, b in runs), np.unique(first[hit]).tolist()
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 25, similarity: float = 0.8) -> DataFrame:
     """df's rows, text rewritten, with _stretches and _words removed and _firsts, the documents that keep them."""
     rid = F.xxhash64(F.col(key).cast("long"), text_of(text))
     docs = df.select(rid.alias("rid"), F.col(key).cast("long").alias("k"), text_of(text).alias("t")).where("k is not null")
-    lines, passages = _cut(docs)
-    reached = components(_near_links(docs, lines, similarity))
-    classes = materialise(_classes(lines, passages, reached), "paragraph-classes")
-    units = lines.select("rid", "k", "at", "n", "u", F.lit(True).alias("line"), F.lit(None).cast("long").alias("gap"))
-    units = units.unionByName(passages.select("rid", "k", "at", F.lit(WINDOW).alias("n"), "u", F.lit(False).alias("line"), "gap"))
-    found = materialise(units.join(classes, ["u", "line"]).select("rid", "k", "at", "n", "line", "gap", "cls", "first").distinct(), "paragraph-copies")
-    first = found.where("not line and k = first").groupBy("cls").agg(F.min(F.struct("k", "rid", "at", "gap")).alias("p"))
-    first = materialise(first.select("cls", F.col("p.rid").alias("first_rid"), F.col("p.at").alias("first_at"), F.col("p.gap").alias("first_gap")), "paragraph-firsts")
-    # A passage that follows its neighbour just as their first occurrences follow each other, with the same words
-    # between, needs no words about it. An equal gap begins with an equal passage, so that one is the row before.
-    along = W.partitionBy("rid").orderBy("at", "cls")
-    placed = found.where("not line").join(first, "cls")
-    follows = (F.col("first_rid") == F.lag("first_rid").over(along)) & (F.col("at") - F.lag("at").over(along) == F.col("first_at") - F.lag("first_at").over(along))
-    same = (F.col("at") - F.lag("at").over(along) <= WINDOW) | (F.col("gap") == F.col("first_gap"))
-    placed = placed.withColumn("follows", F.coalesce(follows & same, F.lit(False))).drop("gap", "first_gap")
-    placed = placed.withColumn("edge", ~F.col("follows") | ~F.coalesce(F.lead("follows").over(along), F.lit(False)))
-    placed = materialise(placed, "paragraph-places")
-    cited = first.join(placed.where("edge").select("cls").distinct(), "cls").select("cls", F.col("first_rid").alias("rid"), F.col("first_at").alias("at"))
-    about = _surroundings(docs, cited)
-    facts = ["at", "n", "line", "cls", "first", "follows", "left", "right"]
-    ends = placed.where("edge").join(about, "cls", "left").select("rid", *facts)
-    inner = placed.where("not edge").select("rid", "at", "n", "line", "cls", "first", "follows", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
-    whole = found.where("line").select("rid", "at", "n", "line", "cls", "first", F.lit(False).alias("follows"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"))
-    asks = ends.unionByName(inner).unionByName(whole).groupBy("rid").agg(F.collect_list(F.struct(*facts)).alias("_found"))
-    asks = materialise(asks, "paragraph-removals")
-    asks = asks.withColumnRenamed("rid", "_rid")
-    marked = maybe_in(df.withColumn("_rid", rid), "_rid", id_filter(asks, "_rid"))
+    put = Tables(df.sparkSession)
+    lines, passages = _cut(docs, least, put)
+    members, places = _colliding(lines, put)
+    met, kinds = _collisions(passages, put)
+    details = _details(docs, places, met, kinds, least, put)
+    links = _near_links(members, details.where("s is not null").select("u", "s"), similarity, put)
+    copies = _line_copies(lines, components(links), put).unionByName(_passage_copies(met, kinds, details.where("s is null"), least))
+    row, found, hit = (fresh(x, df.columns) for x in ("_rid", "_found", "_hit"))
+    facts = F.struct("at", "n", "own", "cls", "first")
+    asks = materialise(copies.groupBy(F.col("rid").alias(row)).agg(F.collect_set(facts).alias(found)), "paragraph-removals")
+    put.drop()  # what follows needs the removals only
+    marked = maybe_in(df.withColumn(row, rid), row, id_filter(asks, row), hit)
     none = [F.lit(0).alias("_stretches"), F.lit(0).alias("_words"), F.array().cast("array<bigint>").alias("_firsts")]
-    still = marked.where(~F.col("_hit")).select(*df.columns, *none)
-    names, at, kinds = df.columns, df.columns.index(text), dict(df.dtypes)
+    still = marked.where(~F.col(hit)).select(*df.columns, *none)
+    names, at, kinds_of = df.columns, df.columns.index(text), dict(df.dtypes)
     key_at = df.columns.index(key)
 
     def rewrite(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
+            asked = b.column(len(names))
+            ends = np.r_[0, asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()]
+            place, size, own, cls, first = asked.flatten().flatten()
+            line = cls.is_valid().to_numpy(zero_copy_only=False)
+            flat = [x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (place, size, own, cls)] + [line, first.to_numpy(zero_copy_only=False)]
             texts, extra = [], ([], [], [])
-            for k, t, f in zip(b.column(key_at).to_pylist(), b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                new, *facts = cut_out(t, int(k), f, least) if f and t and k is not None else (t, 0, 0, [])
+            for i, (k, t) in enumerate(zip(b.column(key_at).to_pylist(), b.column(at).to_pylist(), strict=True)):
+                x, y = ends[i], ends[i + 1]
+                new, *facts = cut_out(t, *(c[x:y] for c in flat), int(k), least) if y > x and t and k is not None else (t, 0, 0, [])
                 texts.append(new)
-                for x, y in zip(extra, facts, strict=True):
-                    x.append(y)
+                for one, v in zip(extra, facts, strict=True):
+                    one.append(v)
             columns = list(b.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(extra[0], pa.int32()), pa.array(extra[1], pa.int32()), pa.array(extra[2], pa.list_(pa.int64()))], names=[*names, "_stretches", "_words", "_firsts"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _stretches int, _words int, _firsts array<bigint>"
-    changed = marked.where("_hit").join(asks, "_rid", "left").select(*names, "_found").mapInArrow(rewrite, schema)
+    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in names) + ", _stretches int, _words int, _firsts array<bigint>"
+    changed = marked.where(hit).join(asks, row, "left").select(*names, found).mapInArrow(rewrite, schema)
     return still.unionByName(changed)
 
 
-def classes(result: DataFrame, key: str = "doc_id") -> DataFrame:
+def classes(result: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """dedup()'s rows, key, class_id (smallest document reachable through removed stretches), links, stretches, words, text."""
-    rows = materialise(result.withColumn("_k", F.col(key).cast("long")), "substring-dedup")
+    rows = materialise(result.select(F.col(key), F.col(key).cast("long").alias("_k"), "_firsts", "_stretches", "_words", F.col(text).alias("_text")), "substring-dedup")
     edges = rows.where("_k is not null").select(F.col("_k").alias("a"), F.explode("_firsts").alias("b"))
     reached = components(edges)
     joined = rows.join(reached.withColumnRenamed("node", "_k"), "_k", "left")
     return joined.select(
         key, F.coalesce("component", "_k").alias("class_id"), F.size(F.array_remove("_firsts", F.col("_k"))).alias("n_links"), F.col("_stretches").alias("n_removed"),
-        F.col("_words").alias("removed_words"), F.col("text").alias("kept_text"),
+        F.col("_words").alias("removed_words"), F.col("_text").alias("kept_text"),
     )

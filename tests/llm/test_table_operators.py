@@ -33,46 +33,6 @@ def test_passages_inside_lines_are_found_once(spark):
     assert [groups[i] for i in (0, 1, 5, 10)] == [0, 0, 0, 10]
 
 
-def test_near_equal_lines_equal_brute_force(spark):
-    rng = np.random.default_rng(4)
-    base = [passage(s, 60).split() for s in range(8)]
-    lines = []
-    for s in range(8):
-        for _ in range(9):
-            words = list(base[s])
-            for _ in range(int(rng.integers(0, 4))):
-                words[int(rng.integers(0, 60))] = "changed" + str(int(rng.integers(0, 9)))
-            lines.append(" ".join(words))
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
-    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in lines)]
-    parent = list(range(len(lines)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(lines)):
-        for b in range(a):
-            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    docs = df.selectExpr("doc_id as rid", "doc_id as k", "text as t")
-    from tachado.llm.components import components
-
-    cut, _ = subdedup._cut(docs, 25)
-    cut = cut.cache()
-    u = {r.rid: r.u for r in cut.collect()}
-    reached = {r.node: r.component for r in components(subdedup._near_links(docs, cut, 0.8)).collect()}
-    got = defaultdict(set)
-    for i in range(len(lines)):
-        got[reached.get(u[i], u[i])].add(i)
-    want = defaultdict(set)
-    for i in range(len(lines)):
-        want[root(i)].add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-
-
 def test_substring_dedup_of_nothing_and_repeats(spark):
     assert subdedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = passage(5, 80)
