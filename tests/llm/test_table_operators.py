@@ -102,6 +102,50 @@ def test_neighbours_copies_and_bad_vectors(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def brute_scores(rows, every, k):
+    out = []
+    for i, q in rows:
+        if i % every == 0:
+            q = np.array(q, float)
+            s = [(-float((q * v).sum() / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum()))), j) for j, v in ((j, np.array(v, float)) for j, v in rows if j != i and len(v) == len(q))]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(sorted(s)[:k])]
+    return out
+
+
+def test_neighbours_ties_go_to_the_smaller_keys(spark):
+    base = [0.5, -1.25, 3.0, 0.75, 2.0, -0.5, 1.0, 4.0]
+    rows = [(100 + i, [x * 2.0 ** ((7 * i) % 43 - 21) for x in base]) for i in range(43)]
+    rows += [(200 + i, [1.0, float(i), 2.0]) for i in range(12)] + [(300, [2.0, 4.0, 4.0]), (400, [1.0])]
+    df = spark.createDataFrame([(*r, 1, "d") for r in rows], "vec_id long, embedding array<double>, d int, far string").repartition(5)
+    got = sorted(tuple(r) for r in ann.nearest(df).collect())
+    want = sorted(brute_scores(rows, 50, 5))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-15)
+    assert [r[2] for r in got if r[0] == 100] == [101, 102, 103, 104, 105]
+
+
+def test_neighbours_in_levels(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.3 * rng.normal(size=8)]) for i in range(3000)] + [(3000 + i, [2.0**i] * 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "CENTROIDS", 8)
+    monkeypatch.setattr(ann, "CELLS", 6)
+    got = defaultdict(set)
+    for r in ann.nearest(df, list_size=48, chunk=96).collect():
+        got[r.query_id].add(r.vec_id)
+    want = brute_nearest(rows, 50, 5)
+    assert set(got) == set(want) and got[3000] == {3001, 3002, 3003, 3004, 3005}
+    assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_neighbours_plain_values_only(spark):
+    """What is broadcast needs no module of ours on the executors."""
+    import pickletools
+
+    blob = __import__("pickle").dumps(ann.graph_of(np.eye(4, dtype=np.float32)))
+    assert not any("tachado" in str(arg) for _, arg, _ in pickletools.genops(blob))
+
+
 def test_neighbours_recall(spark):
     d = "/root/testdata/sf0.1"
     x = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
@@ -124,7 +168,7 @@ def test_graph_finds_the_nearest_centroids():
     c = rng.normal(size=(300, 16)).astype(np.float32)
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     x = rng.normal(size=(50, 16)).astype(np.float32)
-    ids, _ = ann.Graph(c).search(x, 16)
+    ids, _ = ann.search(ann.graph_of(c), x, 16)
     best = np.argsort(-(x @ c.T), axis=1)[:, :4]
     assert np.mean([len(set(a) & set(b)) / 4 for a, b in zip(ids, best, strict=True)]) > 0.95
 
