@@ -7,13 +7,17 @@ depends on term and level only, so two texts have the same sample with the proba
 Jaccard similarity (sum of least weights over sum of greatest). r and b are shared by SHARE
 neighbouring samples, which leaves each sample's law as it is and saves logarithms.
 
-The document order (descending key, after the last the first) is cut into ranges of about RANGE documents by
-arithmetic on the key, and each range also gets the next range's first document; so "the next document" is a
-lead inside a range and no task sorts all documents. Texts are shuffled once, by range.
+The document order (descending key, then a hash of the text; after the last the first) is cut into ranges in two
+steps. At most BOUNDS quantiles of a sample of the keys cut it into sections, so far-off keys change little; a key
+that is several quantiles is a section of its own, and so are the null keys. A section is cut into ranges of about
+RANGE documents or CHARS characters by arithmetic: on the key, or, where all keys are equal, on the hash. Each
+range also gets the next range's first document, so "the next document" is a lead inside a range and no task sorts
+all documents. Texts are shuffled once, by range; the sections' facts are a few arrays in the plan.
 
 Defined cases: null texts are empty; texts without words have the fingerprint of zeros and are like each
 other (1) and unlike others (0); null keys come last; rows with equal keys follow each other by a hash of
-their text; with one document the next is itself; an empty table gives an empty one.
+their text; with one document the next is itself; the key and text columns may have any names, others are not
+looked at; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, small, text_of
+from .common import id_filter, materialise, maybe_in, small, text_of
 
 #: Samples in all, neighbouring samples that share r and b, and samples handled in one row.
 SAMPLES, SHARE, GROUP = 64, 2, 8
-#: Documents in a range of the order.
-RANGE = 2000
+#: Documents and characters in a range of the order, at most so many sections, and sampled keys for each.
+RANGE, CHARS, BOUNDS, SAMPLED = 256, 1 << 20, 4096, 32
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -76,21 +80,71 @@ def _alike(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return reduce(lambda x, y: x + y, (p.cast("int") for p in at)) / F.lit(float(samples))
 
 
+def _constant(values, kind: str) -> Column:
+    """An array of numbers as one literal of the plan; None is null."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _section(starts: list[int], k: Column) -> Column:
+    """The number (from 1) of the last start that is at most k, by halving; 0 if there is none, and for null keys."""
+    array, steps = _constant(starts, "bigint"), max(1, len(starts).bit_length())
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi"))
+
+    def halve(s, _):
+        mid = ((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        up = (s["lo"] < s["hi"]) & (F.try_element_at(array, mid) <= k)
+        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid - 1).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), whole, halve, lambda s: s["lo"])
+    return F.when(k.isNull(), F.lit(0)).otherwise(found)
+
+
+def sections(own: DataFrame, size: int) -> list[int]:
+    """Where sections of the keys begin, ascending: quantiles of a sample; keys that are several get a section."""
+    n = own.count()
+    wanted = min(BOUNDS, -(-n // size))
+    share = min(1.0, SAMPLED * wanted / max(1, n))
+    keys = own.select("k").where("k is not null")
+    keys = sorted(r["k"] for r in (keys if share == 1 else keys.sample(share, 7)).collect())  # about SAMPLED * BOUNDS at most
+    cuts = [keys[i * len(keys) // wanted] for i in range(wanted)] if keys else []
+    starts = {-(1 << 63), *cuts}
+    starts |= {a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < (1 << 63) - 1}
+    return sorted(starts)
+
+
 def in_ranges(df: DataFrame, key: str, text: str, size: int = RANGE) -> DataFrame:
     """Rows (bucket, extra, k, h, t): all documents, and as extra rows at each range's end the next range's first."""
     own = df.select(F.col(key).cast("long").alias("k"), text_of(text).alias("t"))
-    known = own.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("k").alias("n")).first()
-    lo, hi, n = known["lo"] or 0, known["hi"] or 0, known["n"] or 1
-    width = max(1, (hi - lo + 1) * size // max(1, n))
-    bucket = F.coalesce(F.expr(f"({hi}L - k) div {width}L"), F.lit((hi - lo) // width + 1))
-    docs = own.select(bucket.alias("bucket"), "k", F.xxhash64("t").alias("h"), "t")
-    first = docs.groupBy("bucket").agg(F.min(F.struct((-F.col("k")).alias("k"), "h")).alias("f"))
-    by_range = W.partitionBy(F.lit(0)).orderBy("bucket")
-    whole = by_range.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = first.select(F.coalesce(F.lag("bucket").over(by_range), F.max("bucket").over(whole)).alias("before"), "bucket", (-F.col("f.k")).alias("k"), F.col("f.h").alias("h"))
-    heads = small(materialise(heads, "fingerprint-ranges")).alias("x")
-    d = docs.alias("d")
-    again = d.join(heads, (F.col("d.bucket") == F.col("x.bucket")) & F.col("d.k").eqNullSafe(F.col("x.k")) & (F.col("d.h") == F.col("x.h")))
+    starts = sections(own, size)
+    placed = own.withColumn("s", _section(starts, F.col("k")))
+    known = placed.groupBy("s").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()  # at most 2 * BOUNDS + 2 rows
+    facts = {r["s"]: r for r in known}
+    width = len(starts) + 1
+    of = lambda value, kind: F.try_element_at(_constant([value(facts[i]) if i in facts else None for i in range(width)], kind), F.col("s") + 1)
+    parts = lambda r: max(-(-r["n"] // size), -(-r["c"] // CHARS), 1)
+    lo, hi, m = of(lambda r: r["lo"], "bigint").cast("double"), of(lambda r: r["hi"], "bigint").cast("double"), of(parts, "bigint")
+    by_key = F.floor((hi - F.col("k").cast("double")) / (hi - lo + 1) * m)
+    by_hash = F.floor((F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * m)
+    sub = F.least(F.when(hi > lo, by_key).otherwise(by_hash), m - 1)
+    ordered = placed.withColumn("h", F.xxhash64("t")).withColumn("sub", sub.cast("long"))
+    # Buckets are numbered as the order runs: sections from the greatest keys down, the null keys' last.
+    bases, total = [0] * width, 0
+    for i in [*range(width - 1, 0, -1), 0]:
+        bases[i] = total
+        total += parts(facts[i]) if i in facts else 0
+    docs = ordered.select((F.element_at(_constant(bases, "bigint"), F.col("s") + 1) + F.col("sub")).alias("bucket"), "s", "k", "h", "t")
+    first = docs.groupBy("s", "bucket").agg(F.max(F.struct("k", F.bitwise_not("h").alias("x"))).alias("f"))
+    first = materialise(first.select("s", "bucket", "f.k", F.bitwise_not("f.x").alias("h")), "fingerprint-ranges")
+    # The range before a section's first one is the last of the section before it (of the first section: the very last).
+    ends = {r["s"]: r["e"] for r in first.groupBy("s").agg(F.max("bucket").alias("e")).collect()}
+    along = [i for i in [*range(width - 1, 0, -1), 0] if i in ends]
+    last = {i: ends[along[j - 1]] for j, i in enumerate(along)}
+    inside = F.lag("bucket").over(W.partitionBy("s").orderBy("bucket"))
+    before = F.coalesce(inside, F.try_element_at(_constant([last.get(i) for i in range(width)], "bigint"), F.col("s") + 1))
+    heads = materialise(first.select(before.alias("before"), "bucket", "k", "h", F.xxhash64("bucket", "k", "h").alias("id")), "fingerprint-heads")
+    near = maybe_in(docs.withColumn("id", F.xxhash64("bucket", "k", "h")), "id", id_filter(heads, "id")).where("_hit")
+    d, x = near.select("bucket", "k", "h", "t", "id").alias("d"), small(heads).alias("x")
+    again = d.join(x, (F.col("d.id") == F.col("x.id")) & (F.col("d.bucket") == F.col("x.bucket")) & F.col("d.k").eqNullSafe(F.col("x.k")) & (F.col("d.h") == F.col("x.h")))
     again = again.select(F.col("before").alias("bucket"), F.lit(1).alias("extra"), "d.k", "d.h", "d.t").dropDuplicates(["bucket"])
     return docs.select("bucket", F.lit(0).alias("extra"), "k", "h", "t").unionByName(again)
 

@@ -8,14 +8,15 @@ one pass of running sums over the children, who are rows of a table of leaves, n
 
 A leaf with budget b and T tokens gives every document floor(b / T) times (whole epochs) and then the
 longest prefix of the next epoch's seeded order within the rest. The order is an md5 of seed, epoch and key.
-The prefix's end is found by sums over 4096 ranges of the order, then a running sum inside the one range
-that holds the end; so no leaf, however hot, is sorted by one task. What remains a leaf is one row (epochs,
-last key of the prefix), and documents are selected by a join with these rows, without moving their texts.
+The prefix's end is found by sums over 4096 ranges of the order, then over 4096 ranges of the one that holds
+the end, then by a running sum inside the last range (about one in 16 million of a leaf); so no leaf, however hot,
+is sorted by one task. What remains a leaf is one row (epochs, last key of the prefix), and documents are selected
+by a join with these rows, without moving their texts.
 
 Defined cases: null branch names count as ""; null texts have no tokens; documents without tokens follow the
 order like others; a leaf without tokens gives none; a null key sorts first within equal orders; repeated
-rows are documents of their own with the same order, taken or left together only if they fit; an empty table
-gives an empty one.
+rows are documents of their own with the same order, taken or left together only if they fit; columns of the
+caller may have any names (where one is named epoch, ours is epoch_); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, small, text_of
+from .common import fresh, materialise, small, text_of
 
-HEX, RANGE = 15, 3
+#: Hex digits of the order, and of its coarse and fine ranges.
+HEX, RANGES = 15, (3, 6)
 
 
 def token_count(text: str = "text") -> Column:
@@ -82,12 +84,15 @@ def plan(docs: DataFrame, levels: list[str], weights: dict[str, dict[str, float]
     dealt = budgets(leaves, levels, weights, epochs, share).withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)))
     dealt = materialise(dealt.withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "mixing-leaves")
     placed = rows.join(small(dealt.select(*levels, "whole", "rest")), levels).where("rest > 0").withColumn("_order", order_of(seed, F.col("whole"), "_key"))
-    placed = placed.withColumn("_range", F.substring("_order", 1, RANGE))
-    ranges = placed.groupBy(*levels, "rest", "_range").agg(F.sum("_n").alias("_sum"))
+    near, ends = placed.withColumn("_from", F.lit(0).cast("long")), None
     to_here = W.partitionBy(*levels).orderBy("_range")
-    ranges = ranges.withColumn("_end", F.sum("_sum").over(to_here)).withColumn("_from", F.col("_end") - F.col("_sum"))
-    ends = ranges.where("_end > rest").groupBy(*levels).agg(F.min(F.struct("_range", "_from")).alias("_at")).select(*levels, F.col("_at._range").alias("_range"), F.col("_at._from").alias("_from"))
-    near = placed.join(small(ends), [*levels, "_range"])
+    for digits in RANGES:
+        near = near.withColumn("_range", F.substring("_order", 1, digits))
+        ranges = near.groupBy(*levels, "rest", "_from", "_range").agg(F.sum("_n").alias("_sum"))
+        ranges = ranges.withColumn("_end", F.col("_from") + F.sum("_sum").over(to_here)).withColumn("_from", F.col("_end") - F.col("_sum"))
+        ends = ranges.where("_end > rest").groupBy(*levels).agg(F.min(F.struct("_range", "_from")).alias("_at")).select(*levels, "_at.*")
+        ends = small(materialise(ends, "mixing-ends"))
+        near = near.drop("_from").join(ends, [*levels, "_range"])
     running = near.withColumn("_to", F.col("_from") + F.sum("_n").over(W.partitionBy(*levels).orderBy("_order", "_key").rangeBetween(W.unboundedPreceding, 0)))
     last = running.where("_to <= rest").groupBy(*levels).agg(F.max(F.struct("_order", "_key")).alias("_last"))
     return dealt.join(ends.select(*levels, "_range"), levels, "left").join(last, levels, "left")
@@ -98,18 +103,13 @@ def mix(
 ) -> DataFrame:
     """docs' selected rows with `epoch` (from 0), a row for each epoch a document is taken in."""
     leaves = plan(docs, levels, weights, key, text, epochs, share, seed)
-    names = {c: f"_leaf_{c}" for c in levels}
-    table = leaves.select(*(F.col(c).alias(n) for c, n in names.items()), F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), F.col("_range").alias("_leaf_range"), "_last")
+    names = [f"l{i}" for i in range(len(levels))]
+    table = leaves.select(*(F.col(c).alias(n) for c, n in zip(levels, names, strict=True)), "whole", "rest", F.col("_range").alias("end"), F.col("_last").alias("last"))
     table = materialise(table, "mixing-plan")
-    fits = [F.coalesce(F.col(c), F.lit("")) == F.col(n) for c, n in names.items()]
-    on = fits[0]
-    for f in fits[1:]:
-        on &= f
-    all_rows = docs.join(small(table), on)
-    order = order_of(seed, F.col("_whole"), key)
-    cut = F.col("_last")
-    within = F.col("_leaf_range").isNull() | (F.substring(order, 1, RANGE) < F.col("_leaf_range"))
-    within = within | (cut.isNotNull() & (F.struct(order.alias("_order"), F.col(key).alias("_key")) <= cut))
-    times = F.col("_whole") + F.when((F.col("_rest") > 0) & within, 1).otherwise(0)
-    taken = all_rows.withColumn("_times", times).where("_times > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(key).alias("key"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(levels, names, strict=True)))
+    order = order_of(seed, F.col("whole"), "key")
+    within = F.col("end").isNull() | (F.substring(order, 1, RANGES[-1]) < F.col("end"))
+    within = within | (F.col("last").isNotNull() & (F.struct(order.alias("_order"), F.col("key").alias("_key")) <= F.col("last")))
+    times = F.col("whole") + F.when((F.col("rest") > 0) & within, 1).otherwise(0)
+    taken = rows.join(small(table), names).withColumn("times", times).where("times > 0")
+    return taken.select("own.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias(fresh("epoch", docs.columns)))

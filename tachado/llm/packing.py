@@ -2,12 +2,14 @@
 
 Each task tokenises its rows. A document's ids (plus a closing id) are cut into whole windows and one
 remainder; whole windows are sequences of their own. Remainders gather until `group` of them wait, then are
-dealt to the fewest windows that could hold them: every remainder starts as a partition of loads
-(size, 0, ..., 0); the two partitions of largest spread are merged, largest load with smallest, until one is
-left, so opposing imbalances cancel. If a window then exceeds the capacity, the count of windows rises and
-the differencing runs again. Near-equal windows close to capacity leave little padding.
-
-Nothing is shuffled, and memory is one Arrow batch and one group. sequence_id is the task's partition and a
+dealt to windows: every remainder starts as a partition of loads (size, 0, ..., 0); the two partitions of largest
+spread are merged, largest load with smallest, until one is left, so opposing imbalances cancel. The count of
+windows begins at one and rises while the remainders exceed its capacity. Lengths that can't be balanced by whole
+remainders (say, all a little over half a window) leave windows above capacity: what is above it is cut off
+the window's largest remainder and fills windows with room. So a group leaves less than one window of padding,
+whatever its lengths, spread over near-equal windows, and is differenced once.
+
+Nothing is shuffled, and memory is one Arrow batch and two groups. sequence_id is the task's partition and a
 running number, so a task that runs twice gives the same rows.
 
 Defined cases: null texts are empty (one piece, the closing id); null keys stay null; repeated rows are
@@ -71,14 +73,33 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The parts of the first count of windows, from the least that could do, that holds all within capacity."""
-    count = max(1, -(-sum(sizes) // capacity))
-    while True:
-        parts = difference(sizes, count)
-        if max(sum(sizes[i] for i in p) for p in parts) <= capacity:
-            return [p for p in parts if p]
-        count += max(1, count // 400)
+def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (index, start, length): all sizes, in the fewest windows of at most capacity."""
+    count, total = 1, sum(sizes)
+    while total > count * capacity:
+        count += max(1, (total - count * capacity) // capacity)
+    parts = [[(i, 0, sizes[i]) for i in p] for p in difference(sizes, count)]
+    loads, over = [sum(x[2] for x in p) for p in parts], []
+    for w, part in enumerate(parts):
+        while loads[w] > capacity:  # cut the largest one's end off
+            at = max(range(len(part)), key=lambda j: part[j][2])
+            i, start, length = part[at]
+            off = min(length, loads[w] - capacity)
+            part[at : at + 1] = [(i, start, length - off)] if off < length else []
+            over.append((i, start + length - off, off))
+            loads[w] -= off
+    room = sorted((w for w in range(count) if loads[w] < capacity), key=lambda w: loads[w])
+    while over:
+        i, start, length = over.pop()
+        w = room[-1]  # the fullest of those with room, so that few pieces are cut again
+        put = min(length, capacity - loads[w])
+        parts[w].append((i, start, put))
+        loads[w] += put
+        if loads[w] == capacity:
+            room.pop()
+        if put < length:
+            over.append((i, start + put, length - put))
+    return [sorted(p) for p in parts if p]
 
 
 def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 2, group: int = 1024) -> DataFrame:
@@ -100,11 +121,12 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
             nonlocal sequence
             taken, out = waiting[:n], []
             del waiting[:n]
-            for part in windows_of([p[2] for p in taken], capacity):
+            for part in windows_of([len(p[2]) // 4 for p in taken], capacity):
                 at = 0
-                for i in sorted(part):
-                    out.append((*taken[i], base + sequence, at))
-                    at += taken[i][2]
+                for i, begin, length in part:
+                    k, start, ids, n = taken[i]
+                    out.append((k, start + begin, length, zlib.crc32(ids[4 * begin : 4 * (begin + length)]), n, base + sequence, at))
+                    at += length
                 sequence += 1
             return out
 
@@ -114,13 +136,12 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
                 ids = memoryview(coder.ids(t) + tail)
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    piece = (k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
-                    if length == capacity:
-                        out.append((*piece, base + sequence, 0))
+                    some = ids[4 * start : 4 * (start + capacity)]
+                    if len(some) == 4 * capacity:
+                        out.append((k, start, capacity, zlib.crc32(some), n, base + sequence, 0))
                         sequence += 1
                     else:
-                        waiting.append(piece)
+                        waiting.append((k, start, bytes(some), n))
             while len(waiting) >= 2 * group:
                 out += deal(group)
             yield rows(out)

@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 20_000
@@ -145,21 +145,21 @@ def held_out(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Fits on at most `sample` labelled rows that are not held out."""
+    """Fits on at most `sample` labelled rows that are not held out, by a hash of key, label and text."""
     import numpy as np
 
     usable = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)").where(~held_out("_k"))
     chosen = usable.orderBy(F.xxhash64("_k"), "_k", "_y").limit(sample)
-    own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k")
-    rows = with_statistics(own, ["_k", "_y"], "_t").limit(4 * sample).collect()
+    own = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").withColumn("_h", F.xxhash64("_k", "_y", "_t"))
+    rows = with_statistics(own, ["_k", "_y", "_h"], "_t").orderBy("_h", "_k", "_y").limit(sample).collect()
     rows.sort(key=lambda r: (r["_k"], r["_y"], r["stats"]))
     x = np.array([r["stats"] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r["_y"] for r in rows], float))
 
 
 def scores(docs: DataFrame, model: Trees, keep: list[str], text: str = "text") -> DataFrame:
-    """keep's columns, _score (0 to 1) and _predicted (1 from 0.5 on)."""
-    apart = text not in keep
+    """keep's columns, _score (0 to 1) and _predicted (1 from 0.5 on), named anew where keep has these names."""
+    apart, added = text not in keep, [fresh("_score", keep), fresh("_predicted", keep)]
 
     def compute(batches):
         import numpy as np
@@ -169,8 +169,8 @@ def scores(docs: DataFrame, model: Trees, keep: list[str], text: str = "text") -
             at = len(keep) if apart else keep.index(text)
             stats = np.array([statistics(t or "") for t in b.column(at).to_pylist()], float).reshape(b.num_rows, len(STATISTICS))
             s = np.concatenate([model.score(stats[i : i + 1024]) for i in range(0, len(stats), 1024)]) if len(stats) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, *added])
 
     own = docs.select(*keep, *([text_of(text).alias("_text")] if apart else []))
     kinds = dict(own.dtypes)
-    return own.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _score double, _predicted int")
+    return own.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {added[0]} double, {added[1]} int")

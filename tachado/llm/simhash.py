@@ -7,9 +7,14 @@ Fingerprints that meet are compared in full. Equal fingerprints are one node thr
 multiply; of the links found in one batch of variant groups only a spanning forest goes on, so a group
 of m fingerprints gives fewer than m rows, while every link's ends stay connected.
 
+A variant group of more than GROUP fingerprints is not one task's: its members meet anew by that variant and one
+of four segments of the other half (two that differ in at most three bits there agree in one of four segments),
+and what is still larger meets chunk against chunk; so no link is lost, and no task holds more than two chunks.
+
 Defined cases: a null text is empty; texts without a word have fingerprint zero, linked like any other;
-a null key leaves the row with its fingerprint's component (null if no key of that component is known);
-repeated rows each get a row; an empty table gives an empty one.
+a row with a null key links others like any row and gets the smallest known key of its component (null if none is
+known); repeated rows each get a row; columns to carry may have any names but fp, component_id and the
+key's; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import fresh, materialise, text_of
 from .components import components
 
 SEED, WIDTH, HALF = 42, 64, 32
+#: Most fingerprints of a variant group that one task compares with each other.
+GROUP = 4096
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -55,7 +62,8 @@ def _fingerprints(texts: list[str], shingle: int) -> list[int]:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """key, the columns to carry, fp: the fingerprint as a signed 64-bit number."""
-    names = ["k", *carry, "fp"]
+    k, t = fresh("_k", [*carry, "fp"]), fresh("_t", [*carry, "fp"])
+    names = [k, *carry, "fp"]
 
     def compute(batches):
         import numpy as np
@@ -65,9 +73,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             fps = np.array(_fingerprints(b.column(1).to_pylist(), shingle), np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps, pa.int64())], names=names)
 
-    own = df.select(F.col(key).alias("k"), text_of(text).alias("t"), *carry)
+    own = df.select(F.col(key).alias(k), text_of(text).alias(t), *carry)
     kinds = {**dict(own.dtypes), "fp": "bigint"}
-    return own.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in names)).withColumnRenamed("k", key)
+    return own.mapInArrow(compute, ", ".join(f"`{c}` {kinds[c]}" for c in names)).withColumnRenamed(k, key)
 
 
 def _forest(a, b):
@@ -116,7 +124,47 @@ def _linked(key, fp, node, bits: int, block: int = 2048):
     return _forest(np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
-def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
+def _groups(batches, bits: int, most: int | None):
+    """Arrow batches (key, fp, node), sorted by key -> batches (a, b, key): links, and of groups above `most` the members (a: fp, b: node)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def batch(a, b, key=None):
+        keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), keys], names=["a", "b", "key"])
+
+    def linked(rows):
+        if len(rows[0]):
+            yield batch(*_linked(*rows, bits))
+
+    kept, large = None, None  # the last group so far; the key of one that is too large
+    for b in batches:
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if large is not None:
+            n = int(np.searchsorted(now[0], large, side="right"))
+            yield batch(now[1][:n], now[2][:n], now[0][:n])
+            now = [x[n:] for x in now]
+        rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
+        if not len(rows[0]):
+            continue
+        large = None
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from linked([x[:cut] for x in rows])
+        kept = [x[cut:] for x in rows]
+        if most is not None and len(kept[0]) > most:
+            yield batch(kept[1], kept[2], kept[0])
+            large, kept = int(kept[0][0]), None
+    if kept is not None:
+        yield from linked(kept)
+
+
+def _meet(rows: DataFrame, bits: int, most: int | None) -> DataFrame:
+    """rows (key, fp, node) -> (a, b, key): see _groups."""
+    # A group that ends inside a batch is compared there: its rows are at most a batch and what was kept.
+    return rows.select("key", "fp", "node").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _groups(batches, bits, most), "a bigint, b bigint, key bigint")
+
+
+def links(nodes: DataFrame, bits: int = 3, most: int = GROUP) -> DataFrame:
     """nodes (fp, node), one row a fingerprint -> links (a, b) between nodes, enough to connect all within `bits`."""
     if bits > 3:
         raise ValueError("two segments of one-bit variants are complete up to three bits")
@@ -129,29 +177,29 @@ def links(nodes: DataFrame, bits: int = 3) -> DataFrame:
             "node",
         )
     )
-
-    def meet(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        kept = None
-        for b in batches:
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            kept = [x[cut:] for x in rows]
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*(x[:cut] for x in rows), bits)], names=["a", "b"])
-        if kept is not None and len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(*kept, bits)], names=["a", "b"])
-
-    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    met = materialise(_meet(variants, bits, most), "simhash-links")
+    found = met.where("key is null").select("a", "b")
+    large = met.where("key is not null").select(F.col("a").alias("fp"), F.col("b").alias("node"), "key")
+    if not large.limit(1).count():
+        return found.distinct()
+    # The half that the variant is not of (variants of the lower half have keys below 32 << 32), by segments of 8 bits.
+    other = F.expr("shiftrightunsigned(fp, if(key < 137438953472L, 32, 0)) & 4294967295L")
+    split = large.withColumn("half", other).withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    split = split.withColumn("sub", F.xxhash64("key", "seg", F.expr("shiftrightunsigned(half, 8 * seg) & 255L")))
+    sizes = split.groupBy("sub").agg(F.ceil(F.count("*") / most).cast("int").alias("c"))
+    split = materialise(split.join(sizes, "sub").select("sub", "fp", "node", "c"), "simhash-large")
+    own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
+    cells = split.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    cells = cells.select(F.xxhash64("sub", F.least("own", "j"), F.greatest("own", "j")).alias("key"), "fp", "node")
+    return found.unionByName(_meet(cells, bits, None).select("a", "b")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3, carry: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """key, the columns to carry, fp, component_id: the smallest key reachable by links of at most `bits` differing bits."""
     marked = materialise(fingerprints(df, key, text, carry=carry), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("node")).where("node is not null")
-    reached = components(links(nodes, bits))
-    by_fp = nodes.join(reached, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    known = marked.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("least"))
+    reached = components(links(known.select("fp", F.col("fp").alias("node")), bits)).withColumnRenamed("node", "fp")
+    placed = known.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_fp = placed.join(named, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp", "left").select(key, *carry, "fp", "component_id")

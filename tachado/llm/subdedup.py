@@ -45,6 +45,7 @@ SHINGLE, BANDS, ROWS = 5, 9, 3
 RUN = 8
 #: Most lines of a band's group that one task compares with each other.
 CHUNK = 1024
+ADDED = ("_stretches", "_words", "_firsts")
 WORD = re.compile(r"\S+")
 BASE = 0x9E3779B97F4A7C15
 
@@ -409,7 +410,10 @@ def cut_out(text: str, at, size, own, cls, line, first, key: int, least: int) ->
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 25, similarity: float = 0.8) -> DataFrame:
-    """df's rows, text rewritten, with _stretches and _words removed and _firsts, the documents that keep them."""
+    """df's rows, text rewritten, with _stretches and _words removed and _firsts, the documents that keep them.
+
+    Where df has columns of these names, ours get an underscore more.
+    """
     rid = F.xxhash64(F.col(key).cast("long"), text_of(text))
     docs = df.select(rid.alias("rid"), F.col(key).cast("long").alias("k"), text_of(text).alias("t")).where("k is not null")
     put = Tables(df.sparkSession)
@@ -424,7 +428,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     asks = materialise(copies.groupBy(F.col("rid").alias(row)).agg(F.collect_set(facts).alias(found)), "paragraph-removals")
     put.drop()  # what follows needs the removals only
     marked = maybe_in(df.withColumn(row, rid), row, id_filter(asks, row), hit)
-    none = [F.lit(0).alias("_stretches"), F.lit(0).alias("_words"), F.array().cast("array<bigint>").alias("_firsts")]
+    added = [fresh(x, df.columns) for x in ADDED]
+    none = [F.lit(0).alias(added[0]), F.lit(0).alias(added[1]), F.array().cast("array<bigint>").alias(added[2])]
     still = marked.where(~F.col(hit)).select(*df.columns, *none)
     names, at, kinds_of = df.columns, df.columns.index(text), dict(df.dtypes)
     key_at = df.columns.index(key)
@@ -448,9 +453,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
                     one.append(v)
             columns = list(b.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(extra[0], pa.int32()), pa.array(extra[1], pa.int32()), pa.array(extra[2], pa.list_(pa.int64()))], names=[*names, "_stretches", "_words", "_firsts"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(extra[0], pa.int32()), pa.array(extra[1], pa.int32()), pa.array(extra[2], pa.list_(pa.int64()))], names=[*names, *added])
 
-    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in names) + ", _stretches int, _words int, _firsts array<bigint>"
+    schema = ", ".join(f"`{c}` {kinds_of[c]}" for c in names) + ", {} int, {} int, {} array<bigint>".format(*added)
     changed = marked.where(hit).join(asks, row, "left").select(*names, found).mapInArrow(rewrite, schema)
     return still.unionByName(changed)
 

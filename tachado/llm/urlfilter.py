@@ -4,6 +4,9 @@ DataFrame functions only. A rule (host, path, verdict) fits its host and all its
 path starts with the rule's path. The longest rule wins (host plus path); equal lengths go to the longer
 host, then to block. Urls without a fitting rule get the default verdict.
 
+Rows are expanded and brought together again by a number of their own, so neither null urls nor a url that many
+rows share meet in one task; a row's expressions collapse before they are shuffled.
+
 Defined cases: a null url, or one without "://", has host and path "" and the default verdict; repeated
 rows each get their row; an empty table gives an empty one; a rule with a null part never fits.
 """
@@ -15,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the equi-join uses; the whole digest confirms.
@@ -46,7 +49,7 @@ def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequ
 
 
 def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """df's distinct urls with host, path, the winning rule's text (or null) and the verdict.
+    """df's rows with _host, _path, the winning rule's text _rule (or null) and the _verdict (named anew if df has such columns).
 
     Only the rules' distinct label counts and path lengths come to the driver; both are bounded by the
     longest host and path of a rule, not by the number of rules or urls.
@@ -62,21 +65,20 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
             F.concat("r_host", "r_path").alias("rule"), F.col("verdict"),
         ).alias("fit"),
     ).withColumn("short", F.substring("r_digest", 1, SHORT))
-    urls = df.select(F.col(url).cast("string").alias("url")).where("url is not null").distinct()
-    wide = urls.select("url", F.explode(expressions(host_of(F.col("url")), path_of(F.col("url")), sorted(shape["n"]), sorted(shape["l"]))).alias("expression"))
-    keyed = wide.select("url", F.sha2("expression", 256).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
     if shape["c"] <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    best = keyed.join(table, "short").where("digest = r_digest").groupBy("url").agg(F.max("fit").alias("fit"))
-    return urls.join(best, "url", "left").select(
-        "url", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict")
-    )
+    own = F.col(f"own.`{url}`").cast("string")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"))
+    rows = rows.withColumn("host", host_of(own)).withColumn("path", path_of(own))
+    wide = rows.select("row", "own", "host", "path", F.explode_outer(expressions(F.col("host"), F.col("path"), sorted(shape["n"]), sorted(shape["l"]))).alias("expression"))
+    keyed = wide.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, SHORT))
+    met = keyed.join(table, "short", "left").withColumn("fit", F.when(F.col("digest") == F.col("r_digest"), F.col("fit")))
+    best = met.groupBy("row", "own", "host", "path").agg(F.max("fit").alias("fit"))
+    told = {"_host": F.col("host"), "_path": F.col("path"), "_rule": F.col("fit.rule"), "_verdict": F.coalesce("fit.verdict", F.lit(default))}
+    return best.select("own.*", *(c.alias(fresh(n, df.columns)) for n, c in told.items()))
 
 
 def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """One row per row of df: key, host, path, rule, verdict."""
-    own = df.select(F.col(key).alias("_key"), F.col(url).cast("string").alias("url"))
-    out = own.join(judge(df, rules, url, default), "url", "left")
-    return out.select(
-        F.col("_key").alias(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
-    )
+    out = judge(df.select(F.col(key).alias("key"), F.col(url).alias("url")), rules, "url", default)
+    return out.select(F.col("key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))

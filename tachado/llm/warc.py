@@ -2,9 +2,10 @@
 
 1. write: each task appends its rows as WARC response records to one gzip stream per archive (a monolithic
    archive; a new one after `roll` raw bytes). Only narrow index rows (key, digest, place) leave the task.
+   Archives are dealt to as many tasks as there are archives (their rows are narrow, their work is not).
 2. normalise: each archive is inflated once, front to back; every record becomes a gzip member of its own,
    and records whose payload another record has (smallest key first) become revisits. The offsets go to a
-   sidecar index: JSON lines beside the archive, and rows.
+   sidecar index: JSON lines beside the archive, and rows. Then the monolithic archives are removed.
 3. read: members are sought by the index, inflated and verified.
 
 Archives are written in the folder all executors share, each attempt under a name of its own; the index
@@ -27,11 +28,15 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder
+from .common import materialise, new_folder, remove
 
 STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+#: Bytes of members that one task reads, and most tasks that a stage is dealt to.
+READ, TASKS = 1 << 23, 20_000
+#: Subfolders of the archives before and after.
+WHOLE, MEMBERS = "monolithic", "members"
 
 
 def digest_of(payload: bytes) -> str:
@@ -120,7 +125,7 @@ def write_monolithic(df: DataFrame, folder: str, key: str, url: str, html: str,
     def write(batches):
         import pyarrow as pa
 
-        system, path = _open(folder)
+        system, path = _open(f"{folder}/{WHOLE}")
         out = z = None
         raw = ordinal = 0
         for b in batches:
@@ -155,13 +160,14 @@ def write_monolithic(df: DataFrame, folder: str, key: str, url: str, html: str,
 def normalise(index: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """index (archive, ordinal, refers) -> materialised rows (k, archive, start, size) of the new archives.
 
-    The index rows of one archive meet in one task in order; the archive is inflated once and removed.
+    The index rows of one archive meet in one task in order; the archive is inflated once. All archives are removed
+    once the new ones are written.
     """
 
     def rewrite(batches):
         import pyarrow as pa
 
-        system, path = _open(folder)
+        (system, path), (_, to) = _open(f"{folder}/{WHOLE}"), _open(f"{folder}/{MEMBERS}")
         now = source = out = side = None
         name, old, place = "", None, 0
         for b in batches:
@@ -175,8 +181,8 @@ def normalise(index: DataFrame, folder: str, level: int = 6) -> DataFrame:
                     now, name, place = archive, f"{uuid.uuid4().hex}.members.warc.gz", 0
                     old = system.open_input_stream(f"{path}/{archive}", compression=None)
                     source = enumerate(records(inflate(old)))
-                    out = system.open_output_stream(f"{path}/{name}", compression=None)
-                    side = system.open_output_stream(f"{path}/{name}.idx", compression=None)
+                    out = system.open_output_stream(f"{to}/{name}", compression=None)
+                    side = system.open_output_stream(f"{to}/{name}.idx", compression=None)
                 at, (head, block) = next(source)
                 if at != ordinal:
                     raise ValueError(f"{archive}: record {at} where {ordinal} was due")
@@ -194,8 +200,11 @@ def normalise(index: DataFrame, folder: str, level: int = 6) -> DataFrame:
             side.close()
             old.close()
 
-    dealt = index.select("archive", "ordinal", "k", "refers").repartition("archive").sortWithinPartitions("archive", "ordinal")
-    return materialise(dealt.mapInArrow(rewrite, "k string, archive string, start bigint, size bigint"), "warc-members")
+    archives = index.select("archive").distinct().count()
+    dealt = index.select("archive", "ordinal", "k", "refers").repartition(min(max(archives, 1), TASKS), "archive").sortWithinPartitions("archive", "ordinal")
+    members = materialise(dealt.mapInArrow(rewrite, "k string, archive string, start bigint, size bigint"), "warc-members")
+    remove(index.sparkSession, f"{folder}/{WHOLE}")
+    return members
 
 
 def read(members: DataFrame, folder: str) -> DataFrame:
@@ -204,7 +213,7 @@ def read(members: DataFrame, folder: str) -> DataFrame:
     def fetch(batches):
         import pyarrow as pa
 
-        system, path = _open(folder)
+        system, path = _open(f"{folder}/{MEMBERS}")
         name = file = None
         for b in batches:
             rows = {n: [] for n in ("k", "payload_bytes", "payload_digest", "record_type", "refers_to")}
@@ -227,7 +236,8 @@ def read(members: DataFrame, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    dealt = members.select("archive", "start", "size").repartition("archive", F.expr("start div 33554432")).sortWithinPartitions("archive", "start")
+    size = members.agg(F.sum("size")).first()[0] or 0
+    dealt = members.select("archive", "start", "size").repartition(min(max(2 * size // READ, 1), TASKS), "archive", F.expr(f"start div {READ}")).sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(fetch, "k string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 

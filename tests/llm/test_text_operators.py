@@ -102,6 +102,38 @@ def test_simhash_null_keys_and_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_simhash_rows_without_a_key_link_others(spark):
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    fps = {"a": 0, "b": 7, "c": 63}
+    import tachado.llm.simhash as module
+
+    real = module._fingerprints
+    try:
+        module._fingerprints = lambda texts, shingle: [fps[t] for t in texts]
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        module._fingerprints = real
+    assert got == {1: 1, None: 1, 2: 1}
+
+
+def test_simhash_large_groups_lose_no_link(spark):
+    from tachado.llm.components import components
+
+    rng = np.random.default_rng(2)
+    base = [int(x) for x in rng.integers(0, 2**63, 3)]
+    fps = sorted({b ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for b in base for _ in range(150)})
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, node long")
+    got = {r.node: r.component for r in components(simhash.links(nodes, most=4)).collect()}
+    want = brute_components(dict(enumerate(fps)))
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_simhash_columns_with_any_names(spark):
+    df = spark.createDataFrame([(1, "x y z", "p", 5, 6), (2, None, None, None, 7)], "doc_id long, text string, _k string, _t int, k int")
+    rows = {r.doc_id: r for r in simhash.near_duplicates(df, carry=["_k", "_t", "k"]).collect()}
+    assert (rows[1]._k, rows[1]._t, rows[1].k) == ("p", 5, 6) and rows[2].fp == 0
+
+
 def bag(text):
     return Counter(w for w in re.split(r"[\x20\x09-\x0D]+", text) if w)
 
@@ -139,6 +171,25 @@ def test_fingerprints_ranges_and_single_rows(spark):
     assert fingerprints.neighbours(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("keys", [
+    [*range(1, 40), 2**62], [-(2**63), 2**63 - 1, 0, 5, -7], [None] * 60 + [3, 9], [4] * 50 + [1, 9, None, 2**63 - 1, 2**63 - 1], [None] * 5,
+])
+def test_fingerprints_ranges_of_odd_keys(spark, keys):
+    """Ranges stay small, and every document's next one is the one of the whole order."""
+    df = spark.createDataFrame([(k, f"text {i} of some words") for i, k in enumerate(keys)], "id long, t string").repartition(3)
+    rows = fingerprints.in_ranges(df, "id", "t", size=5).collect()
+    own = Counter(r.bucket for r in rows if r.extra == 0)
+    assert sum(own.values()) == len(keys) and max(own.values()) <= 15
+    line = [r.t for b in sorted(own) for r in sorted((r for r in rows if r.bucket == b and not r.extra), key=lambda r: (r.k is None, -(r.k or 0), r.h))]
+    flat = [r for r in rows if not r.extra]
+    want = [r.t for r in sorted(flat, key=lambda r: (r.k is None, -(r.k or 0), r.h))]
+    assert line == want
+    heads = {r.bucket: r.t for r in rows if r.extra}
+    order = sorted(own)
+    firsts = {b: next(t for t in line if t in {r.t for r in flat if r.bucket == b}) for b in order}
+    assert heads == {b: firsts[order[(i + 1) % len(order)]] for i, b in enumerate(order)}
+
+
 def test_quality_learns_from_what_is_not_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op5_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
@@ -157,6 +208,16 @@ def test_quality_without_labels_and_odd_rows(spark):
     assert kept.where("text is null").count() == 1
 
 
+def test_quality_sample_counts_repeated_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    docs = spark.createDataFrame([(i % 40, f"text number {i % 90}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for parts in (1, 7):
+        quality.train(docs.repartition(parts), labels, sample=30)
+    assert len(seen[0][0]) == 30 and seen[0] == seen[1]
+
+
 def test_trees_equal_plain_recursion():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
@@ -198,12 +259,42 @@ def test_packing_round_trip(spark, library):
         assert at <= 4096
 
 
-def test_differencing_balances_and_rises():
+def whole(sizes, capacity=4096):
+    """windows_of(), checked: every size whole, no window above capacity; the number of windows."""
+    parts, pieces = packing.windows_of(sizes, capacity), {}
+    assert max(sum(n for _, _, n in p) for p in parts) <= capacity
+    for i, start, n in (x for p in parts for x in p):
+        pieces.setdefault(i, []).append((start, n))
+    for i, size in enumerate(sizes):
+        at = 0
+        for start, n in sorted(pieces[i]):
+            assert start == at and n > 0
+            at += n
+        assert at == size
+    return len(parts)
+
+
+def test_differencing_balances_and_cuts_what_is_above():
+    import time
+
     rng = np.random.default_rng(2)
-    sizes = [int(x) for x in rng.integers(1, 4096, 600)]
-    parts = packing.windows_of(sizes, 4096)
-    assert sorted(i for p in parts for i in p) == list(range(600)) and max(sum(sizes[i] for i in p) for p in parts) <= 4096
-    assert len(parts) <= 1.25 * sum(sizes) / 4096
-    small = [int(x) for x in rng.integers(1, 1200, 900)]
-    assert len(packing.windows_of(small, 4096)) <= 1.02 * sum(small) / 4096 + 1
-    assert packing.windows_of([4000, 4000], 4096) == [[0], [1]]
+    began = time.time()
+    for sizes in (
+        rng.integers(1, 4096, 600), rng.integers(1, 1200, 900), rng.integers(2100, 2300, 1024), rng.integers(2047, 2050, 2047), np.full(1024, 4095), np.full(1000, 2049), np.ones(700, int), [4000, 4000], [7],
+    ):
+        sizes = [int(x) for x in sizes]
+        assert whole(sizes) == -(-sum(sizes) // 4096)
+    assert time.time() - began < 30
+    assert packing.windows_of([4000, 4000], 4096) == [[(0, 0, 4000)], [(1, 0, 4000)]]
+    sizes = [int(x) for x in rng.integers(1, 1200, 900)]
+    loads = [sum(sizes[i] for i in p) for p in packing.difference(sizes, 140)]
+    assert max(loads) - min(loads) <= 8
+
+
+def test_uniform_long_documents_leave_little_padding(spark, library):
+    texts = ["word " * (1100 + i % 7) for i in range(400)]
+    rows = packing.pack(docs_of(spark, texts).repartition(2), public_path("word_bpe_49k.json")).collect()
+    load = Counter()
+    for r in rows:
+        load[r.sequence_id] += r.length
+    assert sum(load.values()) >= 0.98 * 4096 * (len(load) - 2)
