@@ -4,10 +4,11 @@ Each task tokenises its rows. A document's ids (plus a closing id) are cut into
 remainder; whole windows are sequences of their own. Remainders gather until `group` of them wait, then are
 dealt to windows: every remainder starts as a partition of loads (size, 0, ..., 0); the two partitions of largest
 spread are merged, largest load with smallest, until one is left, so opposing imbalances cancel. The count of
-windows begins at one and rises while the remainders exceed its capacity. Lengths that can't be balanced by whole
-remainders (say, all a little over half a window) leave windows above capacity: what is above it is cut off
-the window's largest remainder and fills windows with room. So a group leaves less than one window of padding,
-whatever its lengths, spread over near-equal windows, and is differenced once.
+windows is the least that could do; if one of them exceeds capacity, the count rises by a hundredth (by one at
+least) and the differencing runs again. Lengths that can't be balanced by whole remainders (say, all a little over
+half a window) still leave windows above capacity: what is above it is cut off the window's largest remainder and
+fills windows with room. So a group leaves about 1 % of padding at most, whatever its lengths, and is differenced
+twice at most.
 
 Nothing is shuffled, and memory is one Arrow batch and two groups. sequence_id is the task's partition and a
 running number, so a task that runs twice gives the same rows.
@@ -74,11 +75,13 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def windows_of(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of (index, start, length): all sizes, in the fewest windows of at most capacity."""
-    count, total = 1, sum(sizes)
-    while total > count * capacity:
-        count += max(1, (total - count * capacity) // capacity)
-    parts = [[(i, 0, sizes[i]) for i in p] for p in difference(sizes, count)]
+    """Windows of (index, start, length): all sizes, in windows of at most capacity, few more than must be."""
+    count = max(1, -(-sum(sizes) // capacity))
+    parts = difference(sizes, count)
+    if max(sum(sizes[i] for i in p) for p in parts) > capacity:
+        count += max(1, count // 100)
+        parts = difference(sizes, count)
+    parts = [[(i, 0, sizes[i]) for i in p] for p in parts]
     loads, over = [sum(x[2] for x in p) for p in parts], []
     for w, part in enumerate(parts):
         while loads[w] > capacity:  # cut the largest one's end off
