@@ -7,8 +7,8 @@ Paragraphs are cut two ways, and both go through bands.
   shingles and joined into components. Of a component the line of the smallest document (there the first) stays.
 * Passages: every run of `least` words, wherever lines break. A passage's one band is the least hash of its
   RUN-word shingles. Neighbouring passages mostly share that shingle, so a stretch of passages with one band is one
-  row (its first passage and how many follow), about two rows for every nineteen words. Equal passages have equal
-  bands, so none is lost, periodic text included (of equal hashes the leftmost counts). Stretches that collide are
+  row (its first passage and how many follow), about two rows for every nineteen words, one for a whole cycle.
+  Equal passages have equal bands, so none is lost. Stretches that collide are
   verified: equal stretches by a hash of all their words; of bands with several distinct stretches, one of each is
   cut into its passages, which are compared by a hash of their words (similarity 1). What colliding stretches
   have in common is thereby found to the word, without a limit to its length. Of equal passages the one in the
@@ -109,21 +109,17 @@ def stretches(words: Words, sizes, least: int):
     """
     import numpy as np
 
-    run = max(1, min(RUN, least // 2))
+    run = _run(least)
     none = np.zeros(0, np.int64)
     if len(words.h) < least:
         return none, none, none.view(np.uint64)
-    low = np.uint64((1 << 24) - 1)
     grams = words.all_of(run)
-    packed = (grams & ~low) | (np.arange(len(grams), dtype=np.uint64) & low)  # ties: the leftmost
-    band = _least(packed, least - run + 1)
+    band = _least(grams, least - run + 1)
     at = np.flatnonzero(np.arange(len(band)) + least <= np.repeat(sizes.cumsum(), sizes)[: len(band)])
     if not len(at):
         return none, none, none.view(np.uint64)
     new = np.flatnonzero(np.r_[True, (band[at[1:]] != band[at[:-1]]) | (np.diff(at) > 1)])
-    start = at[new]
-    place = start + ((band[start] - start.astype(np.uint64)) & low).astype(np.int64)
-    return start, np.diff(np.r_[new, len(at)]), grams[place]
+    return at[new], np.diff(np.r_[new, len(at)]), band[at[new]]
 
 
 def _flat(starts, counts):
@@ -205,48 +201,83 @@ def _of_hit(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     return near.join(wanted, column, "left_semi")
 
 
-def _collisions(passages: DataFrame, put: Tables) -> tuple[DataFrame, DataFrame]:
+def _run(least: int) -> int:
+    return max(1, min(RUN, least // 2))
+
+
+def _collisions(passages: DataFrame, least: int, put: Tables) -> tuple[DataFrame, DataFrame]:
     """Written tables: stretches whose band has others (rid, k, at, n, u, g, again), and one of each kind of stretch.
 
-    The latter (u, g, k, rid, at, n, c, mixed): first place, how many are equal, and whether the band has other kinds.
+    The latter (u, g, k, rid, at, n, c, mixed): first place, how many are equal, and whether it is to be cut up, since the
+    band has other kinds or the stretch repeats itself (one place of a shingle is in `least - _run + 1` passages).
     """
-    shared = passages.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+    itself = f"n > {least - _run(least) + 1}"
+    shared = passages.groupBy("u").agg(F.count("*").alias("c"), F.max(F.expr(itself)).alias("x")).where("c > 1 or x").select("u")
     met = put(_of_hit(passages, shared, "u"), "passage-collisions")
     kinds = met.groupBy("u", "g").agg(F.min(F.struct("k", "rid", "at", "n")).alias("p"), F.count("*").alias("c"))
     kinds = put(kinds.select("u", "g", "p.*", "c"), "passage-kinds")
-    mixed = kinds.groupBy("u").agg(F.count("*").alias("m")).where("m > 1").select("u", F.lit(True).alias("mixed"))
+    mixed = kinds.groupBy("u").agg(F.count("*").alias("m"), F.max(F.expr(itself)).alias("x")).where("m > 1 or x").select("u", F.lit(True).alias("mixed"))
     return met, kinds.join(mixed, "u", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
 
 
 def _details(docs: DataFrame, places: DataFrame, met: DataFrame, kinds: DataFrame, least: int, put: Tables) -> DataFrame:
-    """A written table of shingle sets (u, s) of the lines at `places`, and of passages (u, w, rid, k, at) of mixed bands.
+    """A written table of shingle sets (u, s) of the lines at `places`, and of passages (u, w, rid, k, at, more) of mixed bands.
 
     Of those one stretch of each kind is cut up, and what a document repeats itself. Texts move once, and only of
     documents that hold one of them.
     """
-    names = ["u", "s", "w", "rid", "k", "at"]
+    names, kind = ["u", "s", "w", "rid", "k", "at", "more"], "u bigint, s array<bigint>, w bigint, rid bigint, k bigint, at int, more array<int>"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        kind = pa.list_(pa.int64())
+        def sets(rows):
+            flat = pa.array(np.concatenate([x for _, x in rows]))
+            ends = np.r_[0, np.cumsum([len(x) for _, x in rows])].astype(np.int32)
+            none = pa.nulls(len(rows), pa.int64())
+            columns = [pa.array([u for u, _ in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), none, none, none, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        def parts(rows):
+            u, w, rid, k, at, many, more = (np.concatenate(x) for x in zip(*rows, strict=True))
+            ends = pa.array(np.r_[0, many.cumsum()].astype(np.int32))
+            columns = [pa.array(u), pa.nulls(len(u), pa.list_(pa.int64())), pa.array(w.view(np.int64)), pa.array(rid), pa.array(k), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(more.astype(np.int32)))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for b in batches:
-            for rid, k, text, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            asked = b.column(3)
+            ends = np.r_[0, asked.value_lengths().to_numpy(zero_copy_only=False).cumsum()].tolist()
+            ask_u, ask_at, ask_n, ask_line = (x.to_numpy(zero_copy_only=False) for x in asked.flatten().flatten())
+            shingles, passages, held = [], [], 0
+            for i, (rid, k, text) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
                 words = Words(text.split())
-                lines, others = [a for a in asks if a["line"]], [a for a in asks if not a["line"]]
-                if lines:
+                mine = slice(ends[i], ends[i + 1])
+                line, u, at, n = ask_line[mine], ask_u[mine], ask_at[mine].astype(np.int64), ask_n[mine].astype(np.int64)
+                if line.any():
                     grams = words.all_of(SHINGLE).view(np.int64)
-                    sets = pa.array([np.unique(grams[a["at"] : a["at"] + a["n"] - SHINGLE + 1]) for a in lines], kind)
-                    none = pa.nulls(len(lines), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([a["u"] for a in lines], pa.int64()), sets, none, none, none, pa.nulls(len(lines), pa.int32())], names=names)
-                for part in (others[i : i + 4096] for i in range(0, len(others), 4096)):
-                    counts = np.array([a["n"] for a in part], np.int64)
-                    at = _flat(np.array([a["at"] for a in part], np.int64), counts)
-                    u = np.repeat(np.array([a["u"] for a in part], np.int64), counts)
-                    both = [np.full(len(at), x, np.int64) for x in (rid, k)]
-                    columns = [pa.array(u), pa.nulls(len(at), kind), pa.array(words.of(at, least).view(np.int64)), *map(pa.array, both), pa.array(at.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    shingles += [(x, np.unique(grams[p : p + m - SHINGLE + 1])) for x, p, m in zip(u[line].tolist(), at[line].tolist(), n[line].tolist(), strict=True)]
+                if not line.all():
+                    u, n, at = u[~line], n[~line], at[~line]
+                    u, at = np.repeat(u, n), _flat(at, n)
+                    w = words.of(at, least)
+                    order = np.lexsort((at, w))  # passages that a document repeats are one row with all places
+                    u, w, at = u[order], w[order], at[order]
+                    new = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                    rest = np.ones(len(w), bool)
+                    rest[new] = False
+                    passages.append((u[new], w[new], np.full(len(new), rid), np.full(len(new), k), at[new], np.diff(np.r_[new, len(w)]) - 1, at[rest]))
+                held += int(n.sum())
+                if held > 1 << 17:
+                    if shingles:
+                        yield sets(shingles)
+                    if passages:
+                        yield parts(passages)
+                    shingles, passages, held = [], [], 0
+            if shingles:
+                yield sets(shingles)
+            if passages:
+                yield parts(passages)
 
     ask = lambda df, line: df.select("rid", F.struct("u", "at", "n", F.lit(line).alias("line")).alias("a"))
     mixed = kinds.where("mixed").select("u").distinct()
@@ -254,7 +285,7 @@ def _details(docs: DataFrame, places: DataFrame, met: DataFrame, kinds: DataFram
     wanted = ask(places, True).unionByName(ask(kinds.where("mixed"), False)).unionByName(own).distinct().groupBy("rid").agg(F.collect_list("a").alias("asks"))
     near = maybe_in(docs, "rid", id_filter(wanted, "rid")).where("_hit").select("rid", "k", "t")
     held = near.join(wanted, "rid").dropDuplicates(["rid"]).select("rid", "k", "t", "asks")
-    return put(held.mapInArrow(run, "u bigint, s array<bigint>, w bigint, rid bigint, k bigint, at int"), "paragraph-details")
+    return put(held.mapInArrow(run, kind), "paragraph-details")
 
 
 def _alike(sets: list, asked, similarity: float):
@@ -369,8 +400,11 @@ def _passage_copies(met: DataFrame, kinds: DataFrame, parts: DataFrame, least: i
     own = F.when(F.col("rid") == F.col("f_rid"), F.col("f_at")).alias("own")
     told = lambda df, n: df.where(away).select("rid", "at", n, own, F.lit(None).cast("bigint").alias("cls"), F.col("f_k").alias("first"))
     whole = met.join(kinds.where("c > 1").select("u", "g", "mixed", *there), ["u", "g"]).where("not (mixed and rid = f_rid)")
-    firsts = parts.groupBy("u", "w").agg(F.min(F.struct("k", "rid", "at")).alias("p"), F.count("*").alias("c")).where("c > 1").select("u", "w", "p.*").select("u", "w", *there)
-    single = parts.join(firsts, ["u", "w"])
+    alone = parts.groupBy("w").agg(F.count("*").alias("c"), F.max(F.size("more")).alias("m")).where("c > 1 or m > 0").select("w")
+    met = maybe_in(parts.drop("s"), "w", id_filter(alone, "w")).where("_hit").drop("_hit")  # most others stay where they are
+    firsts = met.groupBy("u", "w").agg(F.min(F.struct("k", "rid", "at")).alias("p"), F.count("*").alias("c"), F.max(F.size("more")).alias("m"))
+    firsts = firsts.where("c > 1 or m > 0").select("u", "w", "p.*").select("u", "w", *there)
+    single = met.join(firsts, ["u", "w"]).withColumn("at", F.explode(F.concat(F.array("at"), "more")))
     return told(whole, (F.col("n") + F.lit(least - 1)).cast("int").alias("n")).unionByName(told(single, F.lit(least).alias("n")))
 
 
@@ -387,10 +421,9 @@ def cut_out(text: str, at, size, own, cls, line, first, key: int, least: int) ->
     def cover(some, begin):
         return (np.bincount(begin[some], minlength=n + 1) - np.bincount(begin[some] + size[some], minlength=n + 1)).cumsum()[:n] > 0
 
-    goes, seen, order = np.ones(len(at), bool), set(), np.argsort(at, kind="stable")
+    goes, stays, order = np.ones(len(at), bool), {}, np.argsort(at, kind="stable")
     for i in order[line[order]].tolist():  # of a class whose first document is this one, the first line stays
-        if first[i] == key and cls[i] not in seen:
-            seen.add(cls[i])
+        if first[i] == key and stays.setdefault(cls[i], at[i]) == at[i]:
             goes[i] = False
     here = ~line & (own >= 0)
     gone = cover(goes & ~here, at) | cover(here, at) & ~cover(here, own)
@@ -419,13 +452,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 2
     put = Tables(df.sparkSession)
     lines, passages = _cut(docs, least, put)
     members, places = _colliding(lines, put)
-    met, kinds = _collisions(passages, put)
+    met, kinds = _collisions(passages, least, put)
     details = _details(docs, places, met, kinds, least, put)
     links = _near_links(members, details.where("s is not null").select("u", "s"), similarity, put)
     copies = _line_copies(lines, components(links), put).unionByName(_passage_copies(met, kinds, details.where("s is null"), least))
     row, found, hit = (fresh(x, df.columns) for x in ("_rid", "_found", "_hit"))
     facts = F.struct("at", "n", "own", "cls", "first")
-    asks = materialise(copies.groupBy(F.col("rid").alias(row)).agg(F.collect_set(facts).alias(found)), "paragraph-removals")
+    asks = materialise(copies.groupBy(F.col("rid").alias(row)).agg(F.collect_list(facts).alias(found)), "paragraph-removals")
     put.drop()  # what follows needs the removals only
     marked = maybe_in(df.withColumn(row, rid), row, id_filter(asks, row), hit)
     added = [fresh(x, df.columns) for x in ADDED]

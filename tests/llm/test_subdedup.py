@@ -158,7 +158,7 @@ def test_line_classes_equal_brute_force_in_chunks_too(spark, monkeypatch, chunk)
     put = Tables(spark)
     cut, passages = subdedup._cut(docs, 25, put)
     members, places = subdedup._colliding(cut, put)
-    met, kinds = subdedup._collisions(passages, put)
+    met, kinds = subdedup._collisions(passages, 25, put)
     sets = subdedup._details(docs, places, met, kinds, 25, put).where("s is not null").select("u", "s")
     reached = {r.node: r.component for r in components(subdedup._near_links(members, sets, 0.8, put)).collect()}
     got = defaultdict(set)
