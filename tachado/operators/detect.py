@@ -259,9 +259,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.isStreaming or df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def scan(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", catalog: str | None = None, keep_text: bool = True) -> DataFrame:
-    """key, text and `hits`: each document's packed spans of the rule layer, in order of start."""
+def scan(
+    df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", catalog: str | None = None, keep_text: bool = True, carry: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """key, the columns to carry, text and `hits`: each document's packed spans of the rule layer, in order of start."""
     entries = catalogs.load(catalog)
+    names = ["k", *(f"c{i}" for i in range(len(carry))), *(["text"] if keep_text else []), "hits"]
 
     def run(batches):
         import pyarrow as pa
@@ -269,9 +272,10 @@ def scan(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text
         scanner = Scanner(lexicon, entries)
         fields = [("cat", pa.string()), ("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string()), ("left", pa.string()), ("right", pa.string())]
         for b in batches:
-            hits = [scanner.spans(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.struct(fields)))], names=["k", "text", "hits"])
+            hits = [scanner.spans(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(hits, pa.list_(pa.struct(fields)))], names=names)
 
-    own = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    out = spread(own).mapInArrow(run, f"k {dict(own.dtypes)['k']}, text string, hits array<{SPAN}>").withColumnRenamed("k", key)
-    return out if keep_text else out.drop("text")
+    own = df.select(F.col(key).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text).cast("string").alias("text"))
+    kinds = dict(own.dtypes) | {"hits": f"array<{SPAN}>"}
+    out = spread(own).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return out.toDF(key, *carry, *names[len(carry) + 1 :])

@@ -7,16 +7,24 @@ document are few, and rounds are bounded by the longest chain.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_sort_ratio
+from ..functions.fuzzy import sorted_tokens, token_sort_ratio
 from ..functions.lexicon import Lexicon
 from ..functions.text import initials, name_tokens, normalize_mention, surnames, trim_white
 
 # Scores that link, and characters between an identifier and a name.
 HIGH, MEDIUM, NEAR = 92.0, 85.0, 200
+#: A score of MEDIUM needs a length of at least this share of the longer one (rounded down); widths of length bands grow by WIDER.
+RATIO, WIDER = 0.739, 1.25
+
+
+def _band(size: Column) -> Column:
+    return F.floor(F.ln(size) / math.log(WIDER)).cast("int")
 
 
 def initials_match(a: Column, b: Column, sa: Column, sb: Column) -> Column:
@@ -41,19 +49,29 @@ def edges(found: DataFrame, lex: Lexicon, key: str = "doc_id") -> DataFrame:
     ranked = m.withColumn("_first", F.first("ord").over(same))
     exact = ranked.where(F.col("ord") != F.col("_first")).select(key, F.col("_first").alias("src"), F.col("ord").alias("dst"), F.lit(1.0).alias("weight"), F.lit("exact").alias("reason"))
     reps = ranked.where(F.col("ord") == F.col("_first")).drop("_first")
-    blocks = F.when(F.col("cat") == "PERSONA", F.when(F.size("surnames") > 0, F.col("surnames")).otherwise(F.array(F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit("_unknown"))))).otherwise(F.array(F.lit("")))
-    blocked = reps.withColumn("block", F.explode(blocks))
-    a, b = blocked.alias("a"), blocked.alias("b")
+    own = F.when(F.size("surnames") > 0, F.col("surnames")).otherwise(F.array(F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit("_unknown"))))
+    person, size = F.col("cat") == "PERSONA", F.length(sorted_tokens(F.col("norm_name")))
+    bands = lambda size: F.transform(F.sequence(_band(size), _band(size / RATIO)), lambda n: n.cast("string"))
+    sized = reps.withColumn("_n", size)
+    # A pair meets under the longer text's band of lengths; the shorter one stands in every band that it could reach.
+    short = sized.withColumn("block", F.explode(F.when(person, own).otherwise(bands(F.greatest(F.col("_n"), F.lit(1))))))
+    long = sized.withColumn("block", F.explode(F.when(person, own).otherwise(F.array(_band(F.greatest(F.col("_n"), F.lit(1))).cast("string")))))
+    a, b = short.alias("a"), long.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "cat", "block")]
-    fits = on[0] & on[1] & on[2] & (F.col("a.ord") < F.col("b.ord"))
-    pairs = a.join(b, fits).select(
-        F.col(f"a.{key}").alias(key), "a.cat", F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"),
+    order = F.when(F.col("a.cat") == "PERSONA", F.col("a.ord") < F.col("b.ord")).otherwise(
+        ((F.col("a._n") < F.col("b._n")) | ((F.col("a._n") == F.col("b._n")) & (F.col("a.ord") < F.col("b.ord")))) & (F.col("a._n") >= F.col("b._n") * RATIO)
+    )
+    # Persons with several surnames in common meet once, under the least; those without any share their first token alone.
+    shared = F.array_min(F.array_intersect("a.surnames", "b.surnames"))
+    once = (F.col("a.cat") != "PERSONA") | shared.isNull() | (F.col("a.block") == shared)
+    pairs = a.join(b, on[0] & on[1] & on[2] & order & once).select(
+        F.col(f"a.{key}").alias(key), "a.cat", F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"),
         *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("norm_name", "tokens", "surnames")),
-    ).dropDuplicates([key, "src", "dst"])
+    )
     linked = pairs.withColumn("_i", (F.col("cat") == "PERSONA") & initials_match(*(F.col(f"{s}_tokens") for s in "ab"), *(F.col(f"{s}_surnames") for s in "ab")))
     share = F.arrays_overlap("a_surnames", "b_surnames")
     need = ~F.col("_i") & ((F.col("cat") != "PERSONA") | share)
-    linked = linked.withColumn("_s", F.when(need, token_sort_ratio(F.col("a_norm_name"), F.col("b_norm_name"), MEDIUM)).otherwise(0.0))
+    linked = linked.withColumn("_s", token_sort_ratio(F.col("a_norm_name"), F.col("b_norm_name"), MEDIUM, need))
     score = F.col("_s") / 100
     weight = F.when(F.col("_i"), 0.93).when(F.col("cat") == "PERSONA", F.greatest(score, F.lit(0.88))).otherwise(score)
     reason = F.when(F.col("_i"), "initials_match").when(F.col("cat") == "PERSONA", "shared_surname").when(F.col("_s") >= HIGH, "fuzzy_high").otherwise("fuzzy_medium")
@@ -72,8 +90,10 @@ def near_identifiers(m: DataFrame, key: str) -> DataFrame:
     close = close.select(key, "_id", "ord", "norm_name", "tokens", "surnames").distinct()
     a, b = close.alias("a"), close.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._id") == F.col("b._id")) & (F.col("a.ord") < F.col("b.ord")))
-    fits = initials_match(F.col("a.tokens"), F.col("b.tokens"), F.col("a.surnames"), F.col("b.surnames")) | (token_sort_ratio(F.col("a.norm_name"), F.col("b.norm_name"), HIGH) >= HIGH)
-    return pairs.where(fits).select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"), F.lit(0.95).alias("weight"), F.lit("shared_identifier").alias("reason"))
+    same = F.coalesce(initials_match(F.col("a.tokens"), F.col("b.tokens"), F.col("a.surnames"), F.col("b.surnames")), F.lit(False))
+    rows = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"), same.alias("_same"), F.col("a.norm_name").alias("_x"), F.col("b.norm_name").alias("_y")).distinct()
+    rows = rows.where(F.col("_same") | (token_sort_ratio(F.col("_x"), F.col("_y"), HIGH, ~F.col("_same")) >= HIGH))
+    return rows.select(key, "src", "dst", F.lit(0.95).alias("weight"), F.lit("shared_identifier").alias("reason"))
 
 
 def components(links: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .functions import text as T
 from .functions.fuzzy import token_sort_ratio
 from .functions.lexicon import CATEGORIES, load
@@ -165,6 +166,48 @@ WITH o AS (SELECT o_orderkey, {_sql_pick(MONEY_LEFT, 'o_orderkey', 1)} AS l,
 SELECT o_orderkey, dni, l NOT IN ('la suma de $ ', 'honorarios por ') AS dni_ok, phone, o_orderkey % 3 = 0 AS phone_ok, plate, plate LIKE 'ABC%' AS plate_ok FROM o"""
 
 
+# ---- one text a rule ---------------------------------------------------------------------------------------------
+
+
+def _orders_sql(spark: SparkSession, sf_dir: str, sql) -> DataFrame:
+    """The SELECT that sql(table, key) gives, over the orders."""
+    return spark.sql(sql("{orders}", "o_orderkey"), orders=table(spark, sf_dir, "orders"))
+
+
+def _rules(category: str):
+    """The rule layer's hits, before overlap is resolved, on the category's case texts, and whether each may stand."""
+    some = [c for c in cases.CASES if c[0] == category]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lex, docs = load(), _orders_sql(spark, sf_dir, lambda t, k: cases.texts(t, k, some))
+        hits = detect.scan(docs, lex, keep_text=False, carry=["rule"]).select("doc_id", "rule", F.explode("hits").alias("h")).select("doc_id", "rule", "h.*")
+        return hits.select("doc_id", "rule", "cat", "surface", "start", "end", "layer", filters.valid(F.col("cat"), F.col("surface"), F.col("left"), F.col("right"), lex).alias("valid"))
+
+    return query, cases.spans("orders", "o_orderkey", some)
+
+
+RULES = {f"rules_{c.lower()}": _rules(c) for c in CATEGORIES}
+
+
+def validity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every validity rule both ways, as detected and as selected by hand."""
+    lex, rows = load(), _orders_sql(spark, sf_dir, lambda t, k: cases.validity_rows(t, k)[0])
+    given = [F.col(c) for c in ("cat", "surface", "left_text", "right_text")]
+    return rows.select("k", "rule", "surface", filters.valid(*given, lex).alias("valid"), filters.valid_manual(*given, lex).alias("valid_manual"))
+
+
+def linking_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every linking rule both ways: groups, confidence, reasons."""
+    lex, rows = load(), _orders_sql(spark, sf_dir, lambda t, k: cases.link_rows(t, k)[0])
+    found = settle(rows.select("doc_id", "ord", "mention_id", "cat", "surface", F.col("s").alias("start"), F.col("e").alias("end")), "mentions")
+    groups = resolve.clusters(found, settle(resolve.edges(found, lex), "edges"))
+    rule = cases.chosen(cases.LINKS, [cases.quoted(x[0]) for x in cases.LINKS]).replace("CASE c ", f"CASE doc_id % {len(cases.LINKS)} ")
+    return groups.select(
+        "doc_id", F.expr(rule).alias("rule"), "cluster_id", "cat", F.array_join("surfaces", "|").alias("surfaces"), F.array_join("mention_ids", "|").alias("mentions"), "confidence",
+        F.array_join("reasons", "|").alias("reasons"),
+    )
+
+
 # ---- case files ------------------------------------------------------------------------------------------------
 
 PEOPLE = ["Juan Carlos Pérez", "Marta Gómez", "Lucía Benítez", "Pedro Álvarez", "Ana Ferreyra"]
@@ -447,13 +490,14 @@ def queries() -> dict:
     own = [
         search_accent_insensitive, name_functions, placeholder_modes, tax_numbers, validity_filters, casefile_mentions, casefile_detections, casefile_equivalences, casefile_csv,
         casefile_statistics, casefile_anonymized, casefile_highlights, casefile_clusters, interval_merge, substring_prune, band_join, document_components, fuzzy_pairs, clean_pages,
-        review_replay, document_mentions, document_analysis,
+        review_replay, document_mentions, document_analysis, validity_cases, linking_cases,
     ]
-    return {name: _scan(p) for name, p in SCANS.items()} | {"interval_packing": interval_packing, "interval_sweep": interval_sweep} | {f.__name__: f for f in own}
+    return {name: _scan(p) for name, p in SCANS.items()} | {name: q for name, (q, _) in RULES.items()} | {"interval_packing": interval_packing, "interval_sweep": interval_sweep} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _scan_sql(p) for name, p in SCANS.items()} | {
+    return {name: _scan_sql(p) for name, p in SCANS.items()} | {name: sql for name, (_, sql) in RULES.items()} | {
+        "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
         "search_accent_insensitive": SEARCH_SQL, "name_functions": NAME_SQL, "placeholder_modes": PLACEHOLDER_SQL, "tax_numbers": TAX_SQL, "validity_filters": VALIDITY_SQL,
         "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
         "casefile_statistics": CASE_STATISTICS_SQL, "casefile_anonymized": CASE_ANONYMIZED_SQL, "casefile_highlights": CASE_HIGHLIGHTS_SQL, "casefile_clusters": CASE_CLUSTERS_SQL,
