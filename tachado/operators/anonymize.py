@@ -1,4 +1,12 @@
-"""Substitution of placeholders, and highlight ranges."""
+"""Substitution of placeholders, and highlight ranges.
+
+Texts never leave in clear by mistake: `anonymize` matches documents and detections by key, so a document without a key, or
+one whose detections don't stand where they say (two documents of one key), gets no text at all (null). The analysis
+substitutes inside each document's own row and needs no match.
+
+Defined cases: a null text stays null; documents without detections keep their text; overlapping spans are replaced one
+after the other; columns of the caller may have any names but anonymized_text; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_white
+
 REPLACED = "array<struct<start:int,end:int,placeholder:string>>"
 
 
@@ -26,11 +36,25 @@ def places(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
+def in_row(text: Column, found: Column) -> Column:
+    """A document's text with the placeholders of its own detections (see detections.in_row)."""
+    spans = F.flatten(F.transform(F.filter(found, lambda d: d["enabled"]), lambda d: F.transform(d["positions"], lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), d["placeholder"].alias("placeholder")))))
+    return F.when(F.size(spans) > 0, substitute(text, F.sort_array(spans))).otherwise(text)
+
+
 def anonymize(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", confirmed_only: bool = False) -> DataFrame:
-    """docs with anonymized_text. confirmed_only: only detections that belong to a group."""
+    """docs with anonymized_text, null where it can't be told which detections are the document's.
+
+    confirmed_only: only detections that belong to a group. Texts move only where detections of their key exist.
+    """
     spans = places(found.where("cluster_id is not null") if confirmed_only else found, key)
-    per_doc = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
-    return docs.join(per_doc, key, "left").withColumn("anonymized_text", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(substitute(F.col(text), F.col("_spans")))).drop("_spans")
+    spans = spans.select(F.col(key).alias("key"), F.struct("start", "end", "placeholder", "raw").alias("s"))
+    per_doc = spans.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(per_doc, "key", "left")
+    there = F.forall("spans", lambda s: trim_white(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])) == trim_white(s["raw"]))
+    safe = F.col("key").isNotNull() & (F.col("spans").isNull() | F.coalesce(there, F.lit(False)))
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["placeholder"].alias("placeholder")))))
+    return rows.select("own.*", F.when(safe, new).alias("anonymized_text"))
 
 
 def highlights(found: DataFrame, key: str = "doc_id") -> DataFrame:

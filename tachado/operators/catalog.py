@@ -1,11 +1,15 @@
 """The rule catalog: external patterns that fill what the ordered rules leave, best score first.
 
-A catalog is a parameter: a JSON array of objects with nombre_entidad, regex, score, descripcion and activa.
+A catalog is a parameter: a JSON array of objects with nombre_entidad, regex, score, descripcion and activa. The file is
+the intended way to give one; the standard entries below serve without it. An entry whose pattern does not compile is
+left out with a warning, on the driver, before any task starts.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import warnings
 
 # Entity, score and pattern of the standard catalog's entries.
 STANDARD = [
@@ -50,4 +54,13 @@ def load(path: str | None = None) -> list[tuple[str, float, str]]:
             for r in rows
             if r.get("activa", True) and r.get("regex") and not any(m in (r.get("descripcion") or "").lower() for m in OUT)
         ]
-    return sorted((r for r in found if r[0] in ENTITIES), key=lambda r: (-r[1], r[0]))
+    return sorted((r for r in found if r[0] in ENTITIES and _compiles(r[2])), key=lambda r: (-r[1], r[0]))
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        warnings.warn(f"catalog pattern left out, {e}: {pattern[:80]}", stacklevel=3)
+        return False
+    return True

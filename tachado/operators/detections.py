@@ -1,4 +1,13 @@
-"""Mentions to detections: grouping by surface, placeholders, pruning, statistics, equivalences."""
+"""Mentions to detections: grouping by surface, placeholders, pruning, statistics, equivalences.
+
+Two forms of the same semantics. `in_row` and `pruned_row` work on one document's array of spans, so nothing moves and
+documents can't be mixed up, whatever their keys; the analysis uses them. `detections`, `prune` and `drop_contained`
+work on tables of mentions by key, for mentions that were stored or edited.
+
+Defined cases: a null array has no detections; a document without mentions has no rows in the tables; rows of one key are
+one document to the table form (a null key is a key like others there); of equal surfaces the first in order names the
+detection; columns of the caller beyond the named ones are not looked at; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -30,6 +39,74 @@ def mentions(scanned: DataFrame, lex: Lexicon, key: str = "doc_id", categories:
     )
 
 
+#: What in_row and pruned_row give of a document, in order of id.
+DETECTION = (
+    "struct<id:int,cat:string,original:string,placeholder:string,enabled:boolean,positions:array<struct<start:int,end:int,raw:string>>,mention_ids:array<string>,"
+    "cluster_id:string,manual_placeholder:boolean,user_added:boolean,left:string,right:string>"
+)
+
+
+def in_row(spans: Column, mode: str = "cat") -> Column:
+    """array<DETECTION> of a document's valid, swept spans: one for each (cat, surface without case), by first appearance."""
+
+    def mention(h: Column, i: Column) -> Column:
+        s = trim_white(h["surface"])
+        whole = F.struct(i.cast("int").alias("ord"), s.alias("s"), F.lower(s).alias("low"), h.alias("h"))
+        return whole
+
+    def one(all_of: Column, kinds: Column):
+        def build(k: Column, j: Column) -> Column:
+            own = F.filter(all_of, lambda x: (x["h"]["cat"] == k["cat"]) & (x["low"] == k["low"]))
+            n = F.size(F.filter(F.slice(kinds, F.lit(1), j + 1), lambda y: y["cat"] == k["cat"]))
+            return filters.let(own, lambda m: _detection(j, k["cat"], n, m, mode))
+
+        return build
+
+    kinds = lambda all_of: F.array_distinct(F.transform(all_of, lambda x: F.struct(x["h"]["cat"].alias("cat"), x["low"].alias("low"))))
+    found = filters.let(F.transform(spans, mention), lambda m: filters.let(kinds(m), lambda k: F.transform(k, one(m, k))))
+    return F.coalesce(found, F.array()).cast(f"array<{DETECTION}>")
+
+
+def _detection(j: Column, cat: Column, n: Column, m: Column, mode: str) -> Column:
+    first = m[0]
+    return F.struct(
+        j.cast("int").alias("id"), cat.alias("cat"), first["s"].alias("original"), placeholder(cat, first["s"], n, mode).alias("placeholder"), F.lit(True).alias("enabled"),
+        F.transform(m, lambda x: F.struct(x["h"]["start"].alias("start"), x["h"]["end"].alias("end"), x["h"]["surface"].alias("raw"))).alias("positions"),
+        F.transform(m, lambda x: F.concat(F.lit("m"), x["ord"].cast("string"))).alias("mention_ids"), F.lit(None).cast("string").alias("cluster_id"),
+        F.lit(False).alias("manual_placeholder"), F.lit(False).alias("user_added"), first["h"]["left"].alias("left"), first["h"]["right"].alias("right"),
+    )
+
+
+def pruned_row(found: Column, lex: Lexicon | None = None) -> Column:
+    """A document's detections without persons contained in longer kept ones; ids run anew, persons last, longest first.
+
+    lex: also drops those that fail validity at their first place (detections fresh from valid mentions can't).
+    """
+    low = lambda d: F.lower(trim_white(d["original"]))
+    if lex is not None:
+        found = F.filter(found, lambda d: d["user_added"] | filters.valid(d["cat"], d["original"], d["left"], d["right"], lex))
+    person = lambda d: d["cat"] == "PERSONA"
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    some = lambda all_of, x, test: F.exists(all_of, lambda y: person(y) & (F.length(low(y)) > F.length(low(x))) & test(low(y), low(x)))
+    whole = lambda big, part: F.contains(pad(big), pad(part))
+    free = lambda x: ~person(x) | x["user_added"]
+    long = lambda d: F.filter(d, lambda x: free(x) | (F.length(low(x)) < 4) | ~some(d, x, F.contains))
+    short = lambda d: F.filter(d, lambda x: free(x) | (F.length(low(x)) >= 4) | ~some(d, x, whole))
+
+    def ordered(d: Column) -> Column:
+        placed = F.transform(F.filter(d, person), lambda x: F.struct((-F.length(x["original"])).alias("n"), x["id"].alias("id"), x.alias("d")))
+        persons = F.transform(F.array_sort(placed, lambda a, b: _order(a, b)), lambda x: x["d"])
+        both = F.concat(F.filter(d, lambda x: ~person(x)), persons)
+        return F.transform(both, lambda x, i: x.withField("id", i.cast("int")))
+
+    return filters.let(found, lambda a: filters.let(long(a), lambda b: filters.let(short(b), ordered)))
+
+
+def _order(a: Column, b: Column) -> Column:
+    by = lambda x, y, rest: F.when(x < y, -1).when(x > y, 1).otherwise(rest)
+    return by(a["n"], b["n"], by(a["id"], b["id"], 0))
+
+
 def detections(found: DataFrame, key: str = "doc_id", mode: str = "cat") -> DataFrame:
     """mentions -> a row for each (cat, surface without case): id and placeholder number by first appearance."""
     surface = trim_white(F.col("surface"))

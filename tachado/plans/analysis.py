@@ -1,12 +1,22 @@
-"""The whole analysis: scan, validity, sweep, detections, pruning, linking, substitution."""
+"""The whole analysis: scan, validity, sweep, detections, pruning, substitution in each document's row; then linking.
+
+One table is written: a row a document with its mentions, detections and anonymised text, under a number of its own
+(`row`). All else is read from it; only linking, whose rows are narrow, moves anything. Documents of one key, or without a
+key, are therefore told apart.
+
+Defined cases: a null text has no mentions and stays null; repeated and null keys are documents of their own (their rows
+tell them apart); an empty table gives empty ones; columns other than key and text are not looked at.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.lexicon import Lexicon, load
+from ..functions.lexicon import CATEGORIES, Lexicon, load
+from ..functions.text import trim_white
 from ..operators import anonymize, detect, detections, resolve
 from .work import settle
 
@@ -21,14 +31,47 @@ class Analysis:
     anonymized: DataFrame
 
 
+def in_rows(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat", categories: list[str] | None = None, lexicon: Lexicon | None = None, catalog: str | None = None
+) -> DataFrame:
+    """key, mentions, detections (pruned), anonymized_text: all of a document in its own row, nothing shuffled."""
+    lex = lexicon or load()
+    rows = detect.scan(docs, lex, key, text, catalog).toDF("key", "text", "hits")
+    rows = rows.withColumn("m", detections.mention_array(F.col("hits"), lex, categories)).withColumn("d", detections.pruned_row(detections.in_row(F.col("m"), mode)))
+    return rows.select(F.col("key").alias(key), F.col("m").alias("mentions"), F.col("d").alias("detections"), anonymize.in_row(F.col("text"), F.col("d")).alias("anonymized_text"))
+
+
+def mention_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """in_rows()'s mentions as a table: the columns to keep, ord, mention_id, cat, surface, start, end, norm, source_layer, left, right."""
+    m = rows.select(*keep, F.posexplode("mentions").alias("ord", "m"))
+    return m.select(
+        *keep, "ord", F.concat(F.lit("m"), F.col("ord").cast("string")).alias("mention_id"), "m.cat", "m.surface", "m.start", "m.end", F.lower(trim_white(F.col("m.surface"))).alias("norm"),
+        F.col("m.layer").alias("source_layer"), "m.left", "m.right",
+    )
+
+
+def detection_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """in_rows()'s detections as a table."""
+    return rows.select(*keep, F.explode("detections").alias("d")).select(*keep, "d.*")
+
+
+def statistics_rows(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, a column a category (enabled detections, zeros included), TOTAL; of documents with a detection."""
+    n = lambda c: F.size(F.filter("detections", lambda d: (d["cat"] == c) & d["enabled"])).cast("bigint").alias(c)
+    return rows.where(F.size("detections") > 0).select(*keep, *map(n, CATEGORIES), F.size("detections").cast("bigint").alias("TOTAL"))
+
+
 def analyze(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat", categories: list[str] | None = None, lexicon: Lexicon | None = None, catalog: str | None = None) -> Analysis:
-    """Tables of everything an analysis yields. Mentions and detections are written once; the rest is lazy."""
+    """Tables of everything an analysis yields, each with key and row. Documents are written once; the rest is lazy."""
     lex = lexicon or load()
-    scanned = detect.scan(docs, lex, key, text, catalog, keep_text=False)
-    found = settle(detections.mentions(scanned, lex, key, categories), "mentions")
-    table = settle(detections.prune(detections.detections(found, key, mode), lex, key), "detections")
-    links = resolve.edges(found, lex, key)
-    return Analysis(found, table, links, resolve.clusters(found, links, key), detections.statistics(table, key), anonymize.anonymize(docs, table, key, text))
+    rows = settle(in_rows(docs, key, text, mode, categories, lex, catalog).withColumn("row", F.monotonically_increasing_id()), "analysis")
+    found = mention_rows(rows, "row")
+    links = resolve.edges(found, lex, "row")
+    named = lambda df: df.join(rows.select(key, "row"), "row")
+    return Analysis(
+        mention_rows(rows, key, "row"), detection_rows(rows, key, "row"), named(links), named(resolve.clusters(found, links, "row")), statistics_rows(rows, key, "row"),
+        rows.select(key, "row", "anonymized_text"),
+    )
 
 
 def cancel(spark, tag: str) -> None:

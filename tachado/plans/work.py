@@ -5,16 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (ours, where that is unset), read back."""
-    spark = df.sparkSession
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local run gets one of its own.
+
+    On a cluster a folder of the driver's own would be another one on each executor, so there the setting must be given.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tachado-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tachado/{name}-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df as a table in the shared folder, read back."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/tachado/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

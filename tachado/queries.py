@@ -16,7 +16,7 @@ from .functions.lexicon import CATEGORIES, load
 from .operators import anonymize, detect, detections, filters, intervals, resolve, scan
 from .operators import review as reviews
 from .operators import search as searching
-from .plans.analysis import analyze
+from .plans import analysis as plan
 from .plans.work import settle
 from .sinks import export
 from .sources import documents as ingest
@@ -240,19 +240,33 @@ m AS (
   SELECT doc_id, 5, 'PERSONA', person, s6 FROM s)"""
 
 
+def _case_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.in_rows(case_files(spark, sf_dir))
+
+
+def _case_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.detection_rows(_case_rows(spark, sf_dir), "doc_id")
+
+
 def _case_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lex = load()
     return settle(detections.mentions(detect.scan(case_files(spark, sf_dir), lex, keep_text=False), lex), "mentions")
 
 
 def casefile_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _case_mentions(spark, sf_dir).select("doc_id", "ord", "cat", "surface", "start", "end")
+    lex = load()
+    return detections.mentions(detect.scan(case_files(spark, sf_dir), lex, keep_text=False), lex).select("doc_id", "ord", "cat", "surface", "start", "end")
 
 
 CASE_MENTIONS_SQL = f'WITH {CASE_SQL} SELECT doc_id, CAST(ord AS INTEGER) AS ord, cat, surface, CAST(a AS INTEGER) AS "start", CAST(a + length(surface) AS INTEGER) AS "end" FROM m'
 
 
 def casefile_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case_found(spark, sf_dir).select("doc_id", "id", "cat", "original", "placeholder", F.size("positions").alias("n"))
+
+
+def stored_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of stored mentions, grouped and pruned by key."""
     found = detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load())
     return found.select("doc_id", "id", "cat", "original", "placeholder", F.size("positions").alias("n"))
 
@@ -263,7 +277,7 @@ SELECT doc_id, CAST(CASE WHEN cat = 'PERSONA' THEN 4 WHEN ord = 0 THEN 0 ELSE or
 
 
 def casefile_equivalences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.equivalences(detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load())).drop("id")
+    return detections.equivalences(_case_found(spark, sf_dir)).drop("id")
 
 
 CASE_EQUIVALENCES_SQL = f"""WITH {CASE_SQL}
@@ -272,7 +286,7 @@ SELECT doc_id, cat AS "Tipo", surface AS "Original", '[' || cat || '_1]' AS "Sus
 
 
 def casefile_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.csv_documents(detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load()))
+    return export.csv_documents(_case_found(spark, sf_dir))
 
 
 CASE_CSV_SQL = f"""WITH {CASE_SQL}
@@ -282,7 +296,7 @@ SELECT doc_id, '﻿Tipo;Original;Sustitución;Ocurrencias;Activa;Cluster' || chr
 
 
 def casefile_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections.statistics(detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load()))
+    return plan.statistics_rows(_case_rows(spark, sf_dir), "doc_id")
 
 
 CASE_STATISTICS_SQL = "SELECT o_orderkey AS doc_id, " + ", ".join(
@@ -291,9 +305,12 @@ CASE_STATISTICS_SQL = "SELECT o_orderkey AS doc_id, " + ", ".join(
 
 
 def casefile_anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = case_files(spark, sf_dir)
-    found = detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load())
-    return anonymize.anonymize(docs, found).select("doc_id", "anonymized_text")
+    return _case_rows(spark, sf_dir).select("doc_id", "anonymized_text")
+
+
+def stored_anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from documents and a table of stored detections, matched by key."""
+    return anonymize.anonymize(case_files(spark, sf_dir), settle(_case_found(spark, sf_dir), "detections")).select("doc_id", "anonymized_text")
 
 
 CASE_ANONYMIZED_SQL = """SELECT o_orderkey AS doc_id, 'En [EXPEDIENTE_1] declara:' || chr(10) || '[PERSONA_1] (DNI [DNI_1]).' || chr(10)
@@ -301,8 +318,7 @@ CASE_ANONYMIZED_SQL = """SELECT o_orderkey AS doc_id, 'En [EXPEDIENTE_1] declara
 
 
 def casefile_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detections.prune(detections.detections(_case_mentions(spark, sf_dir)), load())
-    return anonymize.highlights(found).select("doc_id", "start", "end", "cat", "placeholder")
+    return anonymize.highlights(_case_found(spark, sf_dir)).select("doc_id", "start", "end", "cat", "placeholder")
 
 
 CASE_HIGHLIGHTS_SQL = f"""WITH {CASE_SQL}
@@ -481,16 +497,16 @@ def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, anonymised: those with a detection, with the count of detections."""
-    a = analyze(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return a.anonymized.join(a.statistics.select("doc_id", F.col("TOTAL").alias("detections")), "doc_id").select("doc_id", "detections", "anonymized_text")
+    """The documents table, anonymised: those with a detection, with the count of detections. Nothing is shuffled."""
+    rows = plan.in_rows(table(spark, sf_dir, "documents"))
+    return rows.where(F.size("detections") > 0).select("doc_id", F.size("detections").cast("bigint").alias("detections"), "anonymized_text")
 
 
 def queries() -> dict:
     own = [
         search_accent_insensitive, name_functions, placeholder_modes, tax_numbers, validity_filters, casefile_mentions, casefile_detections, casefile_equivalences, casefile_csv,
         casefile_statistics, casefile_anonymized, casefile_highlights, casefile_clusters, interval_merge, substring_prune, band_join, document_components, fuzzy_pairs, clean_pages,
-        review_replay, document_mentions, document_analysis, validity_cases, linking_cases,
+        review_replay, document_mentions, document_analysis, validity_cases, linking_cases, stored_detections, stored_anonymized,
     ]
     return {name: _scan(p) for name, p in SCANS.items()} | {name: q for name, (q, _) in RULES.items()} | {"interval_packing": interval_packing, "interval_sweep": interval_sweep} | {f.__name__: f for f in own}
 
@@ -499,7 +515,7 @@ def oracle_sql() -> dict[str, str]:
     return {name: _scan_sql(p) for name, p in SCANS.items()} | {name: sql for name, (_, sql) in RULES.items()} | {
         "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
         "search_accent_insensitive": SEARCH_SQL, "name_functions": NAME_SQL, "placeholder_modes": PLACEHOLDER_SQL, "tax_numbers": TAX_SQL, "validity_filters": VALIDITY_SQL,
-        "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
+        "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "stored_detections": CASE_DETECTIONS_SQL, "stored_anonymized": CASE_ANONYMIZED_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
         "casefile_statistics": CASE_STATISTICS_SQL, "casefile_anonymized": CASE_ANONYMIZED_SQL, "casefile_highlights": CASE_HIGHLIGHTS_SQL, "casefile_clusters": CASE_CLUSTERS_SQL,
         "interval_packing": PACKING_SQL, "interval_sweep": SWEEP_SQL, "interval_merge": MERGE_SQL, "substring_prune": PRUNE_SQL, "band_join": BAND_SQL,
         "document_components": COMPONENTS_SQL, "fuzzy_pairs": FUZZY_SQL, "clean_pages": CLEAN_SQL, "review_replay": REVIEW_SQL,

@@ -6,25 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon, load
-from ..functions.text import placeholder
 from ..operators import anonymize, detect, detections
 
 
 def anonymize_stream(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat", lexicon: Lexicon | None = None, catalog: str | None = None) -> DataFrame:
     """docs (a stream or a table) -> key, anonymized_text, mentions; all inside one row, without a shuffle.
 
-    Numbers run by first appearance of a surface in its category, as in the batch analysis before pruning.
+    Numbers run by first appearance of a surface in its category, as in the batch analysis; contained persons are not
+    pruned, so their names don't stay in clear. Null texts stay null; null and repeated keys are documents of their own.
     """
     lex = lexicon or load()
-    kept = detect.scan(docs, lex, key, text, catalog).withColumn("m", detections.mention_array(F.col("hits"), lex))
-    low = lambda h: F.concat(h["cat"], F.lit("|"), F.lower(F.trim(h["surface"])))
-    kept = kept.withColumn("_keys", F.array_distinct(F.transform("m", low)))
-
-    def one(h):
-        same = F.filter(F.col("_keys"), lambda k: F.startswith(k, F.concat(h["cat"], F.lit("|"))))
-        number = F.array_position(same, low(h)).cast("int")
-        first = F.filter(F.col("m"), lambda x: low(x) == low(h))[0]["surface"]
-        return F.struct(h["start"].alias("start"), h["end"].alias("end"), placeholder(h["cat"], F.trim(first), number, mode).alias("placeholder"))
-
-    spans = F.transform("m", one)
-    return kept.select(key, anonymize.substitute(F.col("text"), spans).alias("anonymized_text"), F.transform("m", lambda h: F.struct(h["cat"].alias("cat"), h["surface"].alias("surface"), h["start"].alias("start"), h["end"].alias("end"))).alias("mentions"))
+    rows = detect.scan(docs, lex, key, text, catalog).toDF("key", "text", "hits").withColumn("m", detections.mention_array(F.col("hits"), lex))
+    spans = F.transform("m", lambda h: F.struct(h["cat"].alias("cat"), h["surface"].alias("surface"), h["start"].alias("start"), h["end"].alias("end")))
+    return rows.select(F.col("key").alias(key), anonymize.in_row(F.col("text"), detections.in_row(F.col("m"), mode)).alias("anonymized_text"), spans.alias("mentions"))

@@ -100,6 +100,68 @@ def test_prune_and_substitution(spark):
     assert [r.id for r in sorted(rows, key=lambda r: r.id)] == list(range(len(rows)))
 
 
+def test_documents_without_a_key_or_of_one_key_are_told_apart(spark):
+    rows = [(None, "mail ana@x.com.ar fin"), (None, "texto sin nada personal aqui"), (1, "correo luis@y.com"), (1, "texto sin nada personal aqui"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string").repartition(2)
+    a = analyze(docs)
+    got = sorted(((r.doc_id, r.anonymized_text) for r in a.anonymized.collect()), key=str)
+    want = [(None, "mail [EMAIL_1] fin"), (None, "texto sin nada personal aqui"), (1, "correo [EMAIL_1]"), (1, "texto sin nada personal aqui"), (2, None), (3, "")]
+    assert got == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.original) for r in a.detections.collect()), key=str) == [(1, "luis@y.com"), (None, "ana@x.com.ar")]
+    # Matched by key, what can't be told apart is withheld, never given in clear.
+    out = sorted(((r.doc_id, r.anonymized_text) for r in anonymize.anonymize(docs, a.detections).collect()), key=str)
+    assert out == sorted([(None, None), (None, None), (1, "correo [EMAIL_1]"), (1, None), (2, None), (3, "")], key=str)
+
+
+def test_analysis_moves_no_text(spark):
+    from tachado import queries
+
+    text = queries.document_analysis(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "hashpartitioning" not in text
+
+
+def test_row_and_table_forms_agree(spark):
+    texts = ["Sra. Mariana Bressan. Mariana Bressan con Mariana Bressan Gómez y Ana; mail a@b.cc, A@B.CC", "Pedro Álvarez (DNI 12.345.678) y Pedro Álvarez Gómez. Ana Sosa", "nada", None, "EXP 12345/2020 y exp 12345/2020"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cols = ["doc_id", "id", "cat", "original", "placeholder", "positions", "mention_ids", "left", "right"]
+    for mode in ("cat", "gen", "ini"):
+        row = sorted(map(str, analyze(docs, mode=mode).detections.select(*cols).collect()))
+        m = detections.mentions(detect.scan(docs, LEX), LEX)
+        assert row == sorted(map(str, detections.prune(detections.detections(m, mode=mode), LEX).select(*cols).collect()))
+
+
+def test_bad_catalog_pattern_is_left_out_with_a_warning(spark, tmp_path):
+    import json
+
+    path = tmp_path / "catalog.json"
+    path.write_text(json.dumps([{"nombre_entidad": "RGX_URL", "regex": "(["}, {"nombre_entidad": "RGX_EMAIL", "regex": "x+@x+", "score": 0.5}, {"nombre_entidad": "RGX_IP", "regex": "a", "activa": False}]))
+    from tachado.operators import catalog
+
+    with pytest.warns(UserWarning, match="left out"):
+        assert [r[2] for r in catalog.load(str(path))] == ["x+@x+"]
+        docs = spark.createDataFrame([(1, "ver xx@xx hoy")], "doc_id long, text string")
+        hits = detect.scan(docs, LEX, catalog=str(path)).first().hits
+    assert [h.surface for h in hits] == ["xx@xx"]
+
+
+def test_full_dictionary_folder(tmp_path):
+    (tmp_path / "nombres.json").write_text('["zutano"]')
+    (tmp_path / "apellidos.json").write_text('["fulano", "mengano"]')
+    lex = load(str(tmp_path))
+    assert lex.names == {"zutano", "fulano", "mengano"} and lex.formulas == frozenset()
+    assert detect.Scanner(lex, []).spans("firma Zutano Fulano hoy")[0]["surface"] == "Zutano Fulano" and not detect.Scanner(LEX, []).spans("firma Zutano Fulano hoy")
+
+
+def test_work_folder_is_shared_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from tachado.plans import work
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        work.work_dir(fake)
+
+
 def test_overlaps_are_replaced_back_to_front(spark):
     df = spark.sql("select 'abcdef' t, array(named_struct('start', 1, 'end', 3, 'placeholder', 'X'), named_struct('start', 4, 'end', 6, 'placeholder', 'YY')) s")
     assert df.select(anonymize.substitute(F.col("t"), F.col("s"))).first()[0] == "aXdYY"
