@@ -354,7 +354,10 @@ def _colliding(lines: DataFrame, put: Tables) -> tuple[DataFrame, DataFrame]:
     keyed = one.select("u", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = put(keyed.join(shared, "key"), "band-members")
-    return members, _of_hit(lines.select("u", "rid", "at", "n"), members.select("u").distinct(), "u").groupBy("u").agg(F.min(F.struct("rid", "at", "n")).alias("p")).select("u", "p.*")
+    asked = members.select("u").distinct()
+    near = maybe_in(lines.select("u", "rid", "at", "n"), "u", id_filter(asked, "u")).where("_hit")
+    places = near.groupBy("u").agg(F.min(F.struct("rid", "at", "n")).alias("p"))  # first, so that a common line is one row when it is joined
+    return members, places.join(asked, "u", "left_semi").select("u", "p.*")
 
 
 def _near_links(members: DataFrame, sets: DataFrame, similarity: float, put: Tables) -> DataFrame:
