@@ -249,6 +249,58 @@ LINKS = [
 ]
 
 
+#: The document that every review case begins with: text, detections (category, text, placeholder, places), one group.
+REVIEWED = "Ana vio a Ana y a Luis en Sur SA; Ana Sosa"
+DETECTED = [("PERSONA", "Ana", "[PERSONA_1]", [(0, 3), (10, 13)]), ("PERSONA", "Luis", "[PERSONA_2]", [(18, 22)]), ("EMPRESA", "Sur SA", "[EMPRESA_1]", [(26, 32)]), ("PERSONA", "Ana Sosa", "[PERSONA_3]", [(34, 42)])]
+_D = "0/PERSONA/Ana/[PERSONA_1]/true//2", "1/PERSONA/Luis/[PERSONA_2]/true//1", "2/EMPRESA/Sur SA/[EMPRESA_1]/true//1", "3/PERSONA/Ana Sosa/[PERSONA_3]/true//1"
+_G = "sug_0/suggested//Ana/m0,m1"
+_T = "{0} vio a {0} y a {1} en {2}; {3}"
+
+
+def _said(*names: str) -> str:
+    return _T.format(*names)
+
+
+_ALL = ("[PERSONA_1]", "[PERSONA_2]", "[EMPRESA_1]", "[PERSONA_3]")
+#: (rule, actions, detections (id/category/text/placeholder/enabled/group/places), groups (id/status/placeholder/texts/mentions), preview, refused).
+REVIEWS = [
+    ("remove", [("remove", {"id": "1"})], [_D[0], "1" + _D[2][1:], "2" + _D[3][1:]], [_G], _said("[PERSONA_1]", "Luis", "[EMPRESA_1]", "[PERSONA_3]"), ""),
+    ("remove, unknown", [("remove", {"id": "9"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("remove from its group", [("confirm", {"cluster": "sug_0"}), ("remove", {"id": "0"})], ["0" + _D[1][1:], "1" + _D[2][1:], "2" + _D[3][1:]], ["sug_0/confirmed/[PERSONA_1]//"], _said("Ana", *_ALL[1:]), ""),
+    ("update category", [("update", {"id": "1", "cat": "EMPRESA"})], [_D[0], "1/EMPRESA/Luis/[EMPRESA_2]/true//1", _D[2], _D[3]], [_G], _said("[PERSONA_1]", "[EMPRESA_2]", "[EMPRESA_1]", "[PERSONA_3]"), ""),
+    ("update placeholder", [("update", {"id": "1", "placeholder": " [X] "})], [_D[0], "1/PERSONA/Luis/[X]/true//1", _D[2], _D[3]], [_G], _said("[PERSONA_1]", "[X]", "[EMPRESA_1]", "[PERSONA_3]"), ""),
+    ("update, blank placeholder", [("update", {"id": "1", "placeholder": "  "})], [*_D], [_G], _said(*_ALL), "1"),
+    ("update enabled", [("update", {"id": "2", "enabled": "false"})], [*_D[:2], "2/EMPRESA/Sur SA/[EMPRESA_1]/false//1", _D[3]], [_G], _said("[PERSONA_1]", "[PERSONA_2]", "Sur SA", "[PERSONA_3]"), ""),
+    ("confirm", [("confirm", {"cluster": "sug_0"})], ["0/PERSONA/Ana/[PERSONA_1]/true/sug_0/2", *_D[1:]], ["sug_0/confirmed/[PERSONA_1]/Ana/m0,m1"], _said(*_ALL), ""),
+    ("confirm enables", [("update", {"id": "0", "enabled": "false"}), ("confirm", {"cluster": "sug_0"})], ["0/PERSONA/Ana/[PERSONA_1]/true/sug_0/2", *_D[1:]], ["sug_0/confirmed/[PERSONA_1]/Ana/m0,m1"], _said(*_ALL), ""),
+    ("create and confirm", [("create_cluster", {"ids": "1,3"}), ("confirm", {"cluster": "manual_1"})], [_D[0], "1/PERSONA/Luis/[PERSONA_1]/true/manual_1/1", _D[2], "3/PERSONA/Ana Sosa/[PERSONA_1]/true/manual_1/1"], [_G, "manual_1/confirmed/[PERSONA_1]/Luis,Ana Sosa/m2,m4"], _said("[PERSONA_1]", "[PERSONA_1]", "[EMPRESA_1]", "[PERSONA_1]"), ""),
+    ("second group's number", [("confirm", {"cluster": "sug_0"}), ("create_cluster", {"ids": "1"}), ("confirm", {"cluster": "manual_2"})], ["0/PERSONA/Ana/[PERSONA_1]/true/sug_0/2", "1/PERSONA/Luis/[PERSONA_2]/true/manual_2/1", *_D[2:]], ["sug_0/confirmed/[PERSONA_1]/Ana/m0,m1", "manual_2/confirmed/[PERSONA_2]/Luis/m2"], _said(*_ALL), ""),
+    ("add to a group", [("confirm", {"cluster": "sug_0"}), ("add_to_cluster", {"cluster": "sug_0", "ids": "3"})], ["0/PERSONA/Ana/[PERSONA_1]/true/sug_0/2", _D[1], _D[2], "3/PERSONA/Ana Sosa/[PERSONA_1]/true/sug_0/1"], ["sug_0/confirmed/[PERSONA_1]/Ana,Ana Sosa/m0,m1,m4"], _said("[PERSONA_1]", "[PERSONA_2]", "[EMPRESA_1]", "[PERSONA_1]"), ""),
+    ("split", [("split", {"cluster": "sug_0", "mention_ids": "m1"})], [*_D], ["sug_0/suggested//Ana/m0", "sug_0_split_1/suggested//Ana/m1"], _said(*_ALL), ""),
+    ("remove a surface", [("add_to_cluster", {"cluster": "sug_0", "ids": "3"}), ("confirm", {"cluster": "sug_0"}), ("remove_surface", {"cluster": "sug_0", "surface": " ana sosa "})], ["0/PERSONA/Ana/[PERSONA_1]/true/sug_0/2", _D[1], _D[2], "3/PERSONA/Ana Sosa/[PERSONA_1]/true//1"], ["sug_0/suggested//Ana/m0,m1", "sug_0_split_3/suggested//Ana Sosa/m4"], _said("[PERSONA_1]", "[PERSONA_2]", "[EMPRESA_1]", "[PERSONA_1]"), ""),
+    ("remove a surface, unknown", [("remove_surface", {"cluster": "sug_0", "surface": "luis"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("absorb", [("create_cluster", {"ids": "1"}), ("absorb", {"cluster": "sug_0", "source": "manual_1"})], [*_D], ["sug_0/suggested//Ana,Luis/m0,m1,m2"], _said(*_ALL), ""),
+    ("absorb itself", [("absorb", {"cluster": "sug_0", "source": "sug_0"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("merge", [("create_cluster", {"ids": "1"}), ("merge", {"clusters": "sug_0,manual_1"})], [*_D], ["merged_2/suggested//Ana,Luis/m0,m1,m2"], _said(*_ALL), ""),
+    ("merge one", [("merge", {"clusters": "sug_0,none"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("patch, confirmed", [("confirm", {"cluster": "sug_0"}), ("patch_cluster", {"cluster": "sug_0", "placeholder": "[ACTORA]"})], ["0/PERSONA/Ana/[ACTORA]/true/sug_0/2", *_D[1:]], ["sug_0/confirmed/[ACTORA]/Ana/m0,m1"], _said("[ACTORA]", *_ALL[1:]), ""),
+    ("patch, suggested", [("patch_cluster", {"cluster": "sug_0", "placeholder": "[ACTORA]"})], [*_D], ["sug_0/suggested/[ACTORA]/Ana/m0,m1"], _said(*_ALL), ""),
+    ("reject", [("reject", {"cluster": "sug_0"})], [*_D], [], _said(*_ALL), ""),
+    ("ignore", [("ignore", {"ids": "0,2"})], ["0/PERSONA/Ana/[PERSONA_1]/false//2", _D[1], "2/EMPRESA/Sur SA/[EMPRESA_1]/false//1", _D[3]], [_G], _said("Ana", "[PERSONA_2]", "Sur SA", "[PERSONA_3]"), ""),
+    ("ignore similar", [("ignore_similar", {"id": "0"})], ["0/PERSONA/Ana/[PERSONA_1]/false//2", _D[1], _D[2], "3/PERSONA/Ana Sosa/[PERSONA_3]/false//1"], [_G], _said("Ana", "[PERSONA_2]", "[EMPRESA_1]", "Ana Sosa"), ""),
+    ("join similar", [("join_similar", {"id": "3"})], ["0/PERSONA/Ana/[PERSONA_1]/true/manual_1/2", _D[1], _D[2], "3/PERSONA/Ana Sosa/[PERSONA_1]/true/manual_1/1"], [_G, "manual_1/confirmed/[PERSONA_1]/Ana,Ana Sosa/m4,m0,m1"], _said("[PERSONA_1]", "[PERSONA_2]", "[EMPRESA_1]", "[PERSONA_1]"), ""),
+    ("join similar, none", [("join_similar", {"id": "1"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("select by hand", [("add_manual", {"cat": "PERSONA", "start": "4", "end": "7"})], [*_D, "4/PERSONA/vio/[PERSONA_4]/true//1"], [_G], _said(*_ALL).replace(" vio ", " [PERSONA_4] "), ""),
+    ("select by hand, narrative", [("add_manual", {"cat": "PERSONA", "start": "0", "end": "32"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("select by hand, no number", [("add_manual", {"cat": "DNI", "start": "4", "end": "7"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("select by hand, bad range", [("add_manual", {"cat": "PERSONA", "start": "40", "end": "99"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("select what is there", [("add_manual", {"cat": "EMPRESA", "start": "26", "end": "32"})], [*_D], [_G], _said(*_ALL), ""),
+    ("add places", [("add_bulk", {"cat": "OTRO", "original": "vio", "positions": "4-7,4-7", "placeholder": "[V]"})], [*_D, "4/OTRO/vio/[V]/true//1"], [_G], _said(*_ALL).replace(" vio ", " [V] "), ""),
+    ("add places, out of range", [("add_bulk", {"cat": "OTRO", "original": "vio", "positions": "4-99"})], [*_D], [_G], _said(*_ALL), "1"),
+    ("unknown action", [("explode", {"id": "1"}), ("ignore", {"ids": "2"})], [*_D[:2], "2/EMPRESA/Sur SA/[EMPRESA_1]/false//1", _D[3]], [_G], _said("[PERSONA_1]", "[PERSONA_2]", "Sur SA", "[PERSONA_3]"), "1"),
+]
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -319,3 +371,10 @@ def link_rows(table: str, key: str) -> tuple[str, str]:
             )
     head = f"WITH x AS (SELECT {key} AS k, {key} % {len(LINKS)} AS c FROM {table})\n"
     return head + "\nUNION ALL ".join(mentions), head + "\nUNION ALL ".join(groups)
+
+
+def review_rows(table: str, key: str) -> str:
+    """SELECT doc_id, rule, detections, clusters, anonymized_text, refused of the review cases, each row of the table one case."""
+    told = [(r, ";".join(d), ";".join(g), text, refused) for r, _, d, g, text, refused in REVIEWS]
+    columns = ", ".join(f"{chosen(REVIEWS, [quoted(t[i]) for t in told])} AS {n}" for i, n in enumerate(("rule", "detections", "clusters", "anonymized_text", "refused")))
+    return f"SELECT k AS doc_id, {columns} FROM (SELECT {key} AS k, {key} % {len(REVIEWS)} AS c FROM {table}) AS x"

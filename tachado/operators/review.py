@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import GENERIC, NUMBERED
-from .detect import PARTICLES
+from ..functions.lexicon import GENERIC, NUMBERED, Lexicon, load
+from ..functions.text import trim_white
+from . import anonymize, detections, filters
+from .detect import LEFT, PARTICLES, RIGHT, plain
 
 DETECTION = "struct<id:int,cat:string,original:string,placeholder:string,enabled:boolean,positions:array<struct<start:int,end:int,raw:string>>,mention_ids:array<string>,cluster_id:string,manual_placeholder:boolean,user_added:boolean>"
 CLUSTER = "struct<cluster_id:string,cat:string,canonical_label:string,placeholder:string,mention_ids:array<string>,surfaces:array<string>,confidence:string,status:string,reasons:array<string>>"
@@ -29,6 +31,31 @@ def label(cat: str, original: str, number: int, mode: str) -> str:
     return f"[{NUMBERED.get(cat, cat)}_{number}]"
 
 
+# Labels of copies in front of a name, and words that don't count as shared.
+COPY = re.compile(r"^(?:original|duplicado|triplicado|cuadruplicado|copia|anexo)\s+", re.I)
+SHARED_NOT = {"de", "del", "la", "las", "los", "y"}
+
+
+def matching_text(value: str) -> str:
+    """Without a copy's label in front, marks and accents; lower case."""
+    return " ".join(re.sub(r"[^\w\s]", " ", plain(COPY.sub("", value))).split())
+
+
+def alike(cat: str, one: str, other: str) -> bool:
+    """Equal, contained, of equal digits, or of shared words (see views.similar)."""
+    a, b = matching_text(one), matching_text(other)
+    if not a or not b:
+        return False
+    if a in b or b in a:
+        return True
+    if cat != "PERSONA":
+        x, y = (re.sub(r"\D", "", t) for t in (a, b))
+        return x != "" and x == y
+    x, y = ([w for w in t.split() if len(w) > 2 and w not in SHARED_NOT] for t in (a, b))
+    shared = sum(w in y for w in x)
+    return shared >= 2 or shared == 1 and min(len(x), len(y)) <= 2
+
+
 class Refused(ValueError):
     pass
 
@@ -77,12 +104,12 @@ class Review:
             d.update(placeholder=placeholder.strip(), manual_placeholder=True)
         return d
 
-    def add_manual(self, cat, start, end, **_):
-        """A selection: it and all its other occurrences, whatever the case, become one detection."""
+    def add_manual(self, cat, start, end, valid=True, **_):
+        """A selection: it and all its other occurrences, whatever the case, become one detection. valid: by the relaxed test."""
         a, b = int(start), int(end)
         surface = self.text[a:b].strip() if 0 <= a < b <= len(self.text) else ""
-        if len(surface) < 2:
-            raise Refused("bad range")
+        if len(surface) < 2 or not valid:
+            raise Refused("bad range or surface")
         self._put(cat, surface, [m.span() for m in re.finditer(re.escape(surface), self.text, re.I)] or [(a, b)])
 
     def add_bulk(self, cat, original, positions, placeholder=None, **_):
@@ -217,49 +244,101 @@ class Review:
         self.clusters = [x for x in self.clusters if x is not c]
 
     def ignore(self, ids, **_):
-        for i in ids.split(","):
-            self._detection(i)["enabled"] = False
+        for d in [self._detection(i) for i in ids.split(",")]:
+            d["enabled"] = False
+
+    def _similar(self, d: dict) -> list[dict]:
+        return [x for x in self.detections if x is not d and x["cat"] == d["cat"] and alike(d["cat"], d["original"], x["original"])]
+
+    def join_similar(self, id, **_):
+        """The detection and all that look like it become one confirmed group: its own, or a new one if it has none."""
+        d = self._detection(id)
+        others = self._similar(d)
+        if not others:
+            raise Refused("nothing similar")
+        if d["cluster_id"] is None:
+            own = self._mentions_of(str(d["id"]))
+            c = self._new("manual", d["cat"], own, self._surfaces(own), "media", ["manual"])
+        else:
+            c = self._cluster(d["cluster_id"])
+        self.add_to_cluster(c["cluster_id"], ",".join(str(x["id"]) for x in others))
+        self.confirm(c["cluster_id"])
+
+    def ignore_similar(self, id, **_):
+        d = self._detection(id)
+        for x in [d, *self._similar(d)]:
+            x["enabled"] = False
 
 
 #: The actions a log may hold.
 ACTIONS = [n for n in vars(Review) if not n.startswith("_")]
 
 
-def replay(docs: DataFrame, detections: DataFrame, mentions: DataFrame, clusters: DataFrame, log: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat") -> DataFrame:
-    """key, detections, clusters (arrays after all actions), refused (seqs) for the documents in the log.
+def _selection_valid(act: Column, text: Column, lex: Lexicon) -> Column:
+    """The relaxed validity of what an add_manual action selects; true for others."""
+    arg = lambda n: F.try_element_at(F.map_from_entries(act["args"]), F.lit(n))
+    start, end = arg("start").try_cast("int"), arg("end").try_cast("int")
+    begin = F.greatest(start - LEFT, F.lit(0))
+    surface = trim_white(F.substring(text, start + 1, end - start))
+    good = filters.valid_manual(arg("cat"), surface, F.substring(text, begin + 1, start - begin), F.substring(text, start + 1, F.lit(RIGHT)), lex)
+    return F.when(act["action"] == "add_manual", F.coalesce(good, F.lit(False))).otherwise(True)
+
+
+def _placed(found: Column, text: Column) -> Column:
+    """Detections with what stands about their first place."""
+
+    def about(d: Column) -> Column:
+        start = F.coalesce(F.try_element_at(d["positions"], F.lit(1))["start"], F.lit(0))
+        begin = F.greatest(start - LEFT, F.lit(0))
+        return d.withField("left", F.substring(text, begin + 1, start - begin)).withField("right", F.substring(text, start + 1, F.lit(RIGHT)))
+
+    return F.transform(found, about)
+
+
+def replay(
+    docs: DataFrame, detections_: DataFrame, mentions: DataFrame, clusters: DataFrame, log: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "cat", lexicon: Lexicon | None = None
+) -> DataFrame:
+    """A row a document in the log, after all its actions: key, detections, mentions, clusters, refused (seqs), anonymized_text
+    (as a preview shows it), exported (detections pruned as for export, under their present category) and exported_text.
 
     log: key, seq, action (one of ACTIONS), args (map of strings).
     """
+    lex = lexicon or load()
     fields = lambda kind: [f.split(":")[0] for f in re.sub(r"<[^<>]*(?:<[^<>]*>)?[^<>]*>", "", kind[7:-1]).split(",")]
-    gather = lambda df, kind, name: df.select(key, F.struct(*fields(kind)).cast(kind).alias("s")).groupBy(key).agg(F.collect_list("s").alias(name))
-    acts = log.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "action", F.map_entries("args").alias("args")))).alias("acts")
-    )
-    state = acts.join(docs.select(key, F.col(text).alias("text")), key)
-    for df, kind, name in ((detections, DETECTION, "detections"), (mentions, MENTION, "mentions"), (clusters, CLUSTER, "clusters")):
-        state = state.join(gather(df, kind, name), key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    gather = lambda df, kind, name: df.select(F.col(key).alias("k"), F.struct(*fields(kind)).cast(kind).alias("s")).groupBy("k").agg(F.collect_list("s").alias(name))
+    acts = log.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct("seq", "action", F.map_entries("args").alias("args")))).alias("acts"))
+    state = acts.join(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")), "k")
+    for df, kind, name in ((detections_, DETECTION, "detections"), (mentions, MENTION, "mentions"), (clusters, CLUSTER, "clusters")):
+        state = state.join(gather(df, kind, name), "k", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>")))
+    state = state.withColumn("valid", F.transform("acts", lambda a: _selection_valid(a, F.col("text"), lex)))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             got = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            out = {"detections": [], "clusters": [], "refused": []}
+            out = {"detections": [], "mentions": [], "clusters": [], "refused": []}
             for i in range(b.num_rows):
-                r = Review(got["text"][i], sorted(got["detections"][i], key=lambda d: d["id"]), got["mentions"][i], got["clusters"][i], mode)
+                ordered = sorted(got["mentions"][i], key=lambda m: (m["start"], m["end"], m["mention_id"]))
+                groups = sorted(got["clusters"][i], key=lambda c: (len(c["cluster_id"]), c["cluster_id"]))
+                r = Review(got["text"][i], sorted(got["detections"][i], key=lambda d: d["id"]), ordered, groups, mode)
                 refused = []
-                for a in got["acts"][i]:
+                for a, valid in zip(got["acts"][i], got["valid"][i], strict=True):
                     r.seq = a["seq"]
                     try:
                         if a["action"] not in ACTIONS:
                             raise Refused("no such action")
-                        getattr(r, a["action"])(**{e["key"]: e["value"] for e in a["args"] or ()})
-                    except (Refused, TypeError, ValueError):
+                        args = {e["key"]: e["value"] for e in a["args"] or () if e["value"] is not None}
+                        getattr(r, a["action"])(**args | ({"valid": valid} if a["action"] == "add_manual" else {}))
+                    except (Refused, TypeError, ValueError, AttributeError):
                         refused.append(a["seq"])
-                for n, v in zip(out, (r.detections, r.clusters, refused), strict=True):
+                for n, v in zip(out, (r.detections, r.mentions, r.clusters, refused), strict=True):
                     out[n].append(v)
-            kinds = {"detections": b.schema.field("detections").type, "clusters": b.schema.field("clusters").type, "refused": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, kinds[n]) for n, v in out.items())], names=["k", *out])
-
-    ready = state.select(F.col(key).alias("k"), "text", "detections", "mentions", "clusters", "acts")
-    return ready.mapInArrow(run, f"k {dict(ready.dtypes)['k']}, detections array<{DETECTION}>, clusters array<{CLUSTER}>, refused array<bigint>").withColumnRenamed("k", key)
+            kinds = {n: b.schema.field(n).type for n in ("detections", "mentions", "clusters")} | {"refused": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, kinds[n]) for n, v in out.items())], names=["k", "text", *out])
+
+    ready = state.select("k", "text", "detections", "mentions", "clusters", "acts", "valid")
+    done = ready.mapInArrow(run, f"k {dict(ready.dtypes)['k']}, text string, detections array<{DETECTION}>, mentions array<{MENTION}>, clusters array<{CLUSTER}>, refused array<bigint>")
+    done = done.withColumn("exported", detections.pruned_row(_placed(F.col("detections"), F.col("text")), lex))
+    texts = lambda c: anonymize.in_row(F.col("text"), F.col(c))
+    return done.select(F.col("k").alias(key), "detections", "mentions", "clusters", "refused", texts("detections").alias("anonymized_text"), "exported", texts("exported").alias("exported_text"))

@@ -490,6 +490,38 @@ SELECT doc_id, CAST(CASE cat WHEN 'EXPEDIENTE' THEN 0 WHEN 'EMAIL' THEN 1 WHEN '
 FROM m WHERE ord < 5 AND cat <> 'DNI'"""
 
 
+def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every action of the log, applied and refused, on one small document."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(cases.REVIEWED).alias("text"))
+    each = [(i, c, s, a, b) for i, (c, s, _, spots) in enumerate(cases.DETECTED) for a, b in spots]
+    spans = F.array(*(F.struct(F.lit(f"m{j}").alias("mention_id"), F.lit(c).alias("cat"), F.lit(s).alias("surface"), F.lit(a).alias("start"), F.lit(b).alias("end")) for j, (_, c, s, a, b) in enumerate(each)))
+    place = lambda s, a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(s).alias("raw"))
+    found = F.array(*(
+        F.struct(
+            F.lit(i).alias("id"), F.lit(c).alias("cat"), F.lit(s).alias("original"), F.lit(p).alias("placeholder"), F.lit(True).alias("enabled"), F.array(*(place(s, a, b) for a, b in spots)).alias("positions"),
+            F.array(*(F.lit(f"m{j}") for j, e in enumerate(each) if e[0] == i)).alias("mention_ids"), F.lit(None).cast("string").alias("cluster_id"), F.lit(False).alias("manual_placeholder"), F.lit(False).alias("user_added"),
+        ) for i, (c, s, p, spots) in enumerate(cases.DETECTED)
+    ))
+    group = {"cluster_id": "sug_0", "cat": "PERSONA", "canonical_label": None, "placeholder": None, "mention_ids": ["m0", "m1"], "surfaces": ["Ana"], "confidence": "alta", "status": "suggested", "reasons": ["exact"]}
+    of = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v).cast("string")
+    acts = [F.array(*(F.struct(F.lit(n + 1).cast("bigint").alias("seq"), F.lit(a).alias("action"), F.create_map(*(F.lit(x) for kv in args.items() for x in kv)).alias("args")) for n, (a, args) in enumerate(c[1]))) for c in cases.REVIEWS]
+    mine = acts[-1]
+    for i, a in enumerate(acts[:-1]):
+        mine = F.when(F.col("doc_id") % len(acts) == i, a).otherwise(mine)
+    rows = lambda array: docs.select("doc_id", F.explode(array).alias("x")).select("doc_id", "x.*")
+    out = reviews.replay(docs, rows(found), rows(spans), docs.select("doc_id", *(of(v).alias(n) for n, v in group.items())), rows(mine))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    said = lambda array, *parts: F.array_join(F.transform(array, lambda x: F.concat_ws("/", *(p(x) for p in parts))), ";")
+    field = lambda n: lambda x: text(x[n])
+    several = lambda n: lambda x: F.array_join(x[n], ",")
+    rule = cases.chosen(cases.REVIEWS, [cases.quoted(c[0]) for c in cases.REVIEWS]).replace("CASE c ", f"CASE doc_id % {len(acts)} ")
+    return out.select(
+        "doc_id", F.expr(rule).alias("rule"), said("detections", *map(field, ("id", "cat", "original", "placeholder", "enabled", "cluster_id")), lambda x: F.size(x["positions"]).cast("string")).alias("detections"),
+        said("clusters", *map(field, ("cluster_id", "status", "placeholder")), several("surfaces"), several("mention_ids")).alias("clusters"), "anonymized_text",
+        F.array_join(F.transform("refused", lambda x: x.cast("string")), ",").alias("refused"),
+    )
+
+
 def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mentions of the documents table."""
     lex = load()
@@ -506,14 +538,14 @@ def queries() -> dict:
     own = [
         search_accent_insensitive, name_functions, placeholder_modes, tax_numbers, validity_filters, casefile_mentions, casefile_detections, casefile_equivalences, casefile_csv,
         casefile_statistics, casefile_anonymized, casefile_highlights, casefile_clusters, interval_merge, substring_prune, band_join, document_components, fuzzy_pairs, clean_pages,
-        review_replay, document_mentions, document_analysis, validity_cases, linking_cases, stored_detections, stored_anonymized,
+        review_replay, document_mentions, document_analysis, validity_cases, linking_cases, stored_detections, stored_anonymized, review_actions,
     ]
     return {name: _scan(p) for name, p in SCANS.items()} | {name: q for name, (q, _) in RULES.items()} | {"interval_packing": interval_packing, "interval_sweep": interval_sweep} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: _scan_sql(p) for name, p in SCANS.items()} | {name: sql for name, (_, sql) in RULES.items()} | {
-        "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
+        "review_actions": cases.review_rows("orders", "o_orderkey"), "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
         "search_accent_insensitive": SEARCH_SQL, "name_functions": NAME_SQL, "placeholder_modes": PLACEHOLDER_SQL, "tax_numbers": TAX_SQL, "validity_filters": VALIDITY_SQL,
         "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "stored_detections": CASE_DETECTIONS_SQL, "stored_anonymized": CASE_ANONYMIZED_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
         "casefile_statistics": CASE_STATISTICS_SQL, "casefile_anonymized": CASE_ANONYMIZED_SQL, "casefile_highlights": CASE_HIGHLIGHTS_SQL, "casefile_clusters": CASE_CLUSTERS_SQL,
