@@ -2,7 +2,11 @@
 
 A layer is a Column (an Arrow UDF of a model, or an expression) giving array<struct<cat,surface,start,end>> of a text.
 Layers come after the rules, in the order added; at equal starts the earlier layer wins the sweep, and layers do not
-keep each other out before it. `pattern_layer` makes one from patterns alone.
+keep each other out before it. `pattern_layer` makes one from patterns alone; `checked` is what a model's spans go
+through before they are added.
+
+Defined cases: null texts and null layers have no spans; spans outside the text are left out; a null score counts as below
+the floor; columns of the caller may have any names but text, hits.
 """
 
 from __future__ import annotations
@@ -12,6 +16,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import Lexicon
+from ..functions.text import trim_white
+from . import filters
 from .detect import LEFT, RIGHT, SPAN
 from .rules import LOW, UP
 
@@ -30,15 +37,43 @@ def pattern_layer(text: Column) -> Column:
     """The patterns above as a layer; off by default, as the model layers are where their models are missing."""
     compiled = [(cat, re.compile(p, flags), g) for cat, p, g, flags in PATTERNS]
 
-    def find(texts):
-        import pandas as pd
+    import pandas as pd
 
+    def find(texts):
         def one(t):
             return [{"cat": cat, "surface": m[g], "start": m.start(g), "end": m.end(g)} for cat, p, g in compiled for m in p.finditer(t or "")]
 
         return pd.Series([one(t) for t in texts])
 
-    return F.pandas_udf(find, PLUGIN, F.PandasUDFType.SCALAR)(text)
+    find.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(find, PLUGIN)(text)
+
+
+# Least score of a model's span, least characters, and label words that are no data.
+FLOOR, LEAST = 0.75, 3
+LABELS = ["cuit", "cuil", "dni", "tel", "teléfono", "telefono", "email", "correo", "expediente", "expte", "juzgado", "fiscalía", "fiscalia"]
+# Categories of a model's entity names.
+ENTITY = {
+    "DNI": "DNI", "CUIT": "CUIT", "EMAIL_ADDRESS": "EMAIL", "PHONE_NUMBER": "TELEFONO", "PERSON": "PERSONA", "LOCATION": "DOMICILIO", "ORGANIZATION": "ORGANISMO", "NRP": "PERSONA", "EXPEDIENTE": "EXPEDIENTE",
+    "PER": "PERSONA", "ORG": "ORGANISMO", "LOC": "DOMICILIO",
+}
+
+
+def checked(text: Column, found: Column, lex: Lexicon) -> Column:
+    """A model's array<struct<entity,start,end,score>> as a layer's spans: score, length, label words, validity.
+
+    A surface is trimmed, its span is as the model gave it; unknown entities are OTRO.
+    """
+    cat = lambda s: F.coalesce(F.create_map(*(F.lit(x) for kv in ENTITY.items() for x in kv))[s["entity"]], F.lit("OTRO"))
+    surface = lambda s: trim_white(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    spans = F.transform(found, lambda s: F.struct(cat(s).alias("cat"), surface(s).alias("surface"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["score"].cast("double").alias("score")))
+    begin = lambda s: F.greatest(s["start"] - LEFT, F.lit(0))
+    good = lambda s: (
+        (s["score"] >= FLOOR) & (F.length(s["surface"]) >= LEAST) & ~F.lower(s["surface"]).isin(LABELS)
+        & filters.valid(s["cat"], s["surface"], F.substring(text, begin(s) + 1, s["start"] - begin(s)), F.substring(text, s["start"] + 1, F.lit(RIGHT)), lex)
+    )
+    kept = F.filter(spans, lambda s: F.coalesce(good(s), F.lit(False)))
+    return F.coalesce(F.transform(kept, lambda s: s.dropFields("score")), F.array()).cast(PLUGIN)
 
 
 def add_layer(scanned: DataFrame, spans: Column, name: str, text: str = "text") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Exports: equivalence table as CSV, anonymised texts as DOCX bytes, Markdown and previews."""
+"""Exports: equivalence table as CSV, anonymised texts as DOCX bytes, Markdown, previews, and files of any of them.
+
+Defined cases: documents without detections have no table; null texts count as empty; null keys stay (files of theirs are
+named by a hash of their content); repeated keys' files are told apart by that hash too; empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -28,8 +32,43 @@ def csv_documents(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def write_csv(found: DataFrame, path: str, key: str = "doc_id") -> None:
-    """All documents' equivalences by Spark's CSV writer, partitioned by document."""
-    equivalences(found, key).drop("id").write.partitionBy(key).option("sep", ";").option("lineSep", "\r\n").option("header", True).csv(path)
+    """All documents' equivalences by Spark's CSV writer: the key first, then the table's columns; the header begins with a BOM.
+
+    Files follow the data's partitions, however many documents there are; write_files makes a file a document.
+    """
+    rows = equivalences(found, key)
+    rows.select(F.col(key).alias("\ufeff" + key), *HEADER).write.option("sep", ";").option("lineSep", "\r\n").option("header", True).csv(path)
+
+
+def write_files(contents: DataFrame, folder: str, suffix: str, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """A file a row of (key, text or bytes), in 256 subfolders: folder/ab/<key>-<hash>.<suffix>. Gives key, file, size.
+
+    Lazy: the files are there once the returned rows are. A task that runs twice writes the same files.
+    """
+
+    def write(batches):
+        import hashlib
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            out = {"file": [], "size": []}
+            for k, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = data or b""
+                mark = hashlib.sha256(data).hexdigest()
+                name = f"{mark[:2]}/{quote(k or '', safe='')[:100]}-{mark[:16]}.{suffix}"
+                system.create_dir(f"{top}/{mark[:2]}", recursive=True)
+                with system.open_output_stream(f"{top}/{name}", compression=None) as f:
+                    f.write(data)
+                out["file"].append(name)
+                out["size"].append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out["file"], pa.string()), pa.array(out["size"], pa.int64())], names=["k", "file", "size"])
+
+    ready = contents.select(F.col(key).alias("k"), F.col(key).cast("string").alias("name"), F.col(content).cast("binary").alias("data"))
+    return ready.mapInArrow(write, f"k {dict(ready.dtypes)['k']}, file string, size bigint").withColumnRenamed("k", key)
 
 
 def markdown(docs: DataFrame, title: str, text: str = "anonymized_text"):

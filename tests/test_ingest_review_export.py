@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tachado.functions.lexicon import load
 from tachado.operators import detect, detections, resolve
 from tachado.operators.review import Review, replay
-from tachado.sinks import export
+from tachado.sinks import export, pdf, sessions
 from tachado.sources import documents as ingest
 from tachado.streaming.stream import anonymize_stream
 
@@ -38,6 +38,44 @@ def test_csv_guards_formulas(spark):
     assert export.csv_documents(df).first().content == '﻿Tipo;Original;Sustitución;Ocurrencias;Activa;Cluster\r\nOTRO;\'=1+1;"[a;""b""]";1;Sí;\r\n'
 
 
+def test_pdf_is_well_formed(spark):
+    import re
+    import zlib
+
+    data = pdf.pdf_bytes(["Párrafo (uno) con \\ barra " * 200, "dos", " "], size=11)
+    assert data.startswith(b"%PDF") and data.rstrip().endswith(b"%%EOF")
+    start_at = int(data.rsplit(b"startxref\n", 1)[1].split(b"\n")[0])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", data[start_at:])]
+    assert all(data[p:].startswith(b"%d 0 obj" % (i + 1)) for i, p in enumerate(places))
+    pages = [zlib.decompress(m[1]) for m in re.finditer(rb"stream\n(.*?)\nendstream", data, re.S)]
+    said = b" ".join(re.findall(rb"\((.*?)\) Tj", b"\n".join(pages), re.S)).decode("cp1252")
+    assert said.count("barra") == 200 and said.endswith("dos") and len(pages) > 1
+    assert all(pdf.width(" ".join(x), 11) <= 300 for x in pdf.lines("palabra " * 50 + "x" * 500, 11, 300))
+    docs = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "editado")], "doc_id long, anonymized_text string, mine string")
+    rows = {r.doc_id: bytes(r.content) for r in pdf.pdf_documents(docs, edited="mine").collect()}
+    assert len(rows) == 3 and all(len(x) > 200 for x in rows.values()) and rows[1] != rows[3]
+
+
+def test_files_and_csv_tables(spark, tmp_path):
+    rows = [(1, 0, "OTRO", "a;b", "[x]", True, [(0, 1, "x")], None), (None, 0, "OTRO", "c", "[x]", True, [(0, 1, "x")], None)]
+    df = spark.createDataFrame(rows, "doc_id long, id int, cat string, original string, placeholder string, enabled boolean, positions array<struct<start:int,end:int,raw:string>>, cluster_id string")
+    export.write_csv(df.coalesce(1), str(tmp_path / "csv"))
+    text = next((tmp_path / "csv").glob("part-*.csv")).read_bytes().decode()
+    assert text.startswith("\ufeffdoc_id;Tipo;") and '1;OTRO;"a;b";[x];1;Sí;' in text and text.count("\r\n") == 3
+    files = export.write_files(export.csv_documents(df), f"file://{tmp_path}/one", "csv").collect()
+    assert {r.doc_id for r in files} == {1, None}
+    assert all((tmp_path / "one" / r.file).stat().st_size == r.size for r in files)
+
+
+def test_sessions_are_upserted(spark, tmp_path):
+    path = f"file://{tmp_path}/sessions"
+    assert sessions.load(spark, path).count() == 0
+    make = lambda rows: spark.createDataFrame(rows, "session_id string, n int").select("session_id", sessions.state(n=F.col("n")).alias("data"))
+    sessions.save(make([("a", 1), ("b", 2), (None, 3)]), path)
+    sessions.save(make([("a", None), ("c", 4)]), path)
+    assert sorted((r.session_id, r.data) for r in sessions.load(spark, path).collect()) == [("a", '{"n":null}'), ("b", '{"n":2}'), ("c", '{"n":4}')]
+
+
 def start(text="Ana vio a Ana y a Luis"):
     d = lambda i, s, a: {"id": i, "cat": "PERSONA", "original": s, "placeholder": f"[PERSONA_{i + 1}]", "enabled": True, "positions": [{"start": a, "end": a + len(s), "raw": s}], "mention_ids": [f"m{i}"], "cluster_id": None, "manual_placeholder": False, "user_added": False}
     m = lambda i, s, a: {"mention_id": f"m{i}", "cat": "PERSONA", "surface": s, "start": a, "end": a + len(s)}
@@ -81,6 +119,19 @@ def test_replay_reports_what_it_refuses(spark):
     assert [(r.doc_id, [x.original for x in r.detections], r.refused) for r in out] == [(1, ["luis@y.com"], [2, 3])]
 
 
+def test_replay_gives_mentions_and_texts(spark):
+    docs = spark.createDataFrame([(1, "Ana Gómez; Ana Gómez Pérez; luis@y.com; Zutano")], "doc_id long, text string")
+    m = detections.mentions(detect.scan(docs, LEX), LEX)
+    d = detections.detections(m)
+    log = spark.createDataFrame([(1, 1, "ignore", {"ids": "2"}), (1, 2, "add_manual", {"cat": "PERSONA", "start": "40", "end": "46"}), (1, 3, "add_manual", {"cat": "DNI", "start": "0", "end": "3"})], "doc_id long, seq long, action string, args map<string,string>")
+    r = replay(docs, d, m, resolve.clusters(m, resolve.edges(m, LEX)), log).first()
+    assert r.refused == [3] and [x.mention_id for x in r.mentions] == ["m0", "m1", "m2", "m_manual_2"]
+    assert r.anonymized_text == "[PERSONA_1]; [PERSONA_2]; luis@y.com; [PERSONA_3]"
+    # Pruning drops the shorter name, which then stays in clear; the selection by hand stays.
+    assert [x.original for x in r.exported] == ["luis@y.com", "Ana Gómez Pérez", "Zutano"]
+    assert r.exported_text == "Ana Gómez; [PERSONA_2]; luis@y.com; [PERSONA_3]"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a@b.cc y c@d.ee, a@b.cc"), (2, None), (3, "x")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))

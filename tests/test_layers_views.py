@@ -17,6 +17,15 @@ def test_layer_fills_gaps_only(spark):
     assert detections.mentions(more, LEX).where("cat = 'PERSONA'").count() == 1
 
 
+def test_model_spans_are_checked(spark):
+    text = "El DNI de Juan Pérez, tel +54 11 4567-8901, Zutano Fulano"
+    at = lambda s: (text.index(s), text.index(s) + len(s))
+    spans = [("PERSON", *at("Juan Pérez"), 0.9), ("PERSON", *at("Juan Pérez"), 0.7), ("PERSON", *at("Zutano Fulano"), 0.9), ("PHONE_NUMBER", *at("+54 11 4567-8901"), 0.75), ("DNI", *at("DNI"), 0.99), ("DNI", 0, 2, 0.99), ("PERSON", 3, 6, None)]
+    df = spark.createDataFrame([(1, text, spans), (2, None, None), (3, "x", [])], "doc_id long, text string, m array<struct<entity:string,start:int,end:int,score:double>>")
+    got = {r.doc_id: [(x.cat, x.surface) for x in r.s] for r in df.select("doc_id", layers.checked(F.col("text"), F.col("m"), LEX).alias("s")).collect()}
+    assert got == {1: [("PERSONA", "Juan Pérez"), ("TELEFONO", "+54 11 4567-8901")], 2: [], 3: []}
+
+
 def test_views(spark):
     d = spark.createDataFrame([(1, 0, "PERSONA", "Juan Pérez", None), (1, 1, "PERSONA", "PEREZ JUAN", None), (1, 2, "DNI", "20.123.456", None), (1, 3, "DNI", "20123456", "g"), (1, 4, "PERSONA", "Otra Cosa", None)], "doc_id long, id int, cat string, original string, cluster_id string")
     assert [(r.a, r.b) for r in views.similar(d).orderBy("a").collect()] == [(0, 1), (2, 3)]
