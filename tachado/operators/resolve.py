@@ -1,99 +1,201 @@
 """Identity linking inside a document: blocked pairs, fuzzy rules, near identifiers, components, groups.
 
-Candidates come from equi-joins (document, category, surname); texts never move. Components are found by
-joins as in a graph of mentions per document, min labels spreading until nothing changes; mentions of one
-document are few, and rounds are bounded by the longest chain.
+Linking never leaves a document, whose mentions are bounded by its own text, so a document is linked whole in one row:
+`linked` takes a row's array of mentions, prepares names, tokens and surnames as expressions, and compares pairs in Arrow
+batches. From the analysis' rows nothing is shuffled; a table of stored mentions is gathered by document once
+(`edges`, `groups`). Candidates are blocked: equal names once, persons by surname, others by a band of lengths that the
+wanted score allows.
+
+`components` and `clusters` do the last steps on stored or edited links.
+
+Defined cases: a document without mentions has no links; null surfaces count as empty names; rows of one key are one
+document (give the analysis' `row` where keys repeat), null keys one of their own; mentions of equal place follow
+by id; columns beyond the named ones are not looked at; empty tables give empty ones.
 """
 
 from __future__ import annotations
 
-import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import sorted_tokens, token_sort_ratio
+from ..functions.fuzzy import subsequence
 from ..functions.lexicon import Lexicon
-from ..functions.text import initials, name_tokens, normalize_mention, surnames, trim_white
+from ..functions.text import name_tokens, normalize_mention, surnames, trim_white
+from .filters import let
 
 # Scores that link, and characters between an identifier and a name.
 HIGH, MEDIUM, NEAR = 92.0, 85.0, 200
-#: A score of MEDIUM needs a length of at least this share of the longer one (rounded down); widths of length bands grow by WIDER.
-RATIO, WIDER = 0.739, 1.25
+#: A score of MEDIUM needs a length of at least this share of the longer one (rounded down).
+RATIO = 0.739
+MENTION = "struct<ord:int,mention_id:string,cat:string,surface:string,start:int>"
+EDGE = "struct<src:int,dst:int,weight:double,reason:string>"
+GROUP = "struct<cluster_id:string,cat:string,canonical_label:string,placeholder:string,mention_ids:array<string>,surfaces:array<string>,confidence:string,status:string,reasons:array<string>>"
 
 
-def _band(size: Column) -> Column:
-    return F.floor(F.ln(size) / math.log(WIDER)).cast("int")
+def same_by_initials(a: list[str], b: list[str], sa: list[str], sb: list[str]) -> bool:
+    """Same person by initials: a shared surname, and first initials or initial strings that agree."""
+    if not a or not b or not set(sa) & set(sb):
+        return False
+    x, y = ("".join(t[:1] for t in tokens) for tokens in (a, b))
+    if any(len(t.replace(".", "")) <= 2 for t in a + b):
+        return x[:1] == y[:1] or x in y or y in x
+    return a[0] == b[0] and (x.startswith(y) or y.startswith(x))
+
+
+def ratio(a: str, b: str) -> float:
+    """Token-sort ratio of two names (see fuzzy.token_sort_ratio), 0 where the lengths rule out MEDIUM."""
+    x, y = (" ".join(sorted(s.split())) for s in (a, b))
+    if x == y:
+        return 100.0
+    total = len(x) + len(y)
+    return 0.0 if 200.0 * min(len(x), len(y)) < MEDIUM * total else 200.0 * subsequence(x, y) / total
+
+
+def _pairs(reps: list[dict]):
+    """Candidate pairs of one category's distinct names, each once."""
+    if reps[0]["cat"] == "PERSONA":
+        blocks: dict[str, list[dict]] = {}
+        for m in reps:
+            for s in m["surnames"] or m["tokens"][:1] or ["_unknown"]:
+                blocks.setdefault(s, []).append(m)
+        seen = set()
+        for block in blocks.values():
+            for i, x in enumerate(block):
+                for y in block[i + 1 :]:
+                    if (x["ord"], y["ord"]) not in seen:
+                        seen.add((x["ord"], y["ord"]))
+                        yield x, y
+        return
+    by_length = sorted(reps, key=lambda m: len(m["norm"]))
+    for i, x in enumerate(by_length):
+        for y in by_length[i + 1 :]:
+            if len(x["norm"]) < RATIO * len(y["norm"]) - 1:
+                break
+            yield (x, y) if x["ord"] < y["ord"] else (y, x)
+
+
+def links_of(mentions: list[dict]) -> list[tuple[int, int, float, str]]:
+    """(src, dst, weight, reason) of one document's mentions, in order; src before dst."""
+    out, first = [], {}
+    for m in mentions:
+        head = first.setdefault((m["cat"], m["norm"]), m)
+        if head is not m:
+            out.append((head["ord"], m["ord"], 1.0, "exact"))
+    by_cat: dict[str, list[dict]] = {}
+    for m in first.values():
+        by_cat.setdefault(m["cat"], []).append(m)
+    for cat, reps in by_cat.items():
+        for x, y in _pairs(reps):
+            if cat == "PERSONA":
+                if same_by_initials(x["tokens"], y["tokens"], x["surnames"], y["surnames"]):
+                    out.append((x["ord"], y["ord"], 0.93, "initials_match"))
+                elif set(x["surnames"]) & set(y["surnames"]) and (score := ratio(x["norm"], y["norm"])) >= MEDIUM:
+                    out.append((x["ord"], y["ord"], max(score / 100, 0.88), "shared_surname"))
+            elif (score := ratio(x["norm"], y["norm"])) >= MEDIUM:
+                out.append((x["ord"], y["ord"], score / 100, "fuzzy_high" if score >= HIGH else "fuzzy_medium"))
+    people = [m for m in mentions if m["cat"] == "PERSONA"]
+    near = set()
+    for d in (m for m in mentions if m["cat"] in ("DNI", "CUIT")):
+        close = [m for m in people if abs(m["start"] - d["start"]) <= NEAR]
+        for i, x in enumerate(close):
+            for y in close[i + 1 :]:
+                if (x["ord"], y["ord"]) not in near and (same_by_initials(x["tokens"], y["tokens"], x["surnames"], y["surnames"]) or ratio(x["norm"], y["norm"]) >= HIGH):
+                    near.add((x["ord"], y["ord"]))
+    return out + [(x, y, 0.95, "shared_identifier") for x, y in sorted(near)]
+
+
+def roots(links) -> dict[int, int]:
+    """The smallest member reachable from each end of the links (src, dst, ...)."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b, *_ in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: root(x) for x in sorted(parent)}
+
+
+def groups_of(mentions: list[dict], links: list[tuple]) -> list[dict]:
+    """Suggested groups of one document; numbers count all components, single mentions included, by first appearance."""
+    root = roots(links)
+    parts: dict[int, list[dict]] = {}
+    for m in mentions:
+        parts.setdefault(root.get(m["ord"], m["ord"]), []).append(m)
+    why: dict[int, list[tuple]] = {}
+    for e in links:
+        why.setdefault(root[e[0]], []).append(e)
+    out = []
+    for n, first in enumerate(sorted(parts)):
+        own = parts[first]
+        surfaces = list(dict.fromkeys(m["surface"] for m in own))
+        if len(own) < 2 or all(re.fullmatch(r"\d+", x) for x in surfaces) or all(len(x) < 4 for x in surfaces):
+            continue
+        if own[0]["cat"] == "DOMICILIO" and not any(len(x) > 15 or "calle" in x.lower() or "av" in x.lower() for x in surfaces):
+            continue
+        reasons, top = sorted({e[3] for e in why[first]}), max(e[2] for e in why[first])
+        sure = top >= 0.92 or set(reasons) & {"shared_identifier", "exact", "initials_match", "fuzzy_high"}
+        out.append({
+            "cluster_id": f"sug_{n}", "cat": own[0]["cat"], "canonical_label": None, "placeholder": None, "mention_ids": [m["mention_id"] for m in own], "surfaces": surfaces,
+            "confidence": "alta" if sure else "media" if top >= 0.85 or "shared_surname" in reasons else "baja", "status": "suggested", "reasons": reasons,
+        })
+    return out
+
+
+def linked(rows: DataFrame, mentions: Column, lex: Lexicon, *keep: str) -> DataFrame:
+    """The columns to keep, edges (array<EDGE>) and groups (array<GROUP>) of each row's mentions (array<MENTION>, in order)."""
+
+    def prepared(x: Column) -> Column:
+        norm = normalize_mention(F.coalesce(x["surface"], F.lit("")))
+        whole = lambda n: let(name_tokens(n), lambda t: F.struct(
+            x["ord"].alias("ord"), x["mention_id"].alias("mention_id"), x["cat"].alias("cat"), trim_white(F.coalesce(x["surface"], F.lit(""))).alias("surface"), x["start"].alias("start"), n.alias("norm"),
+            t.alias("tokens"), F.coalesce(surnames(t, lex.surnames), F.array().cast("array<string>")).alias("surnames"),
+        ))
+        return let(norm, whole)
+
+    names = [*(f"c{i}" for i in range(len(keep))), "edges", "groups"]
+    own = rows.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=False)), F.transform(mentions, prepared).alias("m"))
+
+    def run(batches):
+        import pyarrow as pa
 
+        texts = pa.list_(pa.string())
+        edge = pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("weight", pa.float64()), ("reason", pa.string())]))
+        fields = ("cluster_id", "cat", "canonical_label", "placeholder", "mention_ids", "surfaces", "confidence", "status", "reasons")
+        group = pa.list_(pa.struct([(n, texts if n in ("mention_ids", "surfaces", "reasons") else pa.string()) for n in fields]))
+        for b in batches:
+            found = [m or [] for m in b.column(b.num_columns - 1).to_pylist()]
+            links = [links_of(m) for m in found]
+            edges = [[dict(zip(("src", "dst", "weight", "reason"), e, strict=True)) for e in x] for x in links]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(edges, edge), pa.array([groups_of(m, x) for m, x in zip(found, links, strict=True)], group)], names=names)
 
-def initials_match(a: Column, b: Column, sa: Column, sb: Column) -> Column:
-    """Same person by initials: a shared surname, and first initials or initial strings that agree."""
-    ia, ib = initials(a), initials(b)
-    short = F.exists(F.concat(a, b), lambda t: F.length(F.replace(t, F.lit("."), F.lit(""))) <= 2)
-    loose = (F.substring(ia, 1, 1) == F.substring(ib, 1, 1)) | F.contains(ia, ib) | F.contains(ib, ia)
-    strict = (a[0] == b[0]) & (F.startswith(ia, ib) | F.startswith(ib, ia))
-    return (F.size(a) > 0) & (F.size(b) > 0) & F.arrays_overlap(sa, sb) & F.when(short, loose).otherwise(strict)
+    kinds = dict(own.dtypes) | {"edges": f"array<{EDGE}>", "groups": f"array<{GROUP}>"}
+    return own.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names)).toDF(*keep, "edges", "groups")
 
 
-def prepared(found: DataFrame, lex: Lexicon, key: str) -> DataFrame:
-    tokens = name_tokens(F.col("norm_name"))
-    out = found.select(key, "ord", "mention_id", "cat", "surface", "start", "end", normalize_mention(F.col("surface")).alias("norm_name"))
-    return out.withColumn("tokens", tokens).withColumn("surnames", surnames(F.col("tokens"), lex.surnames))
+def gathered(found: DataFrame, lex: Lexicon, key: str = "doc_id") -> DataFrame:
+    """key, edges, groups of a table of mentions (key, ord, mention_id, cat, surface, start): one shuffle by document."""
+    one = F.struct("ord", "mention_id", "cat", "surface", "start").cast(MENTION)
+    rows = found.select(F.col(key).alias("key"), one.alias("m")).groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return linked(rows, F.col("m"), lex, "key").withColumnRenamed("key", key)
 
 
 def edges(found: DataFrame, lex: Lexicon, key: str = "doc_id") -> DataFrame:
     """key, src, dst (ord of mentions, src before dst), weight, reason."""
-    m = prepared(found, lex, key)
-    same = W.partitionBy(key, "cat", "norm_name").orderBy("ord")
-    ranked = m.withColumn("_first", F.first("ord").over(same))
-    exact = ranked.where(F.col("ord") != F.col("_first")).select(key, F.col("_first").alias("src"), F.col("ord").alias("dst"), F.lit(1.0).alias("weight"), F.lit("exact").alias("reason"))
-    reps = ranked.where(F.col("ord") == F.col("_first")).drop("_first")
-    own = F.when(F.size("surnames") > 0, F.col("surnames")).otherwise(F.array(F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit("_unknown"))))
-    person, size = F.col("cat") == "PERSONA", F.length(sorted_tokens(F.col("norm_name")))
-    bands = lambda size: F.transform(F.sequence(_band(size), _band(size / RATIO)), lambda n: n.cast("string"))
-    sized = reps.withColumn("_n", size)
-    # A pair meets under the longer text's band of lengths; the shorter one stands in every band that it could reach.
-    short = sized.withColumn("block", F.explode(F.when(person, own).otherwise(bands(F.greatest(F.col("_n"), F.lit(1))))))
-    long = sized.withColumn("block", F.explode(F.when(person, own).otherwise(F.array(_band(F.greatest(F.col("_n"), F.lit(1))).cast("string")))))
-    a, b = short.alias("a"), long.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "cat", "block")]
-    order = F.when(F.col("a.cat") == "PERSONA", F.col("a.ord") < F.col("b.ord")).otherwise(
-        ((F.col("a._n") < F.col("b._n")) | ((F.col("a._n") == F.col("b._n")) & (F.col("a.ord") < F.col("b.ord")))) & (F.col("a._n") >= F.col("b._n") * RATIO)
-    )
-    # Persons with several surnames in common meet once, under the least; those without any share their first token alone.
-    shared = F.array_min(F.array_intersect("a.surnames", "b.surnames"))
-    once = (F.col("a.cat") != "PERSONA") | shared.isNull() | (F.col("a.block") == shared)
-    pairs = a.join(b, on[0] & on[1] & on[2] & order & once).select(
-        F.col(f"a.{key}").alias(key), "a.cat", F.least("a.ord", "b.ord").alias("src"), F.greatest("a.ord", "b.ord").alias("dst"),
-        *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("norm_name", "tokens", "surnames")),
-    )
-    linked = pairs.withColumn("_i", (F.col("cat") == "PERSONA") & initials_match(*(F.col(f"{s}_tokens") for s in "ab"), *(F.col(f"{s}_surnames") for s in "ab")))
-    share = F.arrays_overlap("a_surnames", "b_surnames")
-    need = ~F.col("_i") & ((F.col("cat") != "PERSONA") | share)
-    linked = linked.withColumn("_s", token_sort_ratio(F.col("a_norm_name"), F.col("b_norm_name"), MEDIUM, need))
-    score = F.col("_s") / 100
-    weight = F.when(F.col("_i"), 0.93).when(F.col("cat") == "PERSONA", F.greatest(score, F.lit(0.88))).otherwise(score)
-    reason = F.when(F.col("_i"), "initials_match").when(F.col("cat") == "PERSONA", "shared_surname").when(F.col("_s") >= HIGH, "fuzzy_high").otherwise("fuzzy_medium")
-    fuzzy = linked.where(F.col("_i") | (F.col("_s") >= MEDIUM)).select(key, "src", "dst", weight.alias("weight"), reason.alias("reason"))
-    return exact.unionByName(fuzzy).unionByName(near_identifiers(m, key))
+    return gathered(found, lex, key).select(key, F.explode("edges").alias("e")).select(key, "e.*")
 
 
-def near_identifiers(m: DataFrame, key: str) -> DataFrame:
-    """Persons within NEAR characters of one identifier that are the same by initials or a high score.
-
-    The band join meets on document and buckets of NEAR characters, so it is an equi-join with a filter.
-    """
-    people = m.where("cat = 'PERSONA'").withColumn("_b", F.explode(F.array(*(F.expr(f"start div {NEAR} + {d}") for d in (-1, 0, 1)))))
-    ids = m.where("cat in ('DNI', 'CUIT')").select(F.col(key).alias("_k"), F.col("ord").alias("_id"), F.col("start").alias("_at"), F.expr(f"start div {NEAR}").alias("_c"))
-    close = people.join(ids, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & (F.abs(F.col("start") - F.col("_at")) <= NEAR))
-    close = close.select(key, "_id", "ord", "norm_name", "tokens", "surnames").distinct()
-    a, b = close.alias("a"), close.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._id") == F.col("b._id")) & (F.col("a.ord") < F.col("b.ord")))
-    same = F.coalesce(initials_match(F.col("a.tokens"), F.col("b.tokens"), F.col("a.surnames"), F.col("b.surnames")), F.lit(False))
-    rows = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.ord").alias("src"), F.col("b.ord").alias("dst"), same.alias("_same"), F.col("a.norm_name").alias("_x"), F.col("b.norm_name").alias("_y")).distinct()
-    rows = rows.where(F.col("_same") | (token_sort_ratio(F.col("_x"), F.col("_y"), HIGH, ~F.col("_same")) >= HIGH))
-    return rows.select(key, "src", "dst", F.lit(0.95).alias("weight"), F.lit("shared_identifier").alias("reason"))
+def groups(found: DataFrame, lex: Lexicon, key: str = "doc_id") -> DataFrame:
+    """key and the fields of GROUP: the suggested groups of a table of mentions."""
+    return gathered(found, lex, key).select(key, F.explode("groups").alias("g")).select(key, "g.*")
 
 
 def components(links: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -110,22 +212,10 @@ def components(links: DataFrame, key: str = "doc_id") -> DataFrame:
         for b in batches:
             out = {"k": [], "ord": [], "component": []}
             for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parent: dict[int, int] = {}
-
-                def root(x, parent=parent):
-                    parent.setdefault(x, x)
-                    while parent[x] != x:
-                        parent[x] = parent[parent[x]]
-                        x = parent[x]
-                    return x
-
-                for s in e:
-                    x, y = root(s["src"]), root(s["dst"])
-                    parent[max(x, y)] = min(x, y)
-                for x in sorted(parent):
+                for x, r in roots((s["src"], s["dst"]) for s in e).items():
                     out["k"].append(k)
                     out["ord"].append(x)
-                    out["component"].append(root(x))
+                    out["component"].append(r)
             yield pa.RecordBatch.from_arrays([pa.array(out["k"], b.column(0).type), pa.array(out["ord"], pa.int32()), pa.array(out["component"], pa.int32())], names=list(out))
 
     kind = dict(per_doc.dtypes)[key]

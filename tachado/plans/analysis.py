@@ -1,8 +1,8 @@
-"""The whole analysis: scan, validity, sweep, detections, pruning, substitution in each document's row; then linking.
+"""The whole analysis: scan, validity, sweep, detections, pruning, substitution and linking, each in the document's own row.
 
 One table is written: a row a document with its mentions, detections and anonymised text, under a number of its own
-(`row`). All else is read from it; only linking, whose rows are narrow, moves anything. Documents of one key, or without a
-key, are therefore told apart.
+(`row`). All else is read from it, and nothing is shuffled. Documents of one key, or without a key, are therefore told
+apart.
 
 Defined cases: a null text has no mentions and stays null; repeated and null keys are documents of their own (their rows
 tell them apart); an empty table gives empty ones; columns other than key and text are not looked at.
@@ -55,6 +55,12 @@ def detection_rows(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode("detections").alias("d")).select(*keep, "d.*")
 
 
+def link_rows(rows: DataFrame, lex: Lexicon, *keep: str) -> DataFrame:
+    """The columns to keep, edges and groups (arrays) of in_rows()'s mentions."""
+    place = lambda h, i: F.struct(i.cast("int").alias("ord"), F.concat(F.lit("m"), i.cast("string")).alias("mention_id"), h["cat"].alias("cat"), h["surface"].alias("surface"), h["start"].alias("start"))
+    return resolve.linked(rows, F.transform("mentions", place), lex, *keep)
+
+
 def statistics_rows(rows: DataFrame, *keep: str) -> DataFrame:
     """The columns to keep, a column a category (enabled detections, zeros included), TOTAL; of documents with a detection."""
     n = lambda c: F.size(F.filter("detections", lambda d: (d["cat"] == c) & d["enabled"])).cast("bigint").alias(c)
@@ -65,13 +71,9 @@ def analyze(docs: DataFrame, key: str = "doc_id", text: str = "text", mode: str
     """Tables of everything an analysis yields, each with key and row. Documents are written once; the rest is lazy."""
     lex = lexicon or load()
     rows = settle(in_rows(docs, key, text, mode, categories, lex, catalog).withColumn("row", F.monotonically_increasing_id()), "analysis")
-    found = mention_rows(rows, "row")
-    links = resolve.edges(found, lex, "row")
-    named = lambda df: df.join(rows.select(key, "row"), "row")
-    return Analysis(
-        mention_rows(rows, key, "row"), detection_rows(rows, key, "row"), named(links), named(resolve.clusters(found, links, "row")), statistics_rows(rows, key, "row"),
-        rows.select(key, "row", "anonymized_text"),
-    )
+    links = link_rows(rows, lex, key, "row")
+    each = lambda column: links.select(key, "row", F.explode(column).alias("x")).select(key, "row", "x.*")
+    return Analysis(mention_rows(rows, key, "row"), detection_rows(rows, key, "row"), each("edges"), each("groups"), statistics_rows(rows, key, "row"), rows.select(key, "row", "anonymized_text"))
 
 
 def cancel(spark, tag: str) -> None:

@@ -199,13 +199,9 @@ def validity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linking_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every linking rule both ways: groups, confidence, reasons."""
     lex, rows = load(), _orders_sql(spark, sf_dir, lambda t, k: cases.link_rows(t, k)[0])
-    found = settle(rows.select("doc_id", "ord", "mention_id", "cat", "surface", F.col("s").alias("start"), F.col("e").alias("end")), "mentions")
-    groups = resolve.clusters(found, settle(resolve.edges(found, lex), "edges"))
+    found = rows.select("doc_id", "ord", "mention_id", "cat", "surface", F.col("s").alias("start"), F.col("e").alias("end"))
     rule = cases.chosen(cases.LINKS, [cases.quoted(x[0]) for x in cases.LINKS]).replace("CASE c ", f"CASE doc_id % {len(cases.LINKS)} ")
-    return groups.select(
-        "doc_id", F.expr(rule).alias("rule"), "cluster_id", "cat", F.array_join("surfaces", "|").alias("surfaces"), F.array_join("mention_ids", "|").alias("mentions"), "confidence",
-        F.array_join("reasons", "|").alias("reasons"),
-    )
+    return _joined_groups(resolve.groups(found, lex), "doc_id", F.expr(rule).alias("rule"))
 
 
 # ---- case files ------------------------------------------------------------------------------------------------
@@ -325,11 +321,20 @@ CASE_HIGHLIGHTS_SQL = f"""WITH {CASE_SQL}
 SELECT doc_id, CAST(a AS INTEGER) AS "start", CAST(a + length(surface) AS INTEGER) AS "end", cat, '[' || cat || '_1]' AS placeholder FROM m"""
 
 
+def _joined_groups(groups: DataFrame, *keep) -> DataFrame:
+    return groups.select(*keep, "cluster_id", "cat", F.array_join("surfaces", "|").alias("surfaces"), F.array_join("mention_ids", "|").alias("mentions"), "confidence", F.array_join("reasons", "|").alias("reasons"))
+
+
 def casefile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _case_mentions(spark, sf_dir)
     lex = load()
-    groups = resolve.clusters(found, settle(resolve.edges(found, lex), "edges"))
-    return groups.select("doc_id", "cluster_id", "cat", F.array_join("surfaces", "|").alias("surfaces"), F.array_join("mention_ids", "|").alias("mentions"), "confidence", F.array_join("reasons", "|").alias("reasons"))
+    found = detect.scan(case_files(spark, sf_dir), lex, keep_text=False).select("doc_id", detections.mention_array(F.col("hits"), lex).alias("mentions"))
+    return _joined_groups(plan.link_rows(found, lex, "doc_id").select("doc_id", F.explode("groups").alias("g")).select("doc_id", "g.*"), "doc_id")
+
+
+def stored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table of stored mentions and one of their links."""
+    found = _case_mentions(spark, sf_dir)
+    return _joined_groups(resolve.clusters(found, settle(resolve.edges(found, load()), "edges")), "doc_id")
 
 
 CASE_CLUSTERS_SQL = f"""WITH {CASE_SQL}
@@ -472,7 +477,7 @@ def review_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case files reviewed: the DNI is removed, the e-mail gets a text of its own, the group is confirmed."""
     docs, found, lex = case_files(spark, sf_dir), _case_mentions(spark, sf_dir), load()
     table_ = detections.prune(detections.detections(found), lex)
-    groups = resolve.clusters(found, settle(resolve.edges(found, lex), "edges"))
+    groups = resolve.groups(found, lex)
     acts = F.array(
         F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("remove").alias("action"), F.create_map(F.lit("id"), F.lit("1")).alias("args")),
         F.struct(F.lit(2).cast("bigint").alias("seq"), F.lit("update").alias("action"), F.create_map(F.lit("id"), F.lit("1"), F.lit("placeholder"), F.lit(" [CORREO] ")).alias("args")),
@@ -522,6 +527,19 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
+
+
+def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table's e-mail addresses, found by the whole rule layer."""
+    lex = load()
+    found = detections.mentions(detect.scan(table(spark, sf_dir, "documents"), lex, keep_text=False), lex)
+    return found.where("cat = 'EMAIL'").select("doc_id", "surface", "start", "end")
+
+
+EMAILS_SQL = f'SELECT doc_id, raw AS surface, "start", "end" FROM ({_scan_sql(EMAIL)}) AS x'
+
+
 def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mentions of the documents table."""
     lex = load()
@@ -538,16 +556,16 @@ def queries() -> dict:
     own = [
         search_accent_insensitive, name_functions, placeholder_modes, tax_numbers, validity_filters, casefile_mentions, casefile_detections, casefile_equivalences, casefile_csv,
         casefile_statistics, casefile_anonymized, casefile_highlights, casefile_clusters, interval_merge, substring_prune, band_join, document_components, fuzzy_pairs, clean_pages,
-        review_replay, document_mentions, document_analysis, validity_cases, linking_cases, stored_detections, stored_anonymized, review_actions,
+        review_replay, document_mentions, document_analysis, document_emails, validity_cases, linking_cases, stored_detections, stored_anonymized, stored_clusters, review_actions,
     ]
     return {name: _scan(p) for name, p in SCANS.items()} | {name: q for name, (q, _) in RULES.items()} | {"interval_packing": interval_packing, "interval_sweep": interval_sweep} | {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {name: _scan_sql(p) for name, p in SCANS.items()} | {name: sql for name, (_, sql) in RULES.items()} | {
-        "review_actions": cases.review_rows("orders", "o_orderkey"), "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
+        "document_emails": EMAILS_SQL, "review_actions": cases.review_rows("orders", "o_orderkey"), "validity_cases": cases.validity_rows("orders", "o_orderkey")[1], "linking_cases": cases.link_rows("orders", "o_orderkey")[1],
         "search_accent_insensitive": SEARCH_SQL, "name_functions": NAME_SQL, "placeholder_modes": PLACEHOLDER_SQL, "tax_numbers": TAX_SQL, "validity_filters": VALIDITY_SQL,
-        "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "stored_detections": CASE_DETECTIONS_SQL, "stored_anonymized": CASE_ANONYMIZED_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
+        "casefile_mentions": CASE_MENTIONS_SQL, "casefile_detections": CASE_DETECTIONS_SQL, "stored_detections": CASE_DETECTIONS_SQL, "stored_anonymized": CASE_ANONYMIZED_SQL, "stored_clusters": CASE_CLUSTERS_SQL, "casefile_equivalences": CASE_EQUIVALENCES_SQL, "casefile_csv": CASE_CSV_SQL,
         "casefile_statistics": CASE_STATISTICS_SQL, "casefile_anonymized": CASE_ANONYMIZED_SQL, "casefile_highlights": CASE_HIGHLIGHTS_SQL, "casefile_clusters": CASE_CLUSTERS_SQL,
         "interval_packing": PACKING_SQL, "interval_sweep": SWEEP_SQL, "interval_merge": MERGE_SQL, "substring_prune": PRUNE_SQL, "band_join": BAND_SQL,
         "document_components": COMPONENTS_SQL, "fuzzy_pairs": FUZZY_SQL, "clean_pages": CLEAN_SQL, "review_replay": REVIEW_SQL,
