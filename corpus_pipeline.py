@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tachado.llm import mixing, packing, quality, simhash, subdedup
 from tachado.llm.bpe import public_path
-from tachado.llm.common import materialise, text_of, without
+from tachado.llm.common import fresh, materialise, text_of, without
 from tachado.llm.queries import LEVELS, VOCABULARY, WEIGHTS, with_domain
 
 #: Share of the tokens at hand that the mixture budgets; a document is taken once at most.
@@ -23,7 +23,8 @@ SHARE = 0.8
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scores(docs, model, docs.columns).where("_predicted = 1").select(*docs.columns)
+    kept = F.col(fresh("_predicted", docs.columns)) == 1
+    return quality.scores(docs, model, docs.columns).where(kept).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,25 +33,25 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat the smallest doc_id all stay. Rows are judged one by one: of different texts under one doc_id
     each stays or goes by its own component.
     """
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), text_of("text")))
-    marked = docs.withColumn("_row", row)
-    groups = simhash.near_duplicates(marked, carry=["_row"])
-    gone = groups.where("component_id <> doc_id").select("_row").distinct()
-    return without(marked, "_row", gone).select(*docs.columns)
+    row = fresh("_row", docs.columns)
+    marked = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), text_of("text"))))
+    groups = simhash.near_duplicates(marked, carry=[row])
+    gone = groups.where("component_id <> doc_id").select(row).distinct()
+    return without(marked, row, gone).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without stretches that an earlier document keeps; n_chars follows the text."""
-    out = subdedup.dedup(docs)
+    out, changed = subdedup.dedup(docs), F.col(fresh("_stretches", docs.columns)) > 0
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_stretches") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each domain-language-source's share of the budget, every document once at most."""
-    tree = with_domain(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang", "source"))
-    return mixing.mix(tree, LEVELS, WEIGHTS, epochs=1, share=SHARE).select("_row.*")
+    tree = with_domain(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source"))
+    return mixing.mix(tree, LEVELS, WEIGHTS, epochs=1, share=SHARE).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

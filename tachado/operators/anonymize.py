@@ -54,7 +54,8 @@ def anonymize(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
     there = F.forall("spans", lambda s: trim_white(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])) == trim_white(s["raw"]))
     safe = F.col("key").isNotNull() & (F.col("spans").isNull() | F.coalesce(there, F.lit(False)))
     new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(substitute(F.col("text"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["placeholder"].alias("placeholder")))))
-    return rows.select("own.*", F.when(safe, new).alias("anonymized_text"))
+    # Worked out first: inside a function of array elements, names would mean the columns that own.* brings.
+    return rows.withColumn("new", F.when(safe, new)).select("own.*", F.col("new").alias("anonymized_text"))
 
 
 def highlights(found: DataFrame, key: str = "doc_id") -> DataFrame:

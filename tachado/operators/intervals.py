@@ -1,4 +1,9 @@
-"""Interval operators on a document's span arrays (structs with start and end), as folds inside one row."""
+"""Interval operators on a document's span arrays (structs with start and end), as folds inside one row.
+
+Defined cases: a null array gives null, an empty one an empty one; of equal spans the first in order stays; empty spans
+(start = end) clash with nothing but what reaches over them; null bounds never clash and never begin an island;
+merge takes null keys as one key, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

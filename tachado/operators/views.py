@@ -1,4 +1,9 @@
-"""What a reviewer is shown: similar detections, candidates for a group, labels, filters, summaries."""
+"""What a reviewer is shown: similar detections, candidates for a group, labels, filters, summaries.
+
+Defined cases: null keys meet nothing; texts without letters or digits are like nothing; a group without surfaces or label
+is named by placeholder or id; of equally long surfaces the first names the group; repeated rows are rows of their own;
+empty tables give empty ones.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Ingest: uploads as binary files, DOCX text, page text clean-up and re-flow."""
+"""Ingest: uploads as binary files, DOCX text, page text clean-up and re-flow.
+
+Defined cases: null texts stay null (as pages they count as blank); documents without text get a status, never an error;
+damaged and foreign files too; null keys are a key like others; pages of equal number follow by text; empty tables give
+empty ones.
+"""
 
 from __future__ import annotations
 
