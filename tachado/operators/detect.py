@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import STOP, Lexicon
 from ..functions.text import CHECK
 from . import catalog as catalogs
+from .literals import fold, may_match, needed
 from .rules import ADDRESSES, CAPTION_END, CAPTION_LENGTH, ENTITIES, LONG_SPACE, PLATE, RULES, STREET_WORD
 
 #: Characters kept to the left and right of a span's start, for the validity rules.
@@ -33,6 +35,7 @@ STUCK = re.compile(rf"(?:{EDGE})?(?:(?:(?:ORIGINAL|DUPLICADO|TRIPLICADO|CUADRUPL
 VERSUS = re.compile(r"\s+(?:c\s*\.?/|contra)\s+", re.I)
 
 
+@lru_cache(1 << 16)
 def plain(word: str) -> str:
     return " ".join("".join(c for c in unicodedata.normalize("NFD", word.lower()) if unicodedata.category(c) != "Mn").split())
 
@@ -95,6 +98,13 @@ class Scanner:
         self.caption_end, self.long_space = re.compile(CAPTION_END, re.I), re.compile(LONG_SPACE)
         self.addresses = [(re.compile(p, flags[f]), g, check) for p, g, check, f in ADDRESSES]
         self.catalog = [(ENTITIES[e], e == "RGX_CARATULA", re.compile(p)) for e, _, p in catalog]
+        patterns = [p for _, p in self.rules if p] + [p for p, *_ in self.addresses] + [p for *_, p in self.catalog] + list(self.guards.values())
+        self.needed = {p: needed(p) for p in patterns}
+        self.folded = ""
+
+    def _found(self, pattern: re.Pattern, text: str):
+        """All matches; texts without the literals that every match holds are not scanned."""
+        return pattern.finditer(text) if may_match(self.needed[pattern], self.folded) else ()
 
     # Checks give the span's (surface, start, end) changed or as it is, or None.
     def _known(self, words: list[str]) -> bool:
@@ -134,9 +144,9 @@ class Scanner:
         if rule.check == "addresses":
             yield from ((text[a:b].strip(), a, b) for a, b in self._address_spans(text))
             return
-        if rule.guard and not self.guards[rule.guard].search(text):
+        if rule.guard and next(iter(self._found(self.guards[rule.guard], text)), None) is None:
             return
-        for m in pattern.finditer(text):
+        for m in self._found(pattern, text):
             if rule.check == "parties":
                 for part in "ab":
                     surface = m[part].strip(" ,.;")
@@ -156,7 +166,7 @@ class Scanner:
     def _address_spans(self, text: str) -> list[tuple[int, int]]:
         spans = []
         for pattern, group, check in self.addresses:
-            for m in pattern.finditer(text):
+            for m in self._found(pattern, text):
                 a, b, body = m.start(group), m.end(group), m[group]
                 if check.startswith("address"):
                     body = body.strip(" ,.;") if check == "address8" else body.strip()
@@ -171,7 +181,7 @@ class Scanner:
     def _catalog_hits(self, text: str):
         seen = set()
         for cat, caption, pattern in self.catalog:
-            for m in self._captions(pattern, text) if caption else pattern.finditer(text):
+            for m in self._captions(pattern, text) if caption else self._found(pattern, text):
                 g = next((i for i in range(1, (m.lastindex or 0) + 1) if m[i] and m[i].strip()), 0)
                 found = [(m[g].strip(), m.start(g), m.end(g))]
                 if caption:
@@ -233,7 +243,7 @@ class Scanner:
         return rest.strip(), a + at
 
     def spans(self, text: str) -> list[dict]:
-        taken, out = Taken(), []
+        taken, out, self.folded = Taken(), [], fold(text)
 
         def offer(cat, s, a, b, layer):
             if cat == "PERSONA":

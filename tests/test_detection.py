@@ -130,6 +130,23 @@ def test_row_and_table_forms_agree(spark):
         assert row == sorted(map(str, detections.prune(detections.detections(m, mode=mode), LEX).select(*cols).collect()))
 
 
+def test_literals_leave_no_match_out():
+    """Scanning only texts that hold a pattern's literals gives the same spans, whatever the case and its odd letters."""
+    import duckdb
+
+    from tachado import cases
+    from tachado.operators import catalog
+    from tachado.operators.literals import fold, may_match, needed
+
+    guarded, all_of = (detect.Scanner(LEX, catalog.load()) for _ in "ab")
+    all_of.needed = dict.fromkeys(all_of.needed, ())
+    texts = [r[2] for r in duckdb.sql(cases.texts("(SELECT range AS k0 FROM range(400))", "k0", cases.CASES)).fetchall()]
+    texts += [t.upper() for t in texts] + [t.replace("s", "ſ").replace("i", "ı") for t in texts] + ["KIOSCO llamado Luna", "İmputado Juan Pérez"]
+    assert all(guarded.spans(t) == all_of.spans(t) for t in texts)
+    assert set(needed(re.compile(r"(?:hello|x+yz)\d"))) == {"hello", "yz"}
+    assert needed(re.compile(r"\d+")) == () and needed(re.compile(r"(?:a|\d)")) == () and not may_match(("q",), fold("abc"))
+
+
 def test_bad_catalog_pattern_is_left_out_with_a_warning(spark, tmp_path):
     import json
 
