@@ -32,7 +32,7 @@ def mention_array(hits: Column, lex: Lexicon, categories: list[str] | None = Non
 
 def mentions(scanned: DataFrame, lex: Lexicon, key: str = "doc_id", categories: list[str] | None = None) -> DataFrame:
     """scanned (key, hits) -> a row a mention: key, ord, mention_id, cat, surface, start, end, norm, source_layer, left, right."""
-    rows = scanned.select(key, F.posexplode(mention_array(F.col("hits"), lex, categories)).alias("ord", "m"))
+    rows = scanned.select(key, filters.held(mention_array(F.col("hits"), lex, categories)).alias("all")).select(key, F.posexplode("all").alias("ord", "m"))
     return rows.select(
         key, "ord", F.concat(F.lit("m"), F.col("ord").cast("string")).alias("mention_id"), "m.cat", "m.surface", "m.start", "m.end",
         F.lower(trim_white(F.col("m.surface"))).alias("norm"), F.col("m.layer").alias("source_layer"), "m.left", "m.right",

@@ -61,6 +61,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def held(value: Column) -> Column:
+    """The value, worked out once a row: the optimizer takes it for undetermined, so it neither repeats it in filters nor merges it away."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def view(surface: Column, left: Column, right: Column, body: Callable[[Column], Column]) -> Column:
     """body of a struct: the trimmed surface s, low, norm, parts (words), flat (normalised words), left, right."""
     empty = F.lit("")

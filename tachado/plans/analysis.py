@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import CATEGORIES, Lexicon, load
 from ..functions.text import trim_white
-from ..operators import anonymize, detect, detections, resolve
+from ..operators import anonymize, detect, detections, filters, resolve
 from .work import settle
 
 
@@ -37,7 +37,7 @@ def in_rows(
     """key, mentions, detections (pruned), anonymized_text: all of a document in its own row, nothing shuffled."""
     lex = lexicon or load()
     rows = detect.scan(docs, lex, key, text, catalog).toDF("key", "text", "hits")
-    rows = rows.withColumn("m", detections.mention_array(F.col("hits"), lex, categories)).withColumn("d", detections.pruned_row(detections.in_row(F.col("m"), mode)))
+    rows = rows.withColumn("m", filters.held(detections.mention_array(F.col("hits"), lex, categories))).withColumn("d", filters.held(detections.pruned_row(detections.in_row(F.col("m"), mode))))
     return rows.select(F.col("key").alias(key), F.col("m").alias("mentions"), F.col("d").alias("detections"), anonymize.in_row(F.col("text"), F.col("d")).alias("anonymized_text"))
 
 
