@@ -90,7 +90,7 @@ def merged(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
 class Scanner:
     """All rules, compiled once a worker."""
 
-    def __init__(self, lexicon: Lexicon, catalog: list[tuple[str, float, str]]):
+    def __init__(self, lexicon: Lexicon, catalog: list[tuple[str, float, str]], literals: dict | None = None):
         flags = {"": 0, "i": re.I, "is": re.I | re.S}
         self.lexicon = lexicon
         self.rules = [(r, re.compile(r.pattern, re.I if r.fold else 0) if r.pattern else None) for r in RULES]
@@ -99,9 +99,13 @@ class Scanner:
         self.addresses = [(re.compile(p, flags[f]), g, check) for p, g, check, f in ADDRESSES]
         self.catalog = [(ENTITIES[e], e == "RGX_CARATULA", re.compile(p)) for e, _, p in catalog]
         patterns = [p for _, p in self.rules if p] + [p for p, *_ in self.addresses] + [p for *_, p in self.catalog] + list(self.guards.values())
-        self.needed = {p: needed(p) for p in patterns}
+        self.needed = {p: needed(p) if literals is None else literals[p.pattern, p.flags] for p in patterns}
         self.folded = ""
 
+    def literals(self) -> dict:
+        """What the patterns' matches must hold, as plain values for tasks, which then need not parse them again."""
+        return {(p.pattern, p.flags): w for p, w in self.needed.items()}
+
     def _found(self, pattern: re.Pattern, text: str):
         """All matches; texts without the literals that every match holds are not scanned."""
         return pattern.finditer(text) if may_match(self.needed[pattern], self.folded) else ()
@@ -274,12 +278,13 @@ def scan(
 ) -> DataFrame:
     """key, the columns to carry, text and `hits`: each document's packed spans of the rule layer, in order of start."""
     entries = catalogs.load(catalog)
+    literals = Scanner(lexicon, entries).literals()
     names = ["k", *(f"c{i}" for i in range(len(carry))), *(["text"] if keep_text else []), "hits"]
 
     def run(batches):
         import pyarrow as pa
 
-        scanner = Scanner(lexicon, entries)
+        scanner = Scanner(lexicon, entries, literals)
         fields = [("cat", pa.string()), ("surface", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.string()), ("left", pa.string()), ("right", pa.string())]
         for b in batches:
             hits = [scanner.spans(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
