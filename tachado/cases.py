@@ -1,4 +1,4 @@
-"""Case files with known spans: one text for each rule of the rule layer, near misses among them.
+"""Case files with known spans: texts for the rules of the rule layer and for many catalog entries, near misses among them.
 
 A case is a list of parts: literal text, V (an SQL expression over k, the row's number) or H (a hit: its category, layer,
 whether the validity rules let it stand, and its text in parts). Texts and expected spans are put together from the same
