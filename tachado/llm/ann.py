@@ -7,11 +7,10 @@ to its nearest centroid's list, and, near a boundary, also to others whose dista
 the nearest, unless a centroid already chosen is nearer to that one than the vector is. Search: a query
 reads the lists whose centroid distance is within `prune` of its nearest, `beam` at most.
 
-A graph holds at most CENTROIDS, so a table of more than CENTROIDS times `list_size` vectors is fitted in
-levels: a list of more than `chunk` rows is a cell, whose own centroids are fitted on a sample of it in one task
-and sent to the tasks that hold its rows and queries. So there are about rows / list_size lists at any size,
-and a query reads at most `beam` of them: work grows with the rows. Lists that can't be cut (one direction) are
-read in chunks: no task holds more than two.
+There is one way for tables of every size. A graph holds at most CENTROIDS lists; beyond CENTROIDS times `list_size`
+vectors the lists grow, and a query still reads its `beam` nearest, so the share of the table that it may read, and with it
+the recall, does not fall as tables grow. Lists and their queries meet in chunks: no task holds more than two. The price is
+that a query's work grows with its lists (README).
 
 Copies of one vector are one index row with their smallest keys, as many as could ever be returned. Of equal
 scores the smaller keys count, however many tie.
@@ -31,9 +30,8 @@ from .common import materialise, small
 
 #: Bounds of what one task or the driver holds: sampled vectors and centroids, at any size of table.
 SAMPLE, CENTROIDS = 16_384, 1_024
-LEVELS = 6
-#: Cells that a query goes down from a level with more below it, and lists that it takes in each cell.
-CELLS, WITHIN = 32, 8
+#: Nearest lists among which a vector's boundary copies are chosen.
+CELLS = 8
 
 
 def graph_of(centroids, degree: int = 24, far: int = 4) -> tuple:
@@ -128,7 +126,7 @@ def unit(v):
 
 
 def lists_of(graph: tuple, x, widest: int, ratio: float, copies: int):
-    """(rows, lists, distances): lists within ratio of a row's nearest centroid's distance; copies (if above 0): at most so many, thinned."""
+    """(rows, lists): lists within ratio of a row's nearest centroid's distance; copies (if above 0): at most so many, thinned."""
     import numpy as np
 
     ids, sims = search(graph, x, widest)
@@ -140,7 +138,7 @@ def lists_of(graph: tuple, x, widest: int, ratio: float, copies: int):
         take[:, j] &= ~((apart < far[:, j : j + 1]) & take[:, :j]).any(axis=1) & (take[:, :j].sum(axis=1) < copies)
     take[:, 0] = True
     r, c = np.nonzero(take)
-    return r, ids[r, c], far[r, c]
+    return r, ids[r, c]
 
 
 def best_of(queries, qid, vectors, ids, k: int):
@@ -177,74 +175,6 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return good.withColumn("d", F.size("v"))
 
 
-def _deeper(postings: DataFrame, wanted: DataFrame, width: int, list_size: int, replicate: float, copies: int, prune: float, beam: int, chunk: int):
-    """Cuts lists of more than `chunk` rows by centroids of their own; None if there are none."""
-    import numpy as np
-
-    counts = postings.groupBy("list").agg(F.count("*").alias("n"))
-    cells = materialise(counts.where(F.col("n") > chunk), "ann-cells")
-    if not cells.limit(1).count():
-        return None
-    spread = 1 << 20
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(spread))
-
-    most = counts.agg(F.max("n")).first()[0]
-    held = copies if most <= CENTROIDS * list_size else 1  # boundary copies on the last level only
-
-    def fit(t):
-        import pyarrow as pa
-
-        x = unit(dense(t.column("v"), width))
-        count = int(min(CENTROIDS, max(2, len(x) // 8), -(-t.column("n")[0].as_py() // list_size)))
-        return pa.table({"list": t.column("list")[:1], "n": t.column("n")[:1], "c": pa.array([centroids_of(x, count).ravel().astype(float)], pa.list_(pa.float64()))})
-
-    cell = small(cells)
-    sampled = postings.join(cell, "list").where(hashed("ids") * F.col("n") < F.lit(spread * SAMPLE))
-    fitted = materialise(sampled.select("list", "n", "v").groupBy("list").applyInArrow(fit, "list bigint, n bigint, c array<double>"), "ann-centroids")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    rows = postings.join(cell, "list").select("list", F.pmod(hashed("ids"), parts).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), "ids", "v", "d")
-    asks = wanted.join(cell, "list").select("list", F.pmod(hashed("id"), parts).alias("part"), F.lit(2).alias("kind"), "id", F.lit(None).cast("array<bigint>").alias("ids"), "v", "d")
-    heads = fitted.select(
-        "list", F.explode(F.sequence(F.lit(0).cast("bigint"), (parts - 1).cast("bigint"))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("array<bigint>").alias("ids"),
-        F.col("c").alias("v"), F.lit(0).alias("d"),
-    )
-    names = ["list", "part", "kind", "id", "ids", "v", "d"]
-    all_of = heads.select(*names).unionByName(rows).unionByName(asks)
-
-    def descend(batches):
-        import pyarrow as pa
-
-        graph, now = None, None
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-            cuts = np.r_[np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]), len(keys)].tolist()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if keys[a, 2] == 0:
-                    graph, now = graph_of(batch.column(5).slice(a, 1).flatten().to_numpy().reshape(-1, width).astype(np.float32)), tuple(keys[a, :2])
-                    continue
-                if now != tuple(keys[a, :2]):
-                    raise ValueError("rows of a cell without its centroids")
-                for i in range(a, b, 512):
-                    part = batch.slice(i, min(512, b - i))
-                    x = unit(dense(part.column(5), width))
-                    r, c, far = lists_of(graph, x, 8, replicate, held) if keys[a, 2] == 1 else lists_of(graph, x, WITHIN, prune, 0)
-                    got = part.take(pa.array(r))
-                    new = (keys[a, 0] + 1) * CENTROIDS + c
-                    yield pa.RecordBatch.from_arrays([pa.array(new), *(got.column(j) for j in (2, 3, 4, 5, 6)), pa.array(far)], names=["list", "kind", "id", "ids", "v", "d", "far"])
-
-    dealt = all_of.repartition("list", "part").sortWithinPartitions("list", "part", "kind")
-    cut = materialise(dealt.mapInArrow(descend, "list bigint, kind int, id bigint, ids array<bigint>, v array<double>, d int, far double"), "ann-level")
-    names, asked = ["list", "ids", "v", "d"], ["list", "id", "v", "d", "far"]
-    whole = lambda df: df.join(cell.select("list"), "list", "left_anti")
-    lists = whole(postings).select(*names).unionByName(cut.where("kind = 1").select(*names))
-    asks = whole(wanted).select(*asked).unionByName(cut.where("kind = 2").select(*asked))
-    # Of all lists that a query has come to, the nearest ones count.
-    nearest_first = W.partitionBy("id", "d").orderBy("far", "list")
-    asks = asks.withColumn("r", F.row_number().over(nearest_first)).withColumn("least", F.first("far").over(nearest_first))
-    asks = asks.where((F.col("r") <= beam) & (F.col("far") <= F.col("least") * prune + 1e-6)).drop("r", "least")
-    return materialise(lists, "ann-lists"), materialise(asks, "ann-queries"), most
-
-
 def nearest(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5,
     list_size: int = 128, replicate: float = 1.06, copies: int = 4, prune: float = 1.35, beam: int = 128, chunk: int = 2048,
@@ -268,28 +198,22 @@ def nearest(
     held = spark.sparkContext.broadcast(graph_of(centroids_of(x, lists)))  # plain arrays, at most CENTROIDS rows
 
     def assign(widest: int, ratio: float, most: int):
-        """Adds `list` and `far`, one row for each list: within ratio of the nearest centroid's distance."""
+        """Adds `list`, one row for each list: within ratio of the nearest centroid's distance."""
 
         def run(batches):
             import pyarrow as pa
 
             for whole in batches:
                 for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                    r, c, far = lists_of(held.value, unit(dense(b.column(1), width)), widest, ratio, most)
-                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int64)), pa.array(far)], names=[*b.schema.names, "list", "far"])
+                    r, c = lists_of(held.value, unit(dense(b.column(1), width)), widest, ratio, most)
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(c.astype(np.int64))], names=[*b.schema.names, "list"])
 
         return run
 
-    deep = rows > CENTROIDS * list_size
-    postings = classes.select("ids", "v", "d").mapInArrow(assign(8, replicate, 1 if deep else copies), "ids array<bigint>, v array<double>, d int, list bigint, far double").drop("far")
+    postings = classes.select("ids", "v", "d").mapInArrow(assign(CELLS, replicate, copies), "ids array<bigint>, v array<double>, d int, list bigint")
     asked = own.where(F.col("id") % every == 0).distinct().select("id", "v", "d")
-    wanted = asked.mapInArrow(assign(CELLS if deep else beam, prune, 0), "id bigint, v array<double>, d int, list bigint, far double")
-    postings, wanted, before = materialise(postings, "ann-lists"), materialise(wanted, "ann-queries"), None
-    for _ in range(LEVELS if deep else 0):
-        deeper = _deeper(postings, wanted, width, list_size, replicate, copies, prune, beam, chunk)
-        if deeper is None or before is not None and deeper[2] > before // 2:
-            break
-        postings, wanted, before = deeper
+    wanted = asked.mapInArrow(assign(beam, prune, 0), "id bigint, v array<double>, d int, list bigint")
+    postings, wanted = materialise(postings, "ann-lists"), materialise(wanted, "ann-queries")
     places = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
     both = small(materialise(places(postings, "parts").join(places(wanted, "turns"), "list"), "ann-places"))
     none = lambda kind: F.lit(None).cast(kind)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from tachado.llm import ann, mixing, queries, subdedup, urlfilter, warc
 
@@ -138,6 +139,17 @@ def test_neighbours_in_levels(spark, monkeypatch):
     assert sum(len(got[q] & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("n", [1900, 2200])
+def test_neighbours_recall_is_kept_beyond_full_lists(spark, monkeypatch, n):
+    """More vectors than CENTROIDS lists of list_size hold (2048 here) are searched as thoroughly as fewer."""
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(11).normal(size=(n, 32)))]
+    monkeypatch.setattr(ann, "CENTROIDS", 128)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), list_size=16, prune=9.0).collect()}
+    want = {(q, v) for q, _, v, _ in brute_scores(rows, 50, 5)}
+    assert len(got) == len(want) == 5 * n // 50
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_neighbours_plain_values_only(spark):
     """What is broadcast needs no module of ours on the executors."""
     import pickletools
