@@ -3,9 +3,11 @@ from io import BytesIO
 
 from pyspark.sql import functions as F
 
+from tachado import queries
 from tachado.functions.lexicon import load
 from tachado.operators import detect, detections, resolve
 from tachado.operators.review import Review, replay
+from tachado.plans.analysis import reviewed
 from tachado.sinks import export, pdf, sessions
 from tachado.sources import documents as ingest
 from tachado.streaming.stream import anonymize_stream
@@ -141,3 +143,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {r.doc_id: r.anonymized_text for r in spark.table("out").collect()}
     assert got == {1: "[EMAIL_1] y [EMAIL_2], [EMAIL_1]", 2: None, 3: "x"}
+
+
+def test_reviewed_equals_replay_without_moving_rows(spark):
+    """Analysis and replay in the document's own row: as from tables, but nothing is joined, shuffled or written."""
+    texts = ["Ana Gómez; Ana Gómez Pérez; luis@y.com; Zutano", "Sr. Juan Pérez (DNI 20.123.456) y Juan Pérez; ana@x.com.ar", "nada", None, "b@c.de"]
+    acts = [
+        [(2, "add_manual", {"cat": "PERSONA", "start": "40", "end": "46"}), (1, "ignore", {"ids": "2"}), (3, "add_manual", {"cat": "DNI", "start": "0", "end": "3"})],
+        [(1, "remove", {"id": "0"}), (2, "confirm", {"cluster": "sug_0"}), (3, "nothing", None)], [(1, "remove", {"id": "0"})], [(5, "ignore", {"ids": "0"})], [],
+    ]
+    kind = "doc_id long, text string, acts array<struct<seq:long,action:string,args:map<string,string>>>"
+    docs = spark.createDataFrame([(i, t, a) for i, (t, a) in enumerate(zip(texts, acts, strict=True))] + [(9, "c@d.es", None)], kind)
+    m = detections.mentions(detect.scan(docs, LEX), LEX)
+    log = docs.selectExpr("doc_id", "inline(acts)")
+    want = replay(docs, detections.prune(detections.detections(m), LEX), m, resolve.groups(m, LEX), log)
+    out = reviewed(docs)
+    assert out.columns == want.columns
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [0, 1, 2, 3] and got == sorted(want.collect(), key=lambda r: r.doc_id)
+    twice = reviewed(docs.where("doc_id = 1").union(docs.where("doc_id = 1"))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1] == got[1]
+    assert reviewed(docs.limit(0)).count() == 0
+
+
+def test_review_replay_is_joined_by_nothing(spark):
+    plan = queries.review_replay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
