@@ -4,6 +4,7 @@ from io import BytesIO
 from pyspark.sql import functions as F
 
 from tachado import queries
+from tachado.functions import arrow
 from tachado.functions.lexicon import load
 from tachado.operators import detect, detections, resolve
 from tachado.operators.review import Review, replay
@@ -169,3 +170,28 @@ def test_reviewed_equals_replay_without_moving_rows(spark):
 def test_review_replay_is_joined_by_nothing(spark):
     plan = queries.review_replay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_review_replay_goes_through_python_twice(spark):
+    """The scan, then linking and replay in one pass; each further pass hands all of a document over once more."""
+    plan = queries.review_replay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_arrow_values_and_arrays():
+    import pyarrow as pa
+
+    one = pa.struct([("id", pa.int32()), ("t", pa.string()), ("on", pa.bool_()), ("p", pa.list_(pa.struct([("a", pa.int64()), ("w", pa.float64())])))])
+    rows = [
+        [{"id": 1, "t": "ñ", "on": True, "p": [{"a": 1, "w": 0.5}, {"a": None, "w": None}]}, {"id": None, "t": None, "on": None, "p": None}], [], None, [None],
+        [{"id": 2, "t": "", "on": False, "p": []}],
+    ]
+    for some in (rows, rows[:2], rows[1:2], [], rows[3:]):
+        made = arrow.array(some, pa.list_(one))
+        made.validate(full=True)
+        assert made.type == pa.list_(one) and made.equals(pa.array(some, pa.list_(one))) and arrow.values(made) == made.to_pylist() == some
+    whole = pa.array(rows, pa.list_(one))
+    assert all(arrow.values(whole.slice(i, n)) == rows[i : i + n] for i in range(6) for n in range(6))
+    unset = pa.ListArray.from_buffers(pa.list_(pa.string()), 0, [None, pa.py_buffer(b"\xff" * 4)], children=[pa.array(["x"])])
+    assert arrow.values(unset) == []
+    assert arrow.values(pa.array([{"x": 1}, None, {"x": None}])) == [{"x": 1}, None, {"x": None}] and arrow.values(pa.array([1.5, None])) == [1.5, None]
